@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, secrets, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
@@ -18,16 +19,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_folder(spark)
     write_shards(table(spark, sf_dir, "documents"), BYTE_BPE, out)
     return read_shards(spark, out)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_repair_shards, op9_byte_bpe)}
+#: host, path, verdict
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS t(host, path, verdict)")
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_mixing, op5_repair_shards, op6_secrets, op9_byte_bpe, op10_url_filter)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
