@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, url_filter
+from . import mixing, quality, secrets, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
 from .token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), MULTI_RANKS, PIECES)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_mixing, op5_repair_shards, op6_secrets, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op9_byte_bpe, op10_url_filter)}
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}

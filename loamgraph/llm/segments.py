@@ -149,9 +149,8 @@ class Encoder:
         self.table.put(hashes, value)
         return value
 
-    def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece's ids begin in the pool, and how many they are."""
-        start, end = offsets[:-1], offsets[1:]
+    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each span's ids begin in the pool, and how many they are."""
         hashes = span_hashes(data, start, end)
         if self.table.size + len(hashes) > self.cache:
             self.clear()
@@ -174,12 +173,12 @@ class Encoder:
     def counts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Ids of each text."""
         offsets, first = pieces(data, bounds)
-        _, size = self.lookup(data, offsets)
+        _, size = self.lookup(data, offsets[:-1], offsets[1:])
         return np.diff(np.concatenate([[0], np.cumsum(size)])[first])
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids, one text after the other, and each text's place in them (n + 1)."""
         offsets, first = pieces(data, bounds)
-        start, size = self.lookup(data, offsets)
+        start, size = self.lookup(data, offsets[:-1], offsets[1:])
         return self.pool[ragged(start, size)], np.concatenate([[0], np.cumsum(size)])[first]
 
