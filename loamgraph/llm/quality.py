@@ -36,10 +36,10 @@ class Band(NamedTuple):
 
 
 BANDS = {
-    "en": Band(2.25, 8.0, 1.75, 8.0, 0.2, 3.5),
-    "fr": Band(2.15, 8.0, 1.70, 8.0, 0.2, 3.5),
-    "de": Band(2.40, 8.0, 1.90, 8.0, 0.2, 3.5),
-    "es": Band(2.20, 8.0, 1.70, 8.0, 0.2, 3.5),
+    "en": Band(2.15, 8.0, 1.75, 8.0, 0.2, 3.5),
+    "fr": Band(2.05, 8.0, 1.70, 8.0, 0.2, 3.5),
+    "de": Band(2.30, 8.0, 1.90, 8.0, 0.2, 3.5),
+    "es": Band(2.10, 8.0, 1.70, 8.0, 0.2, 3.5),
     "latin": Band(1.60, 8.0, 1.40, 8.0, 0.3, 3.0),
     "cyrillic": Band(0.80, 8.0, 1.00, 8.0, 0.3, 3.0),
     "other": Band(0.20, 8.0, 0.20, 8.0, 0.9, 2.0),
