@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, substrings, url_filter
+from . import mixing, near_dups, quality, secrets, substrings, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
@@ -42,6 +42,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
@@ -55,6 +59,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op8_near_duplicates, op9_byte_bpe, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op10_url_filter": url_filter.ORACLE}
