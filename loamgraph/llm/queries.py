@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dups, quality, secrets, substrings, url_filter
+from . import mixing, near_dups, quality, secrets, substrings, topk, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), MULTI_RANKS, PIECES)
 
@@ -59,6 +64,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op8_near_duplicates, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_cover_tree_top_k, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op8_near_duplicates, op9_byte_bpe, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_cover_tree_top_k": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op10_url_filter": url_filter.ORACLE}
