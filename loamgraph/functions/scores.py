@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # fixed values: weights and thresholds
 CONFIDENCE_WEIGHTS = {"agreement": 0.18, "faithfulness": 0.18, "validity": 0.13, "structural": 0.13, "description": 0.09, "provenance": 0.09, "property_agreement": 0.09, "evidence_count": 0.06, "evidence_age": 0.05}
@@ -23,7 +24,8 @@ CYCLE_PENALTY = 0.3
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """c within 0..1; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def structural_score(datatype_props: Column, object_props: Column, parent: Column, children: Column, lateral: Column) -> Column:
@@ -123,12 +125,12 @@ def jaro_winkler_pair(a: str | None, b: str | None) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_pair(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two normalised labels; 0 if either is empty."""
     from difflib import SequenceMatcher

@@ -27,7 +27,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine clamped to 0..1; 0 for null, empty, mismatched and zero vectors."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine_or_null(a, b))), F.lit(0.0))
+    found = F.coalesce(cosine_or_null(a, b), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
 
 
 def cosine_or_null(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import versioned as V
 from .registry import query
 
-T1, T2 = F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+T1, T2 = "TIMESTAMP_NTZ '2024-01-05 00:00:00'", "TIMESTAMP_NTZ '2024-01-20 00:00:00'"
 NOW = 1_800_000_000.0
 
 
@@ -157,7 +157,7 @@ _ASOF = "SELECT * FROM entity_versions WHERE created <= TIMESTAMP '{0}' AND (exp
 SELECT coalesce(a.uri, b.uri) AS uri, CASE WHEN a.uri IS NULL THEN 'added' WHEN b.uri IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.uri = b.uri WHERE a.uri IS NULL OR b.uri IS NULL OR a.event_type IS DISTINCT FROM b.event_type OR a.value IS DISTINCT FROM b.value""")
 def temporal_diff(t):
-    return V.temporal_diff(t.entity_versions, T1, T2, "uri", ["event_type", "value"])
+    return V.temporal_diff(t.entity_versions, F.expr(T1), F.expr(T2), "uri", ["event_type", "value"])
 
 
 @query("""SELECT a.key, a.label IS DISTINCT FROM b.label OR a.description IS DISTINCT FROM b.description AS changed FROM classes a JOIN classes b ON b.key = a.key + 1""")
