@@ -141,11 +141,11 @@ def age_resolver(t):
     return t.classes.select("key", F.greatest(F.lit(1710000000.0) - at, F.lit(0.0)).alias("age"))
 
 
-@query("SELECT key, round(least(1, 0.18 * confidence + 0.18 * 0.5 + 0.13 * 0.8 + 0.13 * 0.5 + 0.09 * confidence + 0.09 * 1.0 + 0.06 * 0.2 + 0.05 * 1.0), 3)::DOUBLE AS conf FROM classes WHERE confidence IS NOT NULL AND key % 25 = 0")
+@query("SELECT key, round(least(1, 0.18 * confidence + 0.18 * 0.5 + 0.13 * 0.8 + 0.13 * 0.5 + 0.09 * confidence + 0.09 * 1.0 + 0.06 * 0.2 + 0.05 * 1.0), 3)::DOUBLE AS conf FROM classes")
 def class_confidence_blend(t):
     c = F.col("confidence")
     signals = {"agreement": c, "faithfulness": F.lit(0.5), "validity": F.lit(0.8), "structural": F.lit(0.5), "description": c, "provenance": F.lit(1.0), "property_agreement": F.lit(None).cast("double"), "evidence_count": F.lit(0.2), "evidence_age": F.lit(1.0)}
-    return t.classes.where("key % 25 = 0").select("key", F.round(S.class_confidence(signals), 3).alias("conf"))
+    return t.classes.select("key", F.round(S.class_confidence(signals), 3).alias("conf"))
 
 
 @query("WITH f AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS form FROM part) SELECT form, unnest(CASE WHEN form LIKE '%y' THEN [form || 's', form || 'es', left(form, length(form) - 1) || 'ies'] ELSE [form || 's', form || 'es'] END) AS plural FROM f")

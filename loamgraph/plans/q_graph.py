@@ -115,9 +115,9 @@ def effective_outline(t):
     return G.outline(t.subclass_edges.where("src LIKE 'c%'"), own.select("node"), own.unionByName(customers))
 
 
-@query("WITH p AS (SELECT src AS node, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS parents FROM imports_edges GROUP BY src), c AS (SELECT dst AS node, string_agg(DISTINCT src::VARCHAR, ',' ORDER BY src::VARCHAR) AS children FROM imports_edges GROUP BY dst), d AS (SELECT class_key AS node, count(DISTINCT prop) AS n_props FROM property_domain WHERE class_key < 25 GROUP BY class_key) SELECT coalesce(p.node, c.node, d.node) AS node, parents, children, n_props FROM p FULL JOIN c ON p.node = c.node FULL JOIN d ON d.node = coalesce(p.node, c.node)")
+@query("WITH p AS (SELECT src AS node, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS parents FROM imports_edges GROUP BY src), c AS (SELECT dst AS node, string_agg(DISTINCT src::VARCHAR, ',' ORDER BY src::VARCHAR) AS children FROM imports_edges GROUP BY dst), d AS (SELECT class_key AS node, count(DISTINCT prop) AS n_props FROM property_domain GROUP BY class_key) SELECT coalesce(p.node, c.node, d.node) AS node, parents, children, n_props FROM p FULL JOIN c ON p.node = c.node FULL JOIN d ON d.node = coalesce(p.node, c.node)")
 def class_neighbourhood(t):
-    out = G.neighbourhood(t.imports_edges, t.property_domain.where("class_key < 25"))
+    out = G.neighbourhood(t.imports_edges, t.property_domain)
     text = lambda c: F.array_join(F.array_sort(F.col(c).cast("array<string>")), ",")
     return out.select("node", text("parents").alias("parents"), text("children").alias("children"), F.when(F.col("props").isNotNull(), F.size("props")).cast("long").alias("n_props"))
 
@@ -125,9 +125,9 @@ def class_neighbourhood(t):
 _COMPONENTS = "WITH RECURSIVE e AS (SELECT {src} AS u, {dst} AS v FROM {table} WHERE {where}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(u, v) AS (SELECT u, u FROM b UNION SELECT r.u, b.v FROM r JOIN b ON b.u = r.v)"
 
 
-@query(_COMPONENTS.format(src="src", dst="dst + 100000", table="relation_edges", where="src <= 200 AND quantity > 40") + " SELECT u AS node, min(v) AS component FROM r GROUP BY u")
+@query(_COMPONENTS.format(src="src", dst="dst + 100000", table="relation_edges", where="confidence >= 0.97") + " SELECT u AS node, min(v) AS component FROM r GROUP BY u")
 def connected_components_er(t):
-    edges = t.relation_edges.where("src <= 200 AND quantity > 40").select("src", (F.col("dst") + 100000).alias("dst"))
+    edges = t.relation_edges.where("confidence >= 0.97").select("src", (F.col("dst") + 100000).alias("dst"))
     return G.connected_components(edges)
 
 

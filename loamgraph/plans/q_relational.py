@@ -180,9 +180,9 @@ def domain_range_edges(t):
     return R.domain_range(t.property_domain, t.property_range).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("SELECT class_key, string_agg(prop::VARCHAR, ',' ORDER BY prop::VARCHAR) AS props FROM (SELECT DISTINCT class_key, prop FROM property_domain WHERE class_key <= 20) GROUP BY class_key")
+@query("SELECT class_key, string_agg(prop::VARCHAR, ',' ORDER BY prop::VARCHAR) AS props FROM (SELECT DISTINCT class_key, prop FROM property_domain) GROUP BY class_key")
 def property_labels_by_class(t):
-    own = t.property_domain.where("class_key <= 20").groupBy("class_key").agg(F.array_sort(F.collect_set(F.col("prop").cast("string"))).alias("p"))
+    own = t.property_domain.groupBy("class_key").agg(F.array_sort(F.collect_set(F.col("prop").cast("string"))).alias("p"))
     return own.select("class_key", F.array_join("p", ",").alias("props"))
 
 
@@ -284,9 +284,9 @@ def cross_ontology_extends(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 3 <> c_custkey % 3").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT l_orderkey AS doc_id, l_suppkey % 5 AS ontology_id FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey <= 100")
+@query("SELECT DISTINCT l_orderkey AS doc_id, l_suppkey % 5 AS ontology_id FROM lineitem WHERE l_returnflag <> 'R'")
 def document_ontologies(t):
-    return t.relation_edges.where("expired IS NULL AND src <= 100").select(F.col("src").alias("doc_id"), "ontology_id").distinct()
+    return t.relation_edges.where("expired IS NULL").select(F.col("src").alias("doc_id"), "ontology_id").distinct()
 
 
 @query("SELECT ontology_id, src AS doc_id, count(*) AS edge_count FROM relation_edges WHERE expired IS NULL GROUP BY 1, 2")
@@ -294,15 +294,15 @@ def ontology_documents(t):
     return t.relation_edges.where("expired IS NULL").groupBy("ontology_id", F.col("src").alias("doc_id")).agg(F.count("*").alias("edge_count"))
 
 
-@query("SELECT DISTINCT e.dst AS class_key, c.doc_id, c.chunk_index FROM relation_edges e JOIN chunks c ON c.doc_id = e.src WHERE e.dst <= 50")
+@query("SELECT DISTINCT e.dst AS class_key, c.doc_id, c.chunk_index FROM relation_edges e JOIN chunks c ON c.doc_id = e.src")
 def class_provenance(t):
-    docs = t.relation_edges.where("dst <= 50").select(F.col("dst").alias("class_key"), F.col("src").alias("doc_id")).distinct()
+    docs = t.relation_edges.select(F.col("dst").alias("class_key"), F.col("src").alias("doc_id")).distinct()
     return docs.join(t.chunks, "doc_id").select("class_key", "doc_id", "chunk_index")
 
 
-@query("SELECT DISTINCT e.key, c.doc_id, c.chunk_index FROM (SELECT key, unnest([src % 50, src % 50 + 1]) AS chunk FROM relation_edges WHERE key < 2000) e JOIN chunks c ON c.doc_id = e.chunk")
+@query("SELECT DISTINCT e.key, c.doc_id, c.chunk_index FROM (SELECT key, unnest([src % 50, src % 50 + 1]) AS chunk FROM relation_edges) e JOIN chunks c ON c.doc_id = e.chunk")
 def edge_provenance(t):
-    ids = t.relation_edges.where("key < 2000").select("key", F.explode(F.array(F.col("src") % 50, F.col("src") % 50 + 1)).alias("doc_id")).distinct()
+    ids = t.relation_edges.select("key", F.explode(F.array(F.col("src") % 50, F.col("src") % 50 + 1)).alias("doc_id")).distinct()
     return ids.join(t.chunks, "doc_id").select("key", "doc_id", "chunk_index").distinct()
 
 

@@ -99,9 +99,9 @@ def update_entities(t):
     return V.new_versions(t.classes, changes, NOW, 1_000_000).select("key", "label", "version", "created", "expired")
 
 
-@query("SELECT key, label, CAST(1 AS BIGINT) AS version, CAST(1800000000 AS DOUBLE) AS created, CAST(NULL AS DOUBLE) AS expired FROM classes WHERE key <= 20")
+@query("SELECT key, label, CAST(1 AS BIGINT) AS version, CAST(1800000000 AS DOUBLE) AS created, CAST(NULL AS DOUBLE) AS expired FROM classes")
 def create_versions(t):
-    return t.classes.where("key <= 20").select("key", "label", F.lit(1).cast("long").alias("version"), F.lit(NOW).alias("created"), F.lit(None).cast("double").alias("expired"))
+    return t.classes.select("key", "label", F.lit(1).cast("long").alias("version"), F.lit(NOW).alias("created"), F.lit(None).cast("double").alias("expired"))
 
 
 @query("""SELECT key, CASE WHEN src % 97 = 0 THEN src + 1000000 ELSE src END AS src, CASE WHEN dst % 97 = 0 THEN dst + 1000000 ELSE dst END AS dst, src % 97 = 0 OR dst % 97 = 0 AS moved FROM relation_edges WHERE expired IS NULL""")

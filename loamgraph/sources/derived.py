@@ -36,6 +36,8 @@ DERIVED = {
         CAST(l.doc_id * 60 AS DOUBLE) AS created_at FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "predicted": "SELECT DISTINCT l_partkey AS item, l_suppkey % 10 AS doc FROM {lineitem} WHERE l_quantity > 45 AND l_returnflag = 'R'",
     "gold": "SELECT DISTINCT l_partkey AS item, l_suppkey % 10 AS doc FROM {lineitem} WHERE l_quantity > 45 AND l_returnflag = 'A'",
+    "entities": """SELECT min(key) AS key, ontology_id, label, min(description) AS description, count(*) AS n_rows, min(kind) AS kind, max(confidence) AS confidence
+        FROM {classes} GROUP BY ontology_id, label""",
     "chunks": "SELECT conv_id AS doc_id, turn AS chunk_index, role, text FROM {conversations}",
     "revisions": """SELECT event_id AS key, user_id AS entity, event_type AS verdict, CASE WHEN value > 100 THEN 'REVISE' WHEN value > 50 THEN 'REINFORCE' ELSE 'FLAG_FOR_CURATION' END AS action,
         CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_id % 3 = 1 THEN 'applied' ELSE 'failed' END AS status, user_id % 3 AS ontology_id, value, ts AS created FROM {events}""",
