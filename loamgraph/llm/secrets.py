@@ -152,6 +152,8 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SEC
     model = fit(labelled_findings(docs.sparkSession) if labelled is None else labelled)
     found = judged(candidates(docs, id_col, text_col, path_col), model).where("is_secret")
     values = cut(found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values")))
-    joined = docs.join(hinted(values), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate("_values", F.col(text_col), lambda text, value: F.replace(text, value, F.lit(mark)))
-    return joined.withColumn(text_col, F.coalesce(clean, F.col(text_col))).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"))
+    joined = whole.join(hinted(values), F.col("_key").eqNullSafe(F.col("_id")), "left")
+    text = F.col("_row").getField(text_col)
+    clean = F.coalesce(F.aggregate("_values", text, lambda rest, value: F.replace(rest, value, F.lit(mark))), text)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
