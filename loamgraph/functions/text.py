@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-cased words; empty for null and blank."""
     return F.array_remove(F.array_distinct(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+")), "")
@@ -110,7 +115,7 @@ def slide_title_base(title: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Trimmed non-empty pieces between blank lines."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
 
 
 def locate_span(text: Column, label: Column) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, section (0 before the first heading), heading, level and body of each document's sections."""
@@ -15,7 +17,7 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = lines.withColumn("level", level).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(run).cast("int"))
     heading = F.max(F.when(F.col("level") > 0, F.trim(F.regexp_replace("line", r"^#{1,6}\s+", ""))))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    return marked.groupBy("doc_id", "section").agg(heading.alias("heading"), F.max("level").alias("level"), F.trim(body).alias("body"))
+    return marked.groupBy("doc_id", "section").agg(heading.alias("heading"), F.max("level").alias("level"), strip(body).alias("body"))
 
 
 def pack(tokens: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:

@@ -201,7 +201,7 @@ def snapshot_cache_key(t):
     return t.classes.select("key", F.sha2(F.concat(F.col("ontology_id").cast("string"), F.lit(":"), F.col("created").cast("long").cast("string"), F.lit(".000000")), 256).alias("k"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p) <> ''))::INTEGER AS n FROM documents")
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''))::INTEGER AS n FROM documents")
 def paragraph_split(t):
     return t.documents.select("doc_id", F.size(X.paragraphs(F.col("text"))).alias("n"))
 

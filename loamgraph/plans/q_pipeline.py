@@ -292,7 +292,7 @@ def visual_context_backfill(t):
     return t.chunks.select("doc_id", "chunk_index", F.when(F.col("role") == "user", "q").otherwise("a").alias("kind"), F.length("text").alias("size"))
 
 
-@query("SELECT conv_id AS doc_id, len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(10) || role, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: p <> ''))::INTEGER AS n, turn FROM conversations")
+@query("SELECT conv_id AS doc_id, len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(10) || role, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''))::INTEGER AS n, turn FROM conversations")
 def section_paragraphs(t):
     return t.conversations.select(F.col("conv_id").alias("doc_id"), F.size(X.paragraphs(F.concat("text", F.lit("\n\n"), "role"))).alias("n"), "turn")
 
