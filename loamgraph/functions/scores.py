@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 # fixed values: weights and thresholds
 CONFIDENCE_WEIGHTS = {"agreement": 0.18, "faithfulness": 0.18, "validity": 0.13, "structural": 0.13, "description": 0.09, "provenance": 0.09, "property_agreement": 0.09, "evidence_count": 0.06, "evidence_age": 0.05}
-HEALTH_WEIGHTS = {"completeness": 0.20, "acyclic": 0.20, "connected_classes": 0.15, "confidence": 0.20, "density": 0.15, "connectivity": 0.10}
+HEALTH_WEIGHTS = {"completeness": 0.20, "connectivity": 0.20, "structure": 0.15, "confidence": 0.20, "properties": 0.15, "sources": 0.10}
 ER_WEIGHTS = {"label": 0.4, "description": 0.3, "uri": 0.2, "topology": 0.1}
 ER_THRESHOLD = 0.7
 TOPOLOGY_WEIGHTS = (0.35, 0.30, 0.15, 0.20)
@@ -29,14 +29,15 @@ def clamp(c: Column) -> Column:
 
 
 def structural_score(datatype_props: Column, object_props: Column, parent: Column, children: Column, lateral: Column) -> Column:
-    props = F.least((datatype_props + object_props) * 0.10, F.lit(0.30))
+    """0.15 for datatype properties, 0.10 for each object property up to 0.30, and parts for hierarchy and other edges."""
     flag = lambda c, w: F.when(c, w).otherwise(0.0)
-    return F.least(F.lit(1.0), F.lit(0.15) + props + flag(parent, 0.20) + flag(children, 0.15) + flag(lateral, 0.20))
+    total = flag(datatype_props > 0, 0.15) + F.least(object_props * 0.10, F.lit(0.30)) + flag(parent, 0.20) + flag(children, 0.15) + flag(lateral, 0.20)
+    return F.least(F.lit(1.0), total)
 
 
 def description_score(description: Column, copies: Column) -> Column:
     """copies: rows that have the same description."""
-    n = F.length(F.trim(F.coalesce(description, F.lit(""))))
+    n = F.length(F.coalesce(description, F.lit("")))
     return F.least(n / 100, F.lit(1.0)) * 0.7 + F.when((n >= 20) & (copies <= 1), 0.3).otherwise(0.0)
 
 
@@ -71,13 +72,15 @@ def edge_confidence(explicit: Column, evidence: Column) -> Column:
     return F.when(explicit >= 0, clamp(explicit)).otherwise(mean)
 
 
-def health_score(completeness: Column, has_cycles: Column, orphans: Column, classes: Column, confidence: Column, properties: Column, connectivity: Column) -> Column:
-    """0..100 of an ontology from its parts (each 0..1), halves rounded to even."""
-    share = lambda a, b: F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
+def health_score(completeness: Column, connectivity: Column, has_cycles: Column, orphans: Column, classes: Column, confidence: Column, properties: Column, chunks: Column) -> Column:
+    """0..100 of an ontology, halves rounded to even; three properties and one chunk for each class are full marks."""
+    per_class = lambda n: F.coalesce(n / F.when(classes > 0, classes), F.lit(0.0))
+    structure = F.greatest(F.lit(0.0), 1.0 - F.when(has_cycles, CYCLE_PENALTY).otherwise(0.0) - per_class(orphans))
+    one = F.lit(1.0)
     w = HEALTH_WEIGHTS
-    parts = completeness * w["completeness"] + F.when(has_cycles, 1 - CYCLE_PENALTY).otherwise(1.0) * w["acyclic"] + (1 - share(orphans, classes)) * w["connected_classes"]
-    parts = parts + F.coalesce(confidence, F.lit(0.0)) * w["confidence"] + F.least(share(properties, classes), F.lit(1.0)) * w["density"] + connectivity * w["connectivity"]
-    return F.bround(clamp(parts) * 100, 0)
+    raw = F.least(completeness, one) * w["completeness"] + F.least(connectivity, one) * w["connectivity"] + structure * w["structure"]
+    raw = raw + confidence * w["confidence"] + F.least(per_class(properties) / 3.0, one) * w["properties"] + F.least(per_class(chunks), one) * w["sources"]
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(raw * 100, 0).cast("int")))
 
 
 def topology_similarity(props: Column, parents: Column, children: Column, everything: Column) -> Column:

@@ -43,9 +43,10 @@ def cosine_or_null(a: Column, b: Column) -> Column:
 
 
 def humanise(uri: Column) -> Column:
-    """The fragment with camel case, _ and - as spaces."""
+    """The fragment with camel case, acronyms, _ and - as spaces."""
     spaced = F.regexp_replace(fragment(uri), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.trim(F.regexp_replace(spaced, "[_-]+", " "))
+    spaced = F.regexp_replace(spaced, "([A-Z])([A-Z][a-z])", "$1 $2")
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, "[_-]+", " "), r"\s+", " "))
 
 
 def fragment(uri: Column) -> Column:
@@ -59,12 +60,14 @@ def normalise_compact(label: Column) -> Column:
 
 
 def depluralise(token: Column) -> Column:
+    """Singular of a word of more than three letters."""
     n = F.length(token)
     cut = lambda k: F.substring(token, F.lit(1), n - k)
     return (
-        F.when(token.endswith("ies") & (n > 3), F.concat(cut(3), F.lit("y")))
-        .when((token.endswith("ses") | token.endswith("xes") | token.endswith("zes")) & (n > 3), cut(2))
-        .when(token.endswith("s") & ~token.endswith("ss") & (n > 1), cut(1))
+        F.when(n <= 3, token)
+        .when(token.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when(token.endswith("ses") | token.endswith("xes") | token.endswith("zes"), cut(2))
+        .when(token.endswith("s") & ~token.endswith("ss"), cut(1))
         .otherwise(token)
     )
 
@@ -82,20 +85,22 @@ def plural_candidates(form: Column) -> Column:
 
 
 def blocking_tokens(label: Column) -> Column:
-    """Singular words of the label, and all of them in sorted order as one, for blocking."""
-    words = F.array_sort(F.array_distinct(F.array_remove(F.split(normalise_tokens(label), " "), "")))
-    return F.when(F.size(words) > 1, F.array_union(words, F.array(F.array_join(words, "")))).otherwise(words)
+    """Distinct words of the label, those of over three letters also without a final s, and all words in sorted order as one."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2"))
+    words = F.array_sort(F.array_distinct(F.array_remove(F.split(F.regexp_replace(spaced, "[^a-z0-9]+", " "), " "), "")))
+    singular = F.transform(F.filter(words, lambda w: (F.length(w) > 3) & w.endswith("s")), lambda w: F.substring(w, F.lit(1), F.length(w) - 1))
+    return F.array_remove(F.array_union(F.array_union(words, singular), F.array(F.array_join(words, ""))), "")
 
 
 def containment_score(a: Column, b: Column) -> Column:
-    """Length ratio if one contains the other, else 0; 1 for equals."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    """Length ratio of the compact labels if one contains the other, else 0; 1 for equals."""
+    x, y = normalise_compact(F.coalesce(a, F.lit(""))), normalise_compact(F.coalesce(b, F.lit("")))
     shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     return F.when((shorter > 0) & (x.contains(y) | y.contains(x)), shorter / longer).otherwise(F.lit(0.0))
 
 
 # fixed values: suffixes of labels that name a companion class
-CO_CLASSIFIER_SUFFIXES = ("Type", "Category", "Kind", "Class", "Status", "Role", "Group", "Level", "Code", "Channel")
+CO_CLASSIFIER_SUFFIXES = ("Status", "Activity", "Channel", "Code", "Role", "Category", "Detail", "Profile", "Type", "Description")
 
 
 def co_classifier_suffix(label: Column) -> Column:
@@ -109,8 +114,9 @@ def normalise_metric(label: Column) -> Column:
 
 
 def slide_title_base(title: Column) -> Column:
-    """A title without continuation marks and trailing numbers."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"\(?\s*cont(inue|')?d\.?\s*\)?", ""), r"[\s\-:#(]*\d+\s*\)?$", ""))
+    """A title in lower case without a continuation mark and a trailing number."""
+    base = F.regexp_replace(strip(F.coalesce(title, F.lit(""))), r"(?i)\s*[(\[]?\s*cont(inued|'d|d)?\.?\s*[)\]]?\s*$", "")
+    return F.lower(strip(F.regexp_replace(base, r"\s*[(\[]?\s*\d+\s*[)\]]?\s*$", "")))
 
 
 def paragraphs(text: Column) -> Column:
@@ -129,30 +135,40 @@ def span_union(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -
 
 
 def section_prefix(page: Column, heading: Column, doc_format: Column) -> Column:
-    unit = F.when(doc_format == "pptx", "Slide").otherwise("Page")
-    where = F.when(page.isNotNull(), F.concat_ws(" ", unit, page.cast("string")))
-    inner = F.concat_ws(": ", where, F.when(heading != "", heading))
-    return F.when(inner != "", F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.lit(""))
+    head = F.coalesce(heading, F.lit(""))
+    unit = F.when(doc_format == "pptx", "Slide ").when(doc_format == "pdf", "Page ").otherwise("Section ")
+    numbered = F.concat(unit, page.cast("string"), F.when(head != "", F.concat(F.lit(": "), head)).otherwise(""))
+    return F.when(page.isNull(), F.when(head != "", F.concat(F.lit("[Section: "), head, F.lit("]"))).otherwise("")).otherwise(F.concat(F.lit("["), numbered, F.lit("]")))
 
 
 def section_text(page: Column, heading: Column, body: Column, doc_format: Column) -> Column:
-    prefix = section_prefix(page, heading, doc_format)
-    return F.when(F.trim(F.coalesce(body, F.lit(""))) != "", F.concat_ws("\n", F.when(prefix != "", prefix), body)).otherwise(F.coalesce(heading, F.lit("")))
+    """A section's chunk text: prefix (numbered slides and pages only) and body; the heading alone where there is neither."""
+    prefix = F.when(doc_format.isin("pptx", "pdf") & page.isNotNull(), section_prefix(page, heading, doc_format))
+    text = strip(F.coalesce(body, F.lit("")))
+    alone = F.when(prefix.isNull() & (text == ""), strip(F.coalesce(heading, F.lit(""))))
+    return F.concat_ws("\n\n", prefix, F.when(text != "", text), F.when(alone != "", alone))
+
+
+# fixed values: how lines that stand for pictures, and lines that only name a place, begin
+VISUAL_LINES = ("[Visual omitted:", "[Visual (alt text):", "[Visual (caption):", "[Scanned")
+MARKER_LINES = (*VISUAL_LINES, "[Slide ", "[Page ")
 
 
 def chunk_kind(text: Column) -> Column:
-    """text, visual or mixed by the lines that begin with a visual mark."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    visual = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*\[(Image|Visual|Figure|Alt text)")))
-    return F.when(visual == 0, "text").when(visual == F.size(lines), "visual").otherwise("mixed")
+    """visual (pictures and no body), mixed (both) or text."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), strip), lambda x: x != "")
+    begins = lambda x, marks: F.greatest(*[x.startswith(m) for m in marks])
+    visual = F.exists(lines, lambda x: begins(x, VISUAL_LINES))
+    body = F.exists(lines, lambda x: ~begins(x, MARKER_LINES))
+    return F.when(visual & ~body, "visual").when(visual, "mixed").otherwise("text")
 
 
 def unordered(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
 
 
-# fixed values: short range names and their XSD types
-XSD = {"string": "xsd:string", "str": "xsd:string", "text": "xsd:string", "integer": "xsd:integer", "int": "xsd:integer", "float": "xsd:float", "double": "xsd:double", "decimal": "xsd:decimal", "number": "xsd:decimal", "boolean": "xsd:boolean", "bool": "xsd:boolean", "date": "xsd:date", "datetime": "xsd:dateTime", "time": "xsd:time", "uri": "xsd:anyURI"}
+# fixed values: range names in lower case and their XSD types
+XSD = {"string": "xsd:string", "integer": "xsd:integer", "int": "xsd:integer", "float": "xsd:float", "double": "xsd:double", "boolean": "xsd:boolean", "date": "xsd:date", "datetime": "xsd:dateTime", "decimal": "xsd:decimal", "anyuri": "xsd:anyURI", "xsd:string": "xsd:string", "xsd:integer": "xsd:integer", "xsd:int": "xsd:int", "xsd:float": "xsd:float", "xsd:double": "xsd:double", "xsd:boolean": "xsd:boolean", "xsd:date": "xsd:date", "xsd:datetime": "xsd:dateTime", "xsd:decimal": "xsd:decimal", "xsd:anyuri": "xsd:anyURI"}
 
 
 def xsd_range(name: Column) -> Column:
@@ -174,11 +190,12 @@ def infer_xsd(value: Column) -> Column:
     )
 
 
-def is_object_range(range_value: Column, kind: Column) -> Column:
-    """Whether a property's range is a class rather than a datatype."""
-    low = F.lower(F.coalesce(range_value, F.lit("")))
-    typed = F.lower(F.coalesce(kind, F.lit("")))
-    return F.when(typed.isin("object", "owl:objectproperty"), True).when(low.startswith("xsd:") | low.contains("xmlschema#"), False).otherwise(low.startswith("http") | low.contains("#"))
+def is_object_range(range_value: Column, kind: Column, is_class: Column | None = None) -> Column:
+    """Whether a property's range is a class: by its declared kind, a URL or fragment, else by is_class."""
+    value = F.coalesce(range_value, F.lit(""))
+    low = F.lower(value)
+    known = F.lit(False) if is_class is None else F.coalesce(is_class, F.lit(False))
+    return F.when(kind == "object", True).when(kind == "datatype", False).when(value.startswith("http"), True).when(low.startswith("xsd:") | low.isin(*XSD), False).otherwise(value.contains("#") | known)
 
 
 def cursor(sort_value: Column, key: Column) -> Column:
@@ -188,21 +205,16 @@ def cursor(sort_value: Column, key: Column) -> Column:
 def rdf_format(filename: Column) -> Column:
     low = F.lower(filename)
     pick = F.lit("turtle")
-    for ends, kind in ((".owl", "xml"), (".rdf", "xml"), (".xml", "xml"), (".jsonld", "json-ld"), (".json", "json-ld"), (".nt", "nt"), (".n3", "n3"), (".ttl", "turtle")):
+    for ends, kind in ((".turtle", "turtle"), (".owl", "xml"), (".rdf", "xml"), (".xml", "xml"), (".jsonld", "json-ld"), (".json", "json-ld"), (".nt", "nt"), (".n3", "n3"), (".ttl", "turtle")):
         pick = F.when(low.endswith(ends), kind).otherwise(pick)
     return pick
 
 
 def sniff_rdf(text: Column, hint: Column) -> Column:
-    """Signals of the content before the hint."""
-    head = F.ltrim(text)
-    return (
-        F.when(head.startswith("<?xml") | head.startswith("<rdf:RDF") | F.contains(head, F.lit("<rdf:RDF")), "xml")
-        .when((head.startswith("{") | head.startswith("[")) & head.contains("@"), "json-ld")
-        .when(head.startswith("@prefix") | head.startswith("@base") | head.contains("\n@prefix"), "turtle")
-        .when(head.rlike(r"^<[^>]+>\s+<[^>]+>\s+.+\.\s*"), "nt")
-        .otherwise(hint)
-    )
+    """Unambiguous first tokens (after a byte order mark, blanks and comments) before the hint."""
+    head = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\uFEFF?\s*(#[^\n]*\n\s*)*", "")
+    starts = lambda *marks: F.greatest(*[head.startswith(m) for m in marks], F.lit(False))
+    return F.when(starts("<?xml", "<rdf:RDF", "<RDF"), "xml").when(starts("@prefix", "@base"), "turtle").when(head.startswith("{") & F.left(head, F.lit(1024)).contains("@context"), "json-ld").otherwise(hint)
 
 
 def is_read_only(query: Column) -> Column:

@@ -69,11 +69,19 @@ def grounded(provenance: Column) -> Column:
     return F.coalesce(F.exists(provenance, lambda p: p["char_span"].isNotNull()), F.lit(False))
 
 
-def classify_documents(chunks: DataFrame, mark: str = "|", many: int = 4) -> DataFrame:
-    """A kind for each document: tables where half its chunks have the mark more than `many` times, else by chunk count."""
-    marks = F.length("text") - F.length(F.replace(F.col("text"), F.lit(mark), F.lit("")))
-    own = chunks.groupBy("doc_id").agg(F.avg((marks > many).cast("int")).alias("tables"), F.count("*").alias("n"))
-    return own.select("doc_id", F.when(F.col("tables") >= 0.5, "table").when(F.col("n") > 50, "long").when(F.col("n") > 3, "medium").otherwise("short").alias("kind"))
+def classify_documents(chunks: DataFrame, visual: Column, presentation: Column) -> DataFrame:
+    """doc_id and kind of each document, from its chunks' texts, visual share and format.
+
+    Visual-heavy documents come first (30 % visual chunks, or half of them slides, or some of both), then tables (over
+    30 % of chunks with more than four bars), short technical texts, long ones (over 50 chunks), and the rest.
+    """
+    bars = F.length("text") - F.length(F.replace(F.col("text"), F.lit("|"), F.lit("")))
+    share = lambda c: F.avg(c.cast("int"))
+    own = chunks.groupBy("doc_id").agg(share(visual).alias("v"), share(presentation).alias("p"), share(bars > 4).alias("tables"), share(F.lower("text").rlike("specification|requirement|rfc|iso")).alias("technical"), F.count("*").alias("n"))
+    heavy = (F.col("v") >= 0.3) | (F.col("p") >= 0.5) | ((F.col("v") > 0) & (F.col("p") > 0))
+    technical = F.col("technical") > 0.2
+    kind = F.when(heavy, "visual_heavy_presentation").when(F.col("tables") > 0.3, "tabular_structured").when((F.col("n") <= 10) & technical, "short_technical").when(F.col("n") > 50, "long_narrative").when(technical, "short_technical").otherwise("default")
+    return own.select("doc_id", kind.alias("kind"))
 
 
 def member_of(df: DataFrame, own: Column, others: DataFrame, key: str) -> DataFrame:

@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import co_classifier_suffix
 
-def classify(score: Column) -> Column:
-    """The first matching verdict of a touchpoint score."""
-    return F.when(score >= 0.8, "contradicts").when(score >= 0.6, "refines").when(score >= 0.4, "subtype").when(score >= 0.2, "redundant").otherwise("unrelated")
+# fixed values: thresholds
+AUTO_APPLY, SUBTYPE_FUZZY, REFINED_FUZZY, REDUNDANT_LABEL = 0.30, 0.50, 0.40, 0.55
 
 
-def action(verdict: Column, published: Column) -> Column:
-    """What a verdict asks for; structural changes to published entities go to curation."""
-    structural = verdict.isin("contradicts", "refines")
-    return F.when(structural & published, "FLAG_FOR_CURATION").when(verdict == "contradicts", "RETRACT").when(verdict == "refines", "REVISE").when(verdict == "subtype", "GAP_FILL").when(verdict == "redundant", "REINFORCE").otherwise("NONE")
+def classify(score: Column, uri_exact: Column, label_exact: Column, label_fuzzy: Column, label: Column, contradicted: Column, linked: Column, polymorphic: Column, shared: Column, has_subclasses: Column) -> Column:
+    """verdict and action of a touchpoint; the first rule that fits wins.
+
+    Contradictions come first and are never applied by themselves; then links that are there already, equal concepts, labels
+    with a companion suffix, the three kinds of gaps (applied from a score of AUTO_APPLY on), naming alone, and the rest.
+    """
+    out = lambda verdict, action: F.struct(F.lit(verdict).alias("verdict"), (action if isinstance(action, Column) else F.lit(action)).alias("action"))
+    flag = "FLAG_FOR_CURATION"
+    named = label_fuzzy > 0
+    gap = out("GAP-FILLING", F.when(score >= AUTO_APPLY, "GAP_FILL").otherwise(flag))
+    return (
+        F.when(contradicted, out("CONTRADICTED", flag))
+        .when(linked, out("REINFORCED", "REINFORCE"))
+        .when(uri_exact >= 0.99, out("REDUNDANT", "REVISE"))
+        .when((label_exact >= 0.99) & (score >= REDUNDANT_LABEL), out("REDUNDANT", "REVISE"))
+        .when(co_classifier_suffix(label).isNotNull() & named, out("UNCERTAIN", flag))
+        .when(((polymorphic >= 1) | (shared >= 2)) & named, gap)
+        .when((label_fuzzy >= SUBTYPE_FUZZY) & has_subclasses, gap)
+        .when(label_fuzzy >= REFINED_FUZZY, out("REFINED", flag))
+        .otherwise(out("UNCERTAIN", flag))
+    )
+
+
+def published_action(action: Column, published: Column) -> Column:
+    """Structural actions on published entities go to curation."""
+    return F.when(action.isin("REVISE", "RETRACT", "GAP_FILL") & F.coalesce(published, F.lit(False)), "FLAG_FOR_CURATION").otherwise(action)

@@ -51,9 +51,9 @@ def classical_anchor(t):
     return t.part.select(F.col("p_partkey").alias("key"), (F.greatest(F.col("p_size") / 50.0, F.col("p_partkey") % 10 / 10.0) >= S.ANCHOR).alias("anchored"))
 
 
-@query("SELECT p_partkey AS key, CASE WHEN strpos(lower(p_type), lower(p_name)) > 0 OR strpos(lower(p_name), lower(p_type)) > 0 THEN least(length(p_name), length(p_type))::DOUBLE / greatest(length(p_name), length(p_type)) ELSE 0 END AS score FROM part")
+@query("WITH k AS (SELECT p_partkey AS key, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9]', '', 'g') AS b FROM part) SELECT key, CASE WHEN contains(a, b) THEN length(b)::DOUBLE / length(a) ELSE 0 END AS score FROM k")
 def containment_fuzzy(t):
-    return t.part.select(F.col("p_partkey").alias("key"), X.containment_score(F.col("p_name"), F.col("p_type")).alias("score"))
+    return t.part.select(F.col("p_partkey").alias("key"), X.containment_score(F.col("p_name"), F.split("p_name", " ")[0]).alias("score"))
 
 
 @query("SELECT p_partkey AS key, regexp_replace(regexp_replace(lower(p_name || '''s ' || p_brand), '''s\\b', '', 'g'), '[^a-z0-9]', '', 'g') AS compact FROM part")
@@ -61,7 +61,7 @@ def label_normalise_compact(t):
     return t.part.select(F.col("p_partkey").alias("key"), X.normalise_compact(F.concat("p_name", F.lit("'s "), "p_brand")).alias("compact"))
 
 
-_DEPL = "CASE WHEN {0} LIKE '%ies' AND length({0}) > 3 THEN left({0}, length({0}) - 3) || 'y' WHEN ({0} LIKE '%ses' OR {0} LIKE '%xes' OR {0} LIKE '%zes') AND length({0}) > 3 THEN left({0}, length({0}) - 2) WHEN {0} LIKE '%s' AND NOT {0} LIKE '%ss' AND length({0}) > 1 THEN left({0}, length({0}) - 1) ELSE {0} END"
+_DEPL = "CASE WHEN length({0}) <= 3 THEN {0} WHEN {0} LIKE '%ies' THEN left({0}, length({0}) - 3) || 'y' WHEN {0} LIKE '%ses' OR {0} LIKE '%xes' OR {0} LIKE '%zes' THEN left({0}, length({0}) - 2) WHEN {0} LIKE '%s' AND NOT {0} LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
 
 
 @query(f"SELECT p_partkey AS key, array_to_string(list_transform(list_filter(string_split({_NORM.format('p_type')}, ' '), lambda w: w <> ''), lambda w: {_DEPL.format('w')}), ' ') AS label FROM part")
@@ -75,7 +75,7 @@ def depluralise(t):
     return words.select("token", X.depluralise(F.col("token")).alias("singular"))
 
 
-@query(f"WITH w AS (SELECT p_partkey AS key, list_sort(list_distinct(list_transform(list_filter(string_split({_NORM.format('p_name')}, ' '), lambda w: w <> ''), lambda w: {_DEPL.format('w')}))) AS ws FROM part) SELECT key, unnest(CASE WHEN len(ws) > 1 THEN list_distinct(list_append(ws, array_to_string(ws, ''))) ELSE ws END) AS token FROM w")
+@query(f"WITH w AS (SELECT p_partkey AS key, list_sort(list_distinct(list_filter(string_split({_NORM.format('p_name')}, ' '), lambda w: w <> ''))) AS ws FROM part), t AS (SELECT key, unnest(list_append(list_concat(ws, list_transform(list_filter(ws, lambda w: length(w) > 3 AND w LIKE '%s'), lambda w: left(w, length(w) - 1))), array_to_string(ws, ''))) AS token FROM w) SELECT DISTINCT key, token FROM t")
 def blocking_tokens(t):
     return t.part.select(F.col("p_partkey").alias("key"), F.explode(X.blocking_tokens(F.col("p_name"))).alias("token"))
 
@@ -106,12 +106,12 @@ def range_edge_enrichment(t):
     return t.relation_edges.join(props, "key").select("key", F.coalesce("confidence", "p_conf").alias("conf"))
 
 
-@query("SELECT p_partkey AS key, least(1.0, 0.15 + least(p_size % 5 * 0.10, 0.30) + CASE WHEN p_size % 2 = 0 THEN 0.20 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.15 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 0.20 ELSE 0 END)::DOUBLE AS score FROM part")
+@query("SELECT p_partkey AS key, round(least(1.0, CASE WHEN p_size % 5 > 0 THEN 0.15 ELSE 0 END + least(p_size % 4 * 0.10, 0.30) + CASE WHEN p_size % 2 = 0 THEN 0.20 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.15 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 0.20 ELSE 0 END), 6)::DOUBLE AS score FROM part")
 def structural_score(t):
-    return t.part.select(F.col("p_partkey").alias("key"), F.round(S.structural_score(F.col("p_size") % 5, F.lit(0), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0, F.col("p_size") % 7 == 0), 6).alias("score"))
+    return t.part.select(F.col("p_partkey").alias("key"), F.round(S.structural_score(F.col("p_size") % 5, F.col("p_size") % 4, F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0, F.col("p_size") % 7 == 0), 6).alias("score"))
 
 
-@query("WITH c AS (SELECT key, description, count(*) OVER (PARTITION BY description) AS n FROM classes) SELECT key, round(least(length(trim(description)) / 100, 1.0) * 0.7 + CASE WHEN length(trim(description)) >= 20 AND n <= 1 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score FROM c")
+@query("WITH c AS (SELECT key, description, count(*) OVER (PARTITION BY description) AS n FROM classes) SELECT key, round(least(length(description) / 100, 1.0) * 0.7 + CASE WHEN length(description) >= 20 AND n <= 1 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score FROM c")
 def description_score(t):
     copies = F.count("*").over(Window.partitionBy("description"))
     return t.classes.withColumn("n", copies).select("key", F.round(S.description_score(F.col("description"), F.col("n")), 6).alias("score"))
@@ -206,15 +206,15 @@ def paragraph_split(t):
     return t.documents.select("doc_id", F.size(X.paragraphs(F.col("text"))).alias("n"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(lower('Slide ' || turn::VARCHAR || ' part ' || conv_id::VARCHAR), '[\\s\\-:#(]*\\d+\\s*\\)?$', '')) AS base FROM conversations")
+@query("SELECT conv_id, turn, 'slide ' || turn::VARCHAR || ' part' AS base FROM conversations")
 def slide_title_base(t):
-    title = F.concat(F.lit("Slide "), F.col("turn").cast("string"), F.lit(" part "), F.col("conv_id").cast("string"))
+    title = F.concat(F.lit(" Slide "), F.col("turn").cast("string"), F.lit(" Part ("), F.col("conv_id").cast("string"), F.lit(") (cont'd)"))
     return t.conversations.select("conv_id", "turn", X.slide_title_base(title).alias("base"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'mixed' WHEN doc_id % 3 = 1 THEN 'visual' ELSE 'text' END AS kind FROM documents")
 def chunk_kind(t):
-    image = F.lit("[Image 1]")
+    image = F.lit("[Slide 1]\n[Visual omitted: slide 1 image 1]")
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(image, F.lit("\nx"))).when(F.col("doc_id") % 3 == 1, image).otherwise("x")
     return t.documents.select("doc_id", X.chunk_kind(body).alias("kind"))
 
@@ -225,7 +225,7 @@ def section_prefix(t):
     return t.conversations.select("conv_id", "turn", X.section_prefix(F.col("turn"), F.col("role"), fmt).alias("prefix"))
 
 
-@query("SELECT conv_id, turn, '[Page ' || turn::VARCHAR || ': ' || role || ']' || chr(10) || text AS body FROM conversations WHERE trim(text) <> ''")
+@query("SELECT conv_id, turn, '[Page ' || turn::VARCHAR || ': ' || role || ']' || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations WHERE trim(text) <> ''")
 def section_text_format(t):
     return t.conversations.where("trim(text) <> ''").select("conv_id", "turn", X.section_text(F.col("turn"), F.col("role"), F.col("text"), F.lit("pdf")).alias("body"))
 
@@ -258,7 +258,7 @@ def value_to_xsd(t):
 @query("SELECT p_partkey AS key, p_size % 4 IN (0, 2) AS is_object, CASE WHEN p_size % 4 IN (0, 2) THEN 'owl:ObjectProperty' ELSE 'owl:DatatypeProperty' END AS kind FROM part")
 def object_property_test(t):
     m = F.col("p_size") % 4
-    range_value = F.when(m == 0, "http://x/y").when(m == 1, "xsd:string").when(m == 2, "plain").otherwise("text")
+    range_value = F.when(m == 0, "http://x/y").when(m == 1, "xsd:string").when(m == 2, "plain").otherwise("integer")
     is_object = X.is_object_range(range_value, F.when(m == 2, "object"))
     return t.part.select(F.col("p_partkey").alias("key"), is_object.alias("is_object"), F.when(is_object, "owl:ObjectProperty").otherwise("owl:DatatypeProperty").alias("kind"))
 
@@ -281,11 +281,11 @@ def rdf_format_detection(t):
     return t.pages.select("page_id", X.rdf_format(name).alias("fmt"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'xml' WHEN 1 THEN 'json-ld' WHEN 2 THEN 'turtle' ELSE 'nt' END AS fmt FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'xml' WHEN 1 THEN 'json-ld' WHEN 2 THEN 'turtle' ELSE 'hint' END AS fmt FROM pages")
 def rdf_format_sniffing(t):
     m = F.col("page_id") % 4
-    text = F.when(m == 0, "<?xml version='1.0'?><rdf:RDF>").when(m == 1, '{"@context": {}}').when(m == 2, "@prefix a: <b> .").otherwise("<a> <b> <c> .")
-    return t.pages.select("page_id", X.sniff_rdf(text, F.lit("turtle")).alias("fmt"))
+    text = F.when(m == 0, "# note\n <?xml version='1.0'?><rdf:RDF>").when(m == 1, '{"@context": {}}').when(m == 2, "@prefix a: <b> .").otherwise("<a> <b> <c> .")
+    return t.pages.select("page_id", X.sniff_rdf(text, F.lit("hint")).alias("fmt"))
 
 
 @query("SELECT key, event_id, ok FROM (SELECT user_id AS key, event_id, event_type NOT IN ('error') AS ok FROM events)")

@@ -144,11 +144,20 @@ def orphan_range_matcher(t):
     return own.select("item_id", F.get(best, F.lit(0)).alias("p_name")).where("p_name IS NOT NULL")
 
 
-@query("SELECT p_partkey AS key, CASE WHEN p_size >= 40 THEN 'contradicts' WHEN p_size >= 30 THEN 'refines' WHEN p_size >= 20 THEN 'subtype' WHEN p_size >= 10 THEN 'redundant' ELSE 'unrelated' END AS verdict FROM part")
+_FEAT = "f AS (SELECT p_partkey AS key, (p_partkey % 100)::DOUBLE / 100 AS score, p_size / 50.0::DOUBLE AS fuzzy, p_size % 17 = 0 AS contradicted, p_size % 13 = 0 AS linked, p_size = 50 AS uri, p_size >= 45 AS label, p_partkey % 11 = 0 AS suffix, p_partkey % 19 = 0 AS poly, p_partkey % 4 AS shared, p_partkey % 3 = 0 AS subs FROM part)"
+
+
+@query(f"""WITH {_FEAT} SELECT key, CASE WHEN contradicted THEN 'CONTRADICTED' WHEN linked THEN 'REINFORCED' WHEN uri OR (label AND score >= 0.55) THEN 'REDUNDANT' WHEN suffix AND fuzzy > 0 THEN 'UNCERTAIN'
+WHEN (poly OR shared >= 2) AND fuzzy > 0 OR (fuzzy >= 0.5 AND subs) THEN 'GAP-FILLING' WHEN fuzzy >= 0.4 THEN 'REFINED' ELSE 'UNCERTAIN' END AS verdict,
+CASE WHEN contradicted THEN 'FLAG_FOR_CURATION' WHEN linked THEN 'REINFORCE' WHEN uri OR (label AND score >= 0.55) THEN 'REVISE' WHEN suffix AND fuzzy > 0 THEN 'FLAG_FOR_CURATION'
+WHEN ((poly OR shared >= 2) AND fuzzy > 0 OR (fuzzy >= 0.5 AND subs)) AND score >= 0.30 THEN 'GAP_FILL' ELSE 'FLAG_FOR_CURATION' END AS action FROM f""")
 def verdict_classifier(t):
     from ..operators.revise import classify
 
-    return t.part.select(F.col("p_partkey").alias("key"), classify(F.col("p_size") / 50.0).alias("verdict"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    label = F.concat("p_name", F.when(k % 11 == 0, "Status").otherwise("x"))
+    found = classify((k % 100) / 100.0, F.when(size == 50, 1.0).otherwise(0.0), F.when(size >= 45, 1.0).otherwise(0.0), size / 50.0, label, size % 17 == 0, size % 13 == 0, F.when(k % 19 == 0, 1).otherwise(0), k % 4, k % 3 == 0)
+    return t.part.select(k.alias("key"), found.alias("f")).select("key", "f.verdict", "f.action")
 
 
 @query("SELECT key, confidence + 0.1 AS confidence, 2 AS evidence FROM classes WHERE status = 'approved'")
@@ -182,7 +191,7 @@ def abox_rules(t):
     return a.unionAll(b).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.key, count(d.prop) AS n_props, round(least(1, 0.15 + least(count(d.prop) * 0.10, 0.30)), 6)::DOUBLE AS score FROM classes c LEFT JOIN property_domain d ON d.class_key = c.key GROUP BY 1")
+@query("SELECT c.key, count(d.prop) AS n_props, CASE WHEN count(d.prop) > 0 THEN 0.15 ELSE 0 END::DOUBLE AS score FROM classes c LEFT JOIN property_domain d ON d.class_key = c.key GROUP BY 1")
 def multi_signal_recompute(t):
     n = t.property_domain.groupBy(F.col("class_key").alias("key")).agg(F.count("*").alias("n"))
     own = t.classes.select("key").join(n, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n_props"))

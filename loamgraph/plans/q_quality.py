@@ -56,10 +56,10 @@ def schema_richness(t):
     return n.join(e, "ontology_id").select("ontology_id", R6(F.col("r") / (F.col("r") + F.col("c"))).alias("relationship_richness"), R6("annotated").alias("annotated"))
 
 
-@query("WITH m AS (SELECT ontology_id, count(*) AS n, count(*) FILTER (WHERE key % 13 = 0) AS orphans FROM classes GROUP BY 1) SELECT ontology_id, round_even(greatest(0, least(1, 0.8 * 0.20 + CASE WHEN ontology_id = 1 THEN 0.7 ELSE 1 END * 0.20 + (1 - orphans::DOUBLE / n) * 0.15 + 0.5 * 0.20 + 1 * 0.15 + 0.25 * 0.10)) * 100, 0)::DOUBLE AS health FROM m")
+@query("WITH m AS (SELECT ontology_id, count(*) AS n, count(*) FILTER (WHERE key % 13 = 0) AS orphans FROM classes GROUP BY 1) SELECT ontology_id, greatest(0, least(100, round_even((0.8 * 0.20 + 0.25 * 0.20 + greatest(0, 1 - CASE WHEN ontology_id = 1 THEN 0.3 ELSE 0 END - orphans::DOUBLE / n) * 0.15 + 0.5 * 0.20 + 2.0 / 3 * 0.15 + 0.5 * 0.10) * 100, 0)::INTEGER)) AS health FROM m")
 def health_score(t):
     m = t.classes.groupBy("ontology_id").agg(F.count("*").alias("n"), F.sum((F.col("key") % 13 == 0).cast("int")).alias("orphans"))
-    return m.select("ontology_id", S.health_score(F.lit(0.8), F.col("ontology_id") == 1, F.col("orphans"), F.col("n"), F.lit(0.5), F.col("n") * 2, F.lit(0.25)).alias("health"))
+    return m.select("ontology_id", S.health_score(F.lit(0.8), F.lit(0.25), F.col("ontology_id") == 1, F.col("orphans"), F.col("n"), F.lit(0.5), F.col("n") * 2, F.col("n") / 2).alias("health"))
 
 
 @query("SELECT ontology_id, count(*) FILTER (WHERE action = 'approve')::BIGINT AS accepted, count(*) FILTER (WHERE action = 'reject')::BIGINT AS rejected, count(*) FILTER (WHERE action = 'edit')::BIGINT AS edited, count(*) FILTER (WHERE action = 'approve')::DOUBLE / count(*) AS rate FROM decisions GROUP BY 1")

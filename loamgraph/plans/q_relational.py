@@ -103,9 +103,10 @@ def dangling_types(t):
     return edges.join(classes, "dst", "left").where("_there IS NULL OR expired IS NOT NULL").select("key", "dst")
 
 
-@query("SELECT doc_id, CASE WHEN avg((length(text) - length(replace(text, 'e', '')) > 4)::INT) >= 0.5 THEN 'table' WHEN count(*) > 50 THEN 'long' WHEN count(*) > 3 THEN 'medium' ELSE 'short' END AS kind FROM chunks GROUP BY doc_id")
+@query("""WITH k AS (SELECT doc_id, avg((chunk_index % 7 = 3)::INT) AS v, avg((role = 'system')::INT) AS p, avg((length(text) - length(replace(text, '|', '')) > 4)::INT) AS tables, avg(regexp_matches(lower(text), 'specification|requirement|rfc|iso')::INT) AS technical, count(*) AS n FROM chunks GROUP BY 1)
+SELECT doc_id, CASE WHEN v >= 0.3 OR p >= 0.5 OR (v > 0 AND p > 0) THEN 'visual_heavy_presentation' WHEN tables > 0.3 THEN 'tabular_structured' WHEN n <= 10 AND technical > 0.2 THEN 'short_technical' WHEN n > 50 THEN 'long_narrative' WHEN technical > 0.2 THEN 'short_technical' ELSE 'default' END AS kind FROM k""")
 def document_classifier(t):
-    return R.classify_documents(t.chunks, "e").select("doc_id", "kind")
+    return R.classify_documents(t.chunks, F.col("chunk_index") % 7 == 3, F.col("role") == "system")
 
 
 @query("SELECT doc_id, avg((role = 'user')::INT) >= 0.3 AS visual_heavy FROM chunks GROUP BY doc_id")
