@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import by_bytes, cut, hinted, mix, span_hashes, text_parts, word_spans
 
-COORDINATES = 256
+#: Minwise coordinates to branch on (16 bits each), and those of the sketch (a byte each).
+COORDINATES = 96
 SKETCH = 64
 TREES = 16
 DEPTH = 6
@@ -64,19 +65,19 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
 
 
 def minhashes(sets: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A byte of each of COORDINATES minwise hashes of each non-empty set."""
+    """Each set's minwise tokens as bytes: two for each branching coordinate, one for each of the sketch; empty sets have zeros."""
     x = (sets >> np.uint64(32)).astype(np.uint32) ^ sets.astype(np.uint32)
-    factors = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    factors = mix(np.arange(1, COORDINATES + SKETCH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     full = np.flatnonzero(np.diff(place))
-    out = np.zeros((len(place) - 1, COORDINATES), np.uint8)
+    least = np.zeros((len(place) - 1, len(factors)), np.uint32)
     at = place[:-1][full]
-    for k, factor in enumerate(factors):
+    for k, factor in enumerate(factors if len(at) else ()):
         y = x * factor
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
-        least = np.minimum.reduceat(y, at) if len(at) else y[:0]
-        out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    return out
+        least[full, k] = np.minimum.reduceat(y, at) * np.uint32(0x9E3779B1)
+    wide = (least[:, :COORDINATES] >> np.uint32(16)).astype("<u2")
+    return np.concatenate([wide.view(np.uint8), (least[:, COORDINATES:] >> np.uint32(24)).astype(np.uint8)], axis=1)
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -105,7 +106,8 @@ def branches(reps: DataFrame, level: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sig, rep = _matrix(batch.column("sig")), np.asarray(batch.column("rep"))
+            sig = np.ascontiguousarray(_matrix(batch.column("sig"))[:, : 2 * COORDINATES]).view("<u2")
+            rep = np.asarray(batch.column("rep"))
             key = mix(np.arange(TREES, dtype=np.uint64) + np.uint64(0xC0FFEE))
             row, key = np.repeat(np.arange(len(rep)), TREES), np.tile(key, len(rep))
             parent = key
@@ -116,7 +118,7 @@ def branches(reps: DataFrame, level: int) -> DataFrame:
                 both = np.flatnonzero((mix(key ^ np.uint64(3)) < _TWO) & (one != two))
                 row, parent = np.concatenate([row, row[both]]), np.concatenate([parent, parent[both]])
                 coordinate = np.concatenate([one, two[both]])
-                key = mix(parent ^ mix((coordinate << np.uint64(8)) + sig[row, coordinate.astype(np.int64)].astype(np.uint64) + np.uint64(1 << 20)))
+                key = mix(parent ^ mix((coordinate << np.uint64(16)) + sig[row, coordinate.astype(np.int64)].astype(np.uint64) + np.uint64(1 << 32)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(key.view(np.int64)), pa.array(parent.view(np.int64))], ["rep", "key", "parent"])
 
     return reps.select("rep", "sig").mapInArrow(run, "rep long, key long, parent long")
@@ -132,15 +134,15 @@ def leaves(reps: DataFrame) -> DataFrame:
         rows = rows.select("key", "rep")
         sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
         few = sizes.where(F.col("n") <= LIMIT).select("key")
-        part = rows.join(few, "key").select(F.col("key").alias("group"), "rep")
+        part = cut(rows.join(few, "key").select(F.col("key").alias("group"), "rep"))
         out = part if out is None else out.unionByName(part)
         large = sizes.where(F.col("n") > LIMIT)
         if not large.limit(1).count():
-            return cut(out)
+            return out
     blocks = F.ceil(F.col("n") / LIMIT)
     dealt = rows.join(large, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("rep"), blocks)).alias("group"), "rep", "least").where("rep != least").select("group", "rep")
     heads = large.select("key", "least", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).select(F.xxhash64("key", "block").alias("group"), F.col("least").alias("rep"))
-    return cut(out.unionByName(dealt).unionByName(heads))
+    return out.unionByName(cut(dealt.unionByName(heads)))
 
 
 def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     classes = cut(base.where("n_shingles > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("a", "b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")))
     reps = classes.where("rep is not null").select("rep", "n", "sig")
     found = leaves(reps)
-    sketched = reps.select("rep", "n", F.expr(f"substring(sig, 1, {SKETCH})").alias("sketch"))
+    sketched = reps.select("rep", "n", F.expr(f"substring(sig, {2 * COORDINATES + 1}, {SKETCH})").alias("sketch"))
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
