@@ -3,17 +3,20 @@
 Documents with equal shingle sets become one class first.  Each of TREES trees starts with all classes in one node.  A node
 with more than LIMIT classes branches on the minwise token of one or (in one case of four) two coordinates that its key
 chooses, 1 / 0.8 on average, so two sets of similarity 0.8 stay together with some chance in each tree; a smaller node is
-compared exhaustively by sketches.  A node that is still large at DEPTH is dealt into blocks, each with the node's smallest
-class.  Candidates are confirmed on full sets.  Three rounds: every class proposes its best partner and its smallest one;
-then its best partner in another component; then all pairs between components that are still apart.
-
-With 16 trees a pair of similarity 0.8 misses all of them with a probability of about 1e-6 at level 4 and 1e-5 at level 6,
-and its sketch with about 1e-6; higher similarities miss far less, and components mostly hold together by several links.
+compared exhaustively by sketches.  A node that is still large at the last level is dealt into blocks, each with the node's
+smallest class.  Candidates are confirmed on full sets.  Three rounds: every class proposes its best partner and its smallest
+one; then its best partner in another component; then all pairs between components that are still apart, for which classes
+outside a large node's main component visit all its blocks.
+
+With 16 trees a pair of similarity 0.8 misses all of them with a probability of about 1e-7 at level 3, 1e-6 at level 4 and
+1e-5 at level 6, and its sketch with about 1e-6; higher similarities miss far less, and components mostly hold together by
+several links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from .common import by_bytes, cut, hinted, mix, span_hashes, text_parts, word_sp
 COORDINATES = 96
 SKETCH = 64
 TREES = 16
-DEPTH = 6
 LIMIT = 200
+#: Similarity of unrelated documents, about: so deep a tree thins them out that a node is large only if its classes are related.
+BACKGROUND = 0.07
 #: Sketch bytes that must agree: 0.8 less five standard deviations.
 AGREE = 35
 PERCENT = 80
@@ -124,25 +128,39 @@ def branches(reps: DataFrame, level: int) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "rep long, key long, parent long")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """rep and the group (small node, or block of a large one at DEPTH) that it is compared in."""
-    out, large = None, None
-    for level in range(1, DEPTH + 1):
+def depth_for(n: int) -> int:
+    """Levels after which n unrelated classes are thinned out to small nodes."""
+    return max(1, math.ceil(math.log(max(n, 1) / LIMIT) / math.log(1 / BACKGROUND)))
+
+
+def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Small nodes (group, rep), and the large ones of the last level (node, blocks, rep, least: its smallest class)."""
+    small, large, levels = None, None, depth_for(reps.count())
+    for level in range(1, levels + 1):
         rows = branches(reps, level)
         if large is not None:
             rows = rows.join(hinted(large.select(F.col("key").alias("parent")), 200_000), "parent", "left_semi")
         rows = rows.select("key", "rep")
         sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
-        few = sizes.where(F.col("n") <= LIMIT).select("key")
-        part = cut(rows.join(few, "key").select(F.col("key").alias("group"), "rep"))
-        out = part if out is None else out.unionByName(part)
+        wanted = sizes if level == levels else sizes.where(F.col("n") <= LIMIT)
+        got = rows.join(wanted, "key").select(F.col("key").alias("group"), "rep", "n", "least")
+        got = cut(got)
+        part = got.where(F.col("n") <= LIMIT).select("group", "rep")
+        small = part if small is None else small.unionByName(part)
         large = sizes.where(F.col("n") > LIMIT)
-        if not large.limit(1).count():
-            return out
-    blocks = F.ceil(F.col("n") / LIMIT)
-    dealt = rows.join(large, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("rep"), blocks)).alias("group"), "rep", "least").where("rep != least").select("group", "rep")
-    heads = large.select("key", "least", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).select(F.xxhash64("key", "block").alias("group"), F.col("least").alias("rep"))
-    return out.unionByName(cut(dealt.unionByName(heads)))
+        if level == levels or not large.limit(1).count():
+            dense = got.where(F.col("n") > LIMIT).select(F.col("group").alias("node"), F.ceil(F.col("n") / LIMIT).alias("blocks"), "rep", "least")
+            return small, dense
+
+
+def in_blocks(dense: DataFrame, visitors: DataFrame | None = None) -> DataFrame:
+    """group, rep of the blocks of large nodes: each class in its own one; the smallest class and visitors (node, rep) in all."""
+    own = dense.select(F.xxhash64("node", F.pmod(F.xxhash64("rep"), "blocks")).alias("group"), "rep")
+    every = dense.where("rep = least").select("node", "blocks", "rep")
+    if visitors is not None:
+        every = every.unionByName(dense.join(visitors, ["node", "rep"], "left_semi").select("node", "blocks", "rep")).distinct()
+    spread = every.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return own.unionByName(spread.select(F.xxhash64("node", "block").alias("group"), "rep")).distinct()
 
 
 def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     base = cut(signatures(docs, width, id_col, text_col))
     classes = cut(base.where("n_shingles > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("a", "b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")))
     reps = classes.where("rep is not null").select("rep", "n", "sig")
-    found = leaves(reps)
+    small, dense = leaves(reps)
     sketched = reps.select("rep", "n", F.expr(f"substring(sig, {2 * COORDINATES + 1}, {SKETCH})").alias("sketch"))
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
@@ -260,6 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
         texts = own.join(hinted(ends, 300_000), "rep", "left_semi")
         return cut(confirmed(pairs, texts, width).distinct())
 
+    found = small.unionByName(in_blocks(dense))
     first = cut(proposals(found.join(sketched, "rep").withColumn("comp", F.col("rep"))).groupBy("x", "y").agg(F.max("agree").alias("agree")))
     tried = cut(_few_per_class(first))
     links = confirm(tried)
@@ -267,7 +286,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     for every in (False, True):
         comps = cut(connected_components(links, "x", "y"))
         named = alive.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-        rows = found.join(hinted(named, 300_000), "rep")
+        named = hinted(cut(named), 300_000)
+        if every:
+            held = dense.join(named, "rep").select("node", "rep", "comp")
+            main = held.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
+            found = small.unionByName(in_blocks(dense, held.join(main, "node").where("comp != m.comp").select("node", "rep")))
+        rows = found.join(named, "rep")
         apart = rows.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
         more = proposals(rows.join(apart, "group").join(sketched, "rep"), every)
         more = cut(more.groupBy("x", "y").agg(F.max("agree").alias("agree")).join(tried, ["x", "y"], "left_anti"))
@@ -286,8 +310,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
 
 def one_of_each(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns; of repeated rows of one id one stays."""
-    gone = cut(near_duplicates(docs, width, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.dropDuplicates([id_col]).join(hinted(gone, 300_000), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = hinted(cut(near_duplicates(docs, width, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()), 300_000)
+    once = docs.dropDuplicates([id_col])
+    return once.join(gone, once[id_col] == gone["_gone"], "left_anti")
 
 
 ORACLE = r"""

@@ -282,6 +282,7 @@ def test_near_duplicates_equal_brute_force(spark, width):
 
 def test_near_duplicates_with_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "LIMIT", 8)
+    monkeypatch.setattr(near_dups, "BACKGROUND", 0.2)
     r = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
