@@ -5,6 +5,8 @@ The frontier and what is known are tables; the loop only looks at whether a roun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,18 @@ def closure(edges: DataFrame, starts, max_depth: int = 50, reverse: bool = False
 def closure_pairs(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     """src, dst and the smallest depth (from 1) for every pair within max_depth edges."""
     e = cut(edges.select("src", "dst").distinct())
-    known = cut(e.withColumn("depth", F.lit(1)))
-    frontier = known
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
+    rounds = [e.withColumn("depth", F.lit(1))]
+    frontier = e
     for depth in range(2, max_depth + 1):
         found = frontier.join(step, "dst").select("src", F.col("_next").alias("dst")).distinct()
-        frontier = cut(found.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        for known in rounds:
+            found = found.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        frontier = cut(found)
         if not frontier.limit(1).count():
             break
-        known = cut(known.unionByName(frontier.select(*known.columns)))
-    return known
+        rounds.append(frontier.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -64,9 +68,10 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
 def scc(edges: DataFrame, max_depth: int = 50) -> DataFrame:
     """node and component (its smallest member) of strongly connected components with several nodes or a self loop."""
     core = cycle_nodes(edges)
-    own = edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    own = cut(edges.select("src", "dst")).join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
     pairs = closure_pairs(own, max_depth).select("src", "dst")
-    mutual = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    mutual = both.groupBy("src", "dst").agg(F.count("*").alias("n")).where("n = 2 OR src = dst")
     return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
 
 
