@@ -115,7 +115,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     chosen = None
     for i, kind in enumerate(kinds):
         chosen = F.when(F.col("id") % len(kinds) == i, struct(*kind)) if chosen is None else chosen.when(F.col("id") % len(kinds) == i, struct(*kind))
-    out = rows.select(chosen.alias("f")).select("f.*").where(F.length("value") >= 16)
+    out = rows.select(F.explode(F.array(chosen)).alias("f")).select("f.*").where(F.length("value") >= 16)  # explode: each row is made once, not once a column
     return out.withColumn("word", F.concat("word_prefix", "value"))
 
 
@@ -123,6 +123,7 @@ def fit(labelled: DataFrame, trees: int = 30, depth: int = 8, seed: int = 7) ->
     """The forest of labelled findings (value, before, word, word_prefix, after, path, label); of more than MAX_LABELLED those with the smallest hashes."""
     some = labelled.orderBy(F.xxhash64("value", "before", "word_prefix"), "value", "before").limit(MAX_LABELLED)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(some)).select("features", F.col("label").cast("double").alias("label")).coalesce(1)
+    rows = cut(rows)  # the fit reads them several times
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
