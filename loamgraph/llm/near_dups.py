@@ -5,8 +5,8 @@ with more than LIMIT classes branches on the minwise token of one or (in one cas
 chooses, 1 / 0.8 on average, so two sets of similarity 0.8 stay together with some chance in each tree; a smaller node is
 compared exhaustively by sketches.  A node that is still large at the last level is dealt into blocks, each with the node's
 smallest class.  Candidates are confirmed on full sets.  Three rounds: every class proposes its best partner and its smallest
-one; then its best partner in another component; then all pairs between components that are still apart, for which classes
-outside a large node's main component visit all its blocks.
+one; then its best partner in another component; then full sets meet within their nodes, for all pairs of components that
+are still apart, and classes outside a large node's main component visit all its blocks.
 
 With 16 trees a pair of similarity 0.8 misses all of them with a probability of about 1e-7 at level 3, 1e-6 at level 4 and
 1e-5 at level 6, and its sketch with about 1e-6; higher similarities miss far less, and components mostly hold together by
@@ -172,8 +172,8 @@ def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return right, left
 
 
-def _compare(group: np.ndarray, rep: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Proposed pairs (rows i, j and bytes that agree) of whole groups."""
+def _likely(group: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of one group and different components that may be linked, and their sketch bytes that agree; whole groups."""
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
     found = []
@@ -188,45 +188,97 @@ def _compare(group: np.ndarray, rep: np.ndarray, n: np.ndarray, comp: np.ndarray
         ok = agree >= AGREE
         found.append((i[ok], j[ok], agree[ok]))
         at = to
-    i, j, agree = (np.concatenate(x) for x in zip(*found))
-    if every or not len(i):
-        return i, j, agree
-    # each row's best partner (the smallest of equals) and its smallest partner
-    a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-    chosen = []
-    for order in (np.lexsort((rep[b], -s, a)), np.lexsort((rep[b], a))):
-        x = order[np.append(True, a[order[1:]] != a[order[:-1]])]
-        chosen.append(x)
-    x = np.unique(np.concatenate(chosen))
-    return a[x], b[x], s[x]
-
-
-def proposals(groups: DataFrame, every: bool = False) -> DataFrame:
-    """x < y and the bytes that agree, for pairs of one group and different components.  groups: group, rep, n, comp, sketch."""
+    return tuple(np.concatenate(x) for x in zip(*found))
 
-    def run(batches):
-        rest = None
 
-        def pairs(table: pa.Table):
-            group = table.column("group").to_numpy()
+def _whole_groups(batches):
+    """Tables of whole groups from batches that are sorted by group."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        group = rest.column("group").to_numpy()
+        whole = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
+        if whole:
+            yield rest.slice(0, whole)
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _by_group(groups: DataFrame, *columns: str) -> DataFrame:
+    return groups.select("group", "rep", *columns).repartition("group").sortWithinPartitions("group", "rep")
+
+
+def proposals(groups: DataFrame) -> DataFrame:
+    """x < y and the bytes that agree: each class's best partner in another component of a group, and its smallest one.
+
+    groups: group, rep, n, comp, sketch.
+    """
+
+    def run(batches):
+        for table in _whole_groups(batches):
             rep = table.column("rep").to_numpy()
-            i, j, agree = _compare(group, rep, table.column("n").to_numpy(), table.column("comp").to_numpy(), _matrix(table.column("sketch")), every)
-            x, y = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(agree.astype(np.int32))], ["x", "y", "agree"])
+            i, j, agree = _likely(table.column("group").to_numpy(), table.column("n").to_numpy(), table.column("comp").to_numpy(), _matrix(table.column("sketch")))
+            a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+            chosen = [np.zeros(0, np.int64)]
+            for order in (np.lexsort((rep[b], -s, a)), np.lexsort((rep[b], a))):
+                chosen.append(order[np.append(True, a[order[1:]] != a[order[:-1]])] if len(order) else order)
+            x = np.unique(np.concatenate(chosen))
+            a, b, s = a[x], b[x], s[x]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b])), pa.array(s.astype(np.int32))], ["x", "y", "agree"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            group = rest.column("group").to_numpy()
-            whole = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
-            if whole:
-                yield pairs(rest.slice(0, whole))
-                rest = rest.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield pairs(rest)
+    return _by_group(groups, "n", "comp", "sketch").mapInArrow(run, "x long, y long, agree int")
+
+
+def undecided(groups: DataFrame) -> DataFrame:
+    """group and rep of classes that may be linked with one of another component in their group.  groups: as for proposals."""
+
+    def run(batches):
+        for table in _whole_groups(batches):
+            i, j, _ = _likely(table.column("group").to_numpy(), table.column("n").to_numpy(), table.column("comp").to_numpy(), _matrix(table.column("sketch")))
+            rows = pa.array(np.unique(np.concatenate([i, j])))
+            yield table.select(["group", "rep"]).take(rows).combine_chunks().to_batches()[0] if len(rows) else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["group", "rep"])
+
+    return _by_group(groups, "n", "comp", "sketch").mapInArrow(run, "group long, rep long")
+
+
+def _common(sets: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of a group's sets, by products of incidence matrices of the shingles that two or more have."""
+    m = len(place) - 1
+    _, back, count = np.unique(sets, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = np.flatnonzero(count[back] > 1)
+    column, row = number[back[shared]], np.repeat(np.arange(m), np.diff(place))[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out, step = np.zeros((m, m), np.float32), 4096
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        a, b = np.searchsorted(column, (low, low + step))
+        matrix = np.zeros((m, step), np.float32)
+        matrix[row[a:b], column[a:b] - low] = 1
+        out += matrix @ matrix.T
+    return out.astype(np.int64)
+
+
+def linked_in_groups(groups: DataFrame, width: int) -> DataFrame:
+    """x, y: of each two components of a group one pair of classes whose full sets have the similarity.  groups: group, rep, comp, text."""
 
-    dealt = groups.select("group", "rep", "n", "comp", "sketch").repartition("group").sortWithinPartitions("group", "rep")
-    return dealt.mapInArrow(run, "x long, y long, agree int")
+    def run(batches):
+        for table in _whole_groups(batches):
+            group = table.column("group").to_numpy()
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+            for a, b in zip(starts, [*starts[1:], len(group)]):
+                part = table.slice(a, b - a)
+                rep, comp = part.column("rep").to_numpy(), part.column("comp").to_numpy()
+                sets, place = shingle_sets(*text_parts(part.column("text")), width)
+                n, common = np.diff(place), _common(sets, place)
+                i, j = np.nonzero((100 * common >= PERCENT * (n[:, None] + n[None, :] - common)) & (common > 0) & (comp[:, None] < comp[None, :]))
+                _, one = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+                x, y = rep[i[one]], rep[j[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    return _by_group(groups, "comp", "text").mapInArrow(run, "x long, y long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -273,34 +325,38 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     sketched = reps.select("rep", "n", F.expr(f"substring(sig, {2 * COORDINATES + 1}, {SKETCH})").alias("sketch"))
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return own.join(hinted(cut(ids.distinct()), 300_000), "rep", "left_semi")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
-        texts = own.join(hinted(ends, 300_000), "rep", "left_semi")
-        return cut(confirmed(pairs, texts, width).distinct())
+        return cut(confirmed(pairs, texts_of(pairs.select(F.explode(F.array("x", "y")).alias("rep"))), width).distinct())
 
     found = small.unionByName(in_blocks(dense))
     first = cut(proposals(found.join(sketched, "rep").withColumn("comp", F.col("rep"))).groupBy("x", "y").agg(F.max("agree").alias("agree")))
     tried = cut(_few_per_class(first))
     links = confirm(tried)
     alive = cut(first.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
-    for every in (False, True):
-        comps = cut(connected_components(links, "x", "y"))
+
+    def named_now() -> DataFrame:
+        comps = connected_components(links, "x", "y")
         named = alive.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-        named = hinted(cut(named), 300_000)
-        if every:
-            held = dense.join(named, "rep").select("node", "rep", "comp")
-            main = held.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
-            found = small.unionByName(in_blocks(dense, held.join(main, "node").where("comp != m.comp").select("node", "rep")))
-        rows = found.join(named, "rep")
-        apart = rows.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
-        more = proposals(rows.join(apart, "group").join(sketched, "rep"), every)
-        more = cut(more.groupBy("x", "y").agg(F.max("agree").alias("agree")).join(tried, ["x", "y"], "left_anti"))
-        if not more.limit(1).count():
-            continue
-        new = more.select("x", "y") if every else _few_per_class(more)
-        new = cut(new)
-        tried = tried.unionByName(new)
-        links = cut(links.unionByName(confirm(new)))
+        return hinted(cut(named), 300_000)
+
+    def apart(groups: DataFrame, named: DataFrame) -> DataFrame:
+        """The rows of groups that hold several components."""
+        rows = groups.join(named, "rep")
+        several = rows.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
+        return rows.join(several, "group").join(sketched, "rep")
+
+    more = proposals(apart(found, named_now())).groupBy("x", "y").agg(F.max("agree").alias("agree"))
+    links = cut(links.unionByName(confirm(cut(_few_per_class(more).join(tried, ["x", "y"], "left_anti")))))
+    named = named_now()
+    held = dense.join(named, "rep").select("node", "rep", "comp")
+    main = held.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
+    visitors = held.join(main, "node").where("comp != m.comp").select("node", "rep")
+    rest = cut(undecided(apart(small.unionByName(in_blocks(dense, visitors)), named)).distinct())
+    full = rest.join(named, "rep").join(texts_of(rest.select("rep")), "rep")
+    links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
     comps = cut(connected_components(links, "x", "y"))
     named = classes.select("a", "b", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
