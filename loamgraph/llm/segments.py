@@ -17,7 +17,7 @@ from .common import ragged, span_hashes
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 #: Pieces that a worker remembers; when full, it starts anew.
-CACHE = 1_500_000
+CACHE = 500_000
 
 
 # fixed values: white space of the pattern's \s

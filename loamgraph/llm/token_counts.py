@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, text_parts
-from .segments import Encoder
+from .segments import CACHE, Encoder
 
 # fixed values: code point ranges that every Unicode version from 7 on classes alike
 STABLE = ((0x0, 0x36F), (0x370, 0x377), (0x37A, 0x37F), (0x384, 0x38A), (0x38C, 0x38C), (0x38E, 0x3A1), (0x3A3, 0x52F), (0x2000, 0x2064), (0x20A0, 0x20BD), (0x2100, 0x2189), (0x2190, 0x23FA), (0x2500, 0x27FF), (0x3000, 0x303F), (0x3041, 0x3096), (0x3099, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFFBE))
@@ -24,7 +24,7 @@ STABLE = ((0x0, 0x36F), (0x370, 0x377), (0x37A, 0x37F), (0x384, 0x38A), (0x38C,
 class Library:
     """The tokenizers library for one file, for texts by way of their distinct pieces."""
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
