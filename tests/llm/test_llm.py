@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,10 +10,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loamgraph.llm import bpe, mixing, near_dups, quality, repair, secrets, substrings, token_counts, topk, url_filter
+from loamgraph.llm.common import text_parts
 from loamgraph.llm.queries import BYTE_BPE, MULTI_RANKS, PIECES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +158,38 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert got == {0: True, 1: False}
 
 
+def labelled_texts(fits):
+    """Labelled (quality, lang, words, row) of the 0.1 tables in the half by MD5 that the bands were fitted on, or the held-out one."""
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    quality_of = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    rows = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    return [(quality_of[r["doc_id"]], r) for r in rows if quality_of.get(r["doc_id"]) is not None and r["text"] and (hashlib.md5(r["text"].encode()).digest()[0] < 128) == fits]
+
+
+def judged(rows):
+    data, bounds = text_parts(pa.array([r["text"] for r in rows]))
+    out = quality.measure(data, bounds, [r["lang"] for r in rows], MULTI_RANKS, PIECES)
+    return ~out["base_failed"], out["kept"], out["n_words"]
+
+
+def test_quality_bands_on_held_out_texts():
+    rows = labelled_texts(False)
+    passed, kept, n = judged([r for _, r in rows])
+    label = np.array([q for q, _ in rows])
+    table_junk = np.array([r["text"].count(" | ") > 5 for _, r in rows])
+    long = passed & (n >= 50)
+    junk, clean = long & table_junk & (label == 0), long & (label == 1)
+    assert junk.sum() > 50 and (junk & kept).sum() <= 0.05 * junk.sum()
+    assert (clean & ~kept).sum() <= 0.03 * clean.sum()
+    for lang in ("en", "fr", "de", "es"):
+        of = clean & np.array([r["lang"] == lang for _, r in rows])
+        assert (of & ~kept).sum() <= 0.04 * of.sum()
+
+
 def test_mixing_targets_and_copies(spark):
     texts = [prose(i, 10 + i % 50) for i in range(400)] + [None, ""]
     sources = [("a", "b", "c", "c", "c", None)[i % 6] for i in range(len(texts))]
