@@ -24,7 +24,6 @@ from .segments import Encoder
 LENGTHS = (8, 16_384)
 #: Share of the clean texts of a fit that may lie below each bound.
 SHARE = 0.005
-SHORT = 50
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 
@@ -204,7 +203,7 @@ def measure(data: np.ndarray, bounds: np.ndarray, langs: list[str | None], ranks
         token, piece, n = out["chars_per_token"][at], out["chars_per_piece"][at], n_tokens[at]
         ok = (token >= band.token_least.at(n)) & (token <= band.token_most) & (piece >= band.piece_least.at(n)) & (piece <= band.piece_most)
         fits[at] = ok & (out["entropy"][at] >= band.entropy_least.at(n)) & (out["byte_share"][at] <= band.byte_most)
-    out["kept"] = ~out["base_failed"] & (fits | (n_words < SHORT))
+    out["kept"] = ~out["base_failed"] & fits
     return out
 
 

@@ -190,6 +190,15 @@ def test_quality_bands_on_held_out_texts():
         assert (of & ~kept).sum() <= 0.04 * of.sum()
 
 
+def test_quality_bands_judge_short_texts():
+    rows = [x for fits in (True, False) for x in labelled_texts(fits)]
+    passed, kept, n = judged([r for _, r in rows])
+    label, short = np.array([q for q, _ in rows]), passed & (n < 50)
+    junk, clean = short & (label == 0), short & (label == 1)
+    assert junk.sum() >= 10 and 10 * (junk & kept).sum() <= 3 * junk.sum()
+    assert 10 * (clean & ~kept).sum() <= clean.sum()
+
+
 def test_mixing_targets_and_copies(spark):
     texts = [prose(i, 10 + i % 50) for i in range(400)] + [None, ""]
     sources = [("a", "b", "c", "c", "c", None)[i % 6] for i in range(len(texts))]
