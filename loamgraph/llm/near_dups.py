@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +86,22 @@ def minhashes(sets: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, a and b (128 bits of the set's hash) and sig."""
+    """Per row: doc_id, h (hash of the text), text where the id is null, n_shingles, a and b (128 bits of the set's hash) and sig."""
 
     def run(batches):
         for batch in batches:
-            for part in by_bytes(batch, text_col):
-                data, bounds = text_parts(part.column(text_col))
+            for part in by_bytes(batch, "text"):
+                data, bounds = text_parts(part.column("text"))
                 sets, place = shingle_sets(data, bounds, width)
                 sig = minhashes(sets, place)
                 n = len(bounds) - 1
                 ends = place.tolist()
                 keys = np.frombuffer(b"".join(hashlib.blake2b(sets[ends[i] : ends[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(np.diff(place), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "a", "b", "sig"])
+                text = pc.if_else(part.column("doc_id").is_null(), part.column("text"), pa.scalar(None, part.column("text").type)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), text, pa.array(np.diff(place), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "h", "text", "n_shingles", "a", "b", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, text string, n_shingles long, a long, b long, sig binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -312,18 +315,21 @@ def _few_per_class(pairs: DataFrame) -> DataFrame:
     return out.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept.
+def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept, and stays: whether one_of_each leaves it.
 
-    Null and empty texts have no shingles and are linked with nothing.  Equal sets are one class, so repeated rows and
-    copies are linked; rows of one id count as one document.  A row with a null id is not kept.  An empty table gives no rows.
+    A class is named by its smallest id; one whose ids are all null by a number above all ids, which is no component_id.
     """
     base = cut(signatures(docs, width, id_col, text_col))
-    classes = cut(base.where("n_shingles > 0").groupBy("a", "b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("a", "b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")))
-    reps = classes.where("rep is not null").select("rep", "n", "sig")
+    top = max(base.agg(F.max("doc_id")).head()[0] or 0, 0)
+    surrogate = F.lit(top + 1) + F.pmod(F.xxhash64("a", "b"), F.lit(max((1 << 63) - 2 - top, 1)))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "n_shingles", "sig", "text")).alias("m")
+    named = base.where("n_shingles > 0").groupBy("a", "b").agg(least).select("a", "b", F.when(F.col("m.nameless"), surrogate).otherwise(F.col("m.doc_id")).alias("rep"), F.col("m.h").alias("own"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), F.col("m.text").alias("text"))
+    classes = cut(named)
+    reps = classes.select("rep", "n", "sig")
     small, dense = leaves(reps)
     sketched = reps.select("rep", "n", F.expr(f"substring(sig, {2 * COORDINATES + 1}, {SKETCH})").alias("sketch"))
-    own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).unionByName(classes.where(F.col("rep") > top).select("rep", "text"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return own.join(hinted(cut(ids.distinct()), 300_000), "rep", "left_semi")
@@ -358,17 +364,33 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", tex
     full = rest.join(named, "rep").join(texts_of(rest.select("rep")), "rep")
     links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
     comps = cut(connected_components(links, "x", "y"))
-    named = classes.select("a", "b", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
+    named = classes.select("a", "b", "rep", "own").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = base.select("doc_id", "h", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    nameless = F.col("doc_id").isNull() & ((F.col("n_shingles") == 0) | ((F.col("rep") > top) & (F.col("rep") == component) & (F.col("h") == F.col("own"))))
+    return out.select("doc_id", "h", "n_shingles", F.when(component <= top, component).alias("component_id"), kept.alias("kept"), (kept | nameless).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept.
+
+    Null and empty texts have no shingles and are linked with nothing.  Equal sets are one class, so repeated rows and
+    copies are linked; rows of one id count as one document.  A row with a null id links others but is not kept; its
+    component_id is null if its component has no id.  An empty table gives no rows.
+    """
+    return _grouped(docs, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with all their columns; of repeated rows of one id one stays."""
-    gone = hinted(cut(near_duplicates(docs, width, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()), 300_000)
-    once = docs.dropDuplicates([id_col])
-    return once.join(gone, once[id_col] == gone["_gone"], "left_anti")
+    """The rows of docs that are kept, with all their columns; of rows that repeat id and text one stays.
+
+    Of a component without ids one text stays; rows without ids whose component has an id do not.
+    """
+    gone = _grouped(docs, width, id_col, text_col).where("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_gone_h")).distinct()
+    gone = hinted(cut(gone), 300_000)
+    once = docs.withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"])
+    return once.join(gone, once[id_col].cast("long").eqNullSafe(gone["_gone"]) & (once["_h"] == gone["_gone_h"]), "left_anti").drop("_h")
 
 
 ORACLE = r"""

@@ -339,6 +339,19 @@ def test_near_duplicates_with_large_nodes(spark, monkeypatch):
     assert [got[i] for i in range(150)] == [c for _, c in components(texts, 2)]
 
 
+def test_near_duplicates_with_null_ids(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    near = {x: x.rsplit(" ", 2)[0] + " other end" for x in (a, b)}
+    rows = [(None, a), (7, a), (9, a), (8, near[a]), (None, b), (None, b), (None, b.upper()), (None, near[b]), (None, c), (3, d), (3, d), (3, c[:200]), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in near_dups.near_duplicates(table).collect())
+    assert got == Counter({(None, 7, False): 1, (7, 7, True): 1, (9, 7, False): 1, (8, 7, False): 1, (None, None, False): 7, (3, 3, True): 3})
+    once = [(x.doc_id, x.text) for x in near_dups.one_of_each(table).collect()]
+    assert sum(x in (b, b.upper(), near[b]) for _, x in once) == 1
+    assert sorted(map(str, [x for x in once if x[1] not in (b, b.upper(), near[b])])) == sorted(map(str, [(7, a), (None, c), (3, d), (3, c[:200]), (None, None), (None, "")]))
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(300, 8)).round(2)
