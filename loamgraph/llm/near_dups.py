@@ -158,7 +158,7 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def in_blocks(dense: DataFrame, visitors: DataFrame | None = None) -> DataFrame:
     """group, rep of the blocks of large nodes: each class in its own one; the smallest class and visitors (node, rep) in all."""
-    own = dense.select(F.xxhash64("node", F.pmod(F.xxhash64("rep"), "blocks")).alias("group"), "rep")
+    own = dense.select(F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), "blocks")).alias("group"), "rep")
     every = dense.where("rep = least").select("node", "blocks", "rep")
     if visitors is not None:
         every = every.unionByName(dense.join(visitors, ["node", "rep"], "left_semi").select("node", "blocks", "rep")).distinct()
@@ -357,11 +357,12 @@ def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     more = proposals(apart(found, named_now())).groupBy("x", "y").agg(F.max("agree").alias("agree"))
     links = cut(links.unionByName(confirm(cut(_few_per_class(more).join(tried, ["x", "y"], "left_anti")))))
     named = named_now()
-    held = dense.join(named, "rep").select("node", "rep", "comp")
+    held = dense.join(named, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
     main = held.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
     visitors = held.join(main, "node").where("comp != m.comp").select("node", "rep")
-    rest = cut(undecided(apart(small.unionByName(in_blocks(dense, visitors)), named)).distinct())
-    full = rest.join(named, "rep").join(texts_of(rest.select("rep")), "rep")
+    every = held.select("rep", "comp").distinct().unionByName(named).distinct()  # with classes of large nodes that have no candidate yet
+    rest = cut(undecided(apart(small, named)).unionByName(undecided(apart(in_blocks(dense, visitors), every))).distinct())
+    full = rest.join(every, "rep").join(texts_of(rest.select("rep")), "rep")
     links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
     comps = cut(connected_components(links, "x", "y"))
     named = classes.select("a", "b", "rep", "own").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -339,6 +339,21 @@ def test_near_duplicates_with_large_nodes(spark, monkeypatch):
     assert [got[i] for i in range(150)] == [c for _, c in components(texts, 2)]
 
 
+def test_near_duplicates_of_texts_made_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "LIMIT", 4)
+    monkeypatch.setattr(near_dups, "BACKGROUND", 0.001)
+    r = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(60)]
+    texts = []
+    for _ in range(160):
+        own = r.sample(range(60), 12)
+        texts.append(" ".join(passages[k] for k in own))
+        if len(texts) < 240:  # its partner, the only text that it is linked with, has another last passage
+            texts.append(" ".join(passages[k] for k in [*own[:-1], r.choice([k for k in range(60) if k not in own])]))
+    got = {x.doc_id: x.component_id for x in near_dups.near_duplicates(make(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, 2)]
+
+
 def test_near_duplicates_with_null_ids(spark):
     r = random.Random(5)
     a, b, c, d = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
