@@ -6,7 +6,7 @@ chooses, 1 / 0.8 on average, so two sets of similarity 0.8 stay together with so
 compared exhaustively by sketches.  A node that is still large at the last level is dealt into blocks, each with the node's
 smallest class.  Candidates are confirmed on full sets.  Three rounds: every class proposes its best partner and its smallest
 one; then its best partner in another component; then full sets meet within their nodes, for all pairs of components that
-are still apart, and classes outside a large node's main component visit all its blocks.
+are still apart; classes outside a large node's main component meet all its classes, in tiles of bounded size.
 
 With 16 trees a pair of similarity 0.8 misses all of them with a probability of about 1e-7 at level 3, 1e-6 at level 4 and
 1e-5 at level 6, and its sketch with about 1e-6; higher similarities miss far less, and components mostly hold together by
@@ -156,14 +156,34 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             return small, dense
 
 
-def in_blocks(dense: DataFrame, visitors: DataFrame | None = None) -> DataFrame:
-    """group, rep of the blocks of large nodes: each class in its own one; the smallest class and visitors (node, rep) in all."""
+def in_blocks(dense: DataFrame) -> DataFrame:
+    """group, rep of the blocks of large nodes: each class in its own one, the smallest class in all."""
     own = dense.select(F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), "blocks")).alias("group"), "rep")
-    every = dense.where("rep = least").select("node", "blocks", "rep")
-    if visitors is not None:
-        every = every.unionByName(dense.join(visitors, ["node", "rep"], "left_semi").select("node", "blocks", "rep")).distinct()
-    spread = every.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return own.unionByName(spread.select(F.xxhash64("node", "block").alias("group"), "rep")).distinct()
+    every = dense.where("rep = least").select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return own.unionByName(every.select(F.xxhash64("node", "block").alias("group"), "rep")).distinct()
+
+
+def in_tiles(held: DataFrame) -> DataFrame:
+    """group, rep: every pair of a large node's classes meets in a group unless both are of the node's largest component.
+
+    held: node, rep, comp.  The classes outside that component and those inside are dealt into tiles of about LIMIT each; a
+    group is two tiles, of which one at least is of classes outside.  So groups are small whatever a node's size; their
+    number grows with outside x all classes of a node / LIMIT^2.
+    """
+    comps = held.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    main = comps.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
+    main = main.select("node", F.col("m.comp").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / LIMIT).alias("outside"), F.ceil(F.col("m.n") / LIMIT).alias("inside"))
+    rows = held.join(main, "node").where("outside > 0")
+    tiled = rows.withColumn("out", F.col("comp") != F.col("main")).withColumn("tile", F.pmod(F.xxhash64("node", "rep"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("inside"))))
+
+    def upto(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+
+    outer = tiled.where("out")
+    both = outer.select("node", "rep", "tile", upto("outside")).select(F.xxhash64("node", F.lit("out"), F.least("tile", "other"), F.greatest("tile", "other")).alias("group"), "rep")
+    visits = outer.select("node", "rep", "tile", upto("inside")).select(F.xxhash64("node", F.lit("in"), "tile", "other").alias("group"), "rep")
+    hosts = tiled.where("NOT out").select("node", "rep", "tile", upto("outside")).select(F.xxhash64("node", F.lit("in"), "other", "tile").alias("group"), "rep")
+    return both.unionByName(visits).unionByName(hosts)
 
 
 def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,11 +377,9 @@ def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     more = proposals(apart(found, named_now())).groupBy("x", "y").agg(F.max("agree").alias("agree"))
     links = cut(links.unionByName(confirm(cut(_few_per_class(more).join(tried, ["x", "y"], "left_anti")))))
     named = named_now()
-    held = dense.join(named, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
-    main = held.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
-    visitors = held.join(main, "node").where("comp != m.comp").select("node", "rep")
+    held = cut(dense.join(named, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp")))
     every = held.select("rep", "comp").distinct().unionByName(named).distinct()  # with classes of large nodes that have no candidate yet
-    rest = cut(undecided(apart(small, named)).unionByName(undecided(apart(in_blocks(dense, visitors), every))).distinct())
+    rest = cut(undecided(apart(small, named)).unionByName(undecided(apart(in_tiles(held), every))).distinct())
     full = rest.join(every, "rep").join(texts_of(rest.select("rep")), "rep")
     links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
     comps = cut(connected_components(links, "x", "y"))

@@ -354,6 +354,18 @@ def test_near_duplicates_of_texts_made_of_passages(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, 2)]
 
 
+def test_tiles_of_a_large_node_are_bounded_and_complete(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "LIMIT", 20)
+    comp = {i: 0 if i % 5 == 0 else i for i in range(300)}  # 60 of one component, 240 alone
+    held = spark.createDataFrame([(1, i, c) for i, c in comp.items()] + [(2, i, 0) for i in range(50)], "node long, rep long, comp long")
+    groups = {}
+    for x in near_dups.in_tiles(held).collect():
+        groups.setdefault(x.group, set()).add(x.rep)
+    assert max(map(len, groups.values())) <= 4 * 20
+    met = {(i, j) for g in groups.values() for i in g for j in g if i < j}
+    assert met >= {(i, j) for j in range(300) for i in range(j) if comp[i] != comp[j]}
+
+
 def test_near_duplicates_with_null_ids(spark):
     r = random.Random(5)
     a, b, c, d = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
