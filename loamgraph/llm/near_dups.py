@@ -20,7 +20,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +96,11 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 n = len(bounds) - 1
                 ends = place.tolist()
                 keys = np.frombuffer(b"".join(hashlib.blake2b(sets[ends[i] : ends[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)), np.int64).reshape(n, 2)
-                text = pc.if_else(part.column("doc_id").is_null(), part.column("text"), pa.scalar(None, part.column("text").type)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), text, pa.array(np.diff(place), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "h", "text", "n_shingles", "a", "b", "sig"])
+                nameless = np.flatnonzero(part.column("doc_id").is_null().to_numpy(zero_copy_only=False)).tolist()
+                text = [None] * n
+                for i in nameless:
+                    text[i] = part.column("text")[i].as_py()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(text, pa.string()), pa.array(np.diff(place), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "h", "text", "n_shingles", "a", "b", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     return rows.mapInArrow(run, "doc_id long, h long, text string, n_shingles long, a long, b long, sig binary")
