@@ -16,7 +16,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_pows: dict[str, np.ndarray] = {}
+#: The lowest k bytes of a block.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,26 +59,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    if len(_pows.get("p", ())) < n:
-        size = max(n, BATCH_BYTES * 2)
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        for name, base in (("p", _P), ("q", inverse)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _pows[name] = np.multiply.accumulate(a)
-    return _pows["p"][:n], _pows["q"][:n]
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
-    p, q = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every piece, one piece after the other."""
     total = int(lengths.sum())
@@ -87,6 +68,42 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", held.data, strides=(1,))
+
+
+def span_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of the bytes of each span; which spans are longer than seven bytes, their blocks of eight bytes one after the other, and how many each has.
+
+    Up to seven bytes map one to one.  Of longer spans every block is mixed with a key of its place before the blocks are
+    summed, so no pattern of the bytes carries over into the sum, as it does with powers modulo 2**64.  Other seeds give
+    independent hashes.
+    """
+    view, size = blocks(data), end - start
+    key = mix(np.array([seed], np.uint64) * _P)[0]
+    out = mix(((view[start] & _MASKS[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))) ^ key)
+    long = np.flatnonzero(size > 7)
+    if not len(long):
+        return out, long, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    count = (size[long] + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    held = view[np.repeat(start[long], count) + 8 * place]
+    last = first + count - 1
+    held[last] &= _MASKS[size[long] - 8 * (count - 1)]
+    mixed = mix(held ^ mix((place.astype(np.uint64) + key) * _P + np.uint64(1)))
+    out[long] = mix(np.add.reduceat(mixed, first) ^ mix(size[long].astype(np.uint64) + key))
+    return out, long, held, count
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+    return span_blocks(data, start, end, seed)[0]
+
+
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word in texts that lie one after the other (bounds: n + 1 offsets), and the first word of each text (n + 1)."""
     word = np.ones(len(data) + 2, bool)

@@ -67,9 +67,10 @@ class Chunk:
         return at, _rolled(self.hashes, ANCHOR, 0x9E3779B97F4A7C15)[at]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where windows start, and 96 bits of hash."""
+        """Where windows start, and 96 bits of hash, from two independent hashes of the words."""
         at = self.inside(WIDTH)
-        return at, _rolled(self.hashes, WIDTH, 0xD1B54A32D192ED03)[at], _rolled(self.hashes ^ np.uint64(0x5851F42D4C957F2D), WIDTH, 0xA0761D6478BD642F)[at].astype(np.uint32)
+        other = span_hashes(self.data, self.start, self.end, 1)
+        return at, _rolled(self.hashes, WIDTH, 0xD1B54A32D192ED03)[at], _rolled(other, WIDTH, 0xA0761D6478BD642F)[at].astype(np.uint32)
 
 
 def _rows(chunk: int, sorted_: np.ndarray, bucket: np.ndarray) -> pa.Table:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamgraph.llm import bpe, mixing, near_dups, quality, repair, secrets, substrings, token_counts, topk, url_filter
+from loamgraph.llm import bpe, mixing, near_dups, quality, repair, secrets, segments, substrings, token_counts, topk, url_filter
 from loamgraph.llm.common import text_parts
 from loamgraph.llm.queries import BYTE_BPE, MULTI_RANKS, PIECES, QUERIES
 
@@ -90,6 +90,80 @@ def test_pieces_follow_the_pattern():
         assert got == pattern.findall(text)
 
 
+def mirrored(n):
+    """Two words of n letters that collide under every polynomial hash modulo 2**64: the Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_texts_do_not_collide(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    one, two = mirrored(2048)
+    near = " ".join(f"w{i}" for i in range(12))
+    texts = [one, two, f"{one}\n{two}\n{one}", f"{near} {one} {near}", f"{near[::-1]} {two} {near[::-1]}", f"{one} x", f"{two} x"]
+    docs = make(spark, texts)
+    own = Tokenizer.from_file(BYTE_BPE)
+    ids = [own.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [r.n_tokens for r in token_counts.token_counts(docs, BYTE_BPE).orderBy("doc_id").collect()] == [len(x) for x in ids]
+    assert [r.decoded_sha256 for r in bpe.encode_decode(docs, MULTI_RANKS).orderBy("doc_id").collect()] == [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+    repair.write_shards(docs, BYTE_BPE, str(tmp_path / "shards"))
+    assert [r.ids_crc32 for r in repair.read_shards(spark, str(tmp_path / "shards")).orderBy("doc_id").collect()] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in ids]
+    assert [r.n_dup_lines for r in quality.rate(docs, MULTI_RANKS, PIECES).orderBy("doc_id").collect()] == [0, 0, 1, 0, 0, 0, 0]
+    windows = make(spark, [f"{near} {one}", f"{near} {two}", f"{near} {one}"])
+    assert [r.n_removed for r in substrings.remove_repeats(windows).orderBy("doc_id").collect()] == [0, 0, 13]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in components(texts, 2)]
+
+
+def test_cache_hits_are_compared_and_generations_turn(monkeypatch):
+    calls = []
+    real = segments.span_blocks
+
+    def weak(data, start, end, seed=0):  # all spans of more than seven bytes collide
+        out, long, held, count = real(data, start, end, seed)
+        out[long] = 77
+        return out, long, held, count
+
+    monkeypatch.setattr(segments, "span_blocks", weak)
+    encoder = segments.Encoder(lambda found: calls.append(found) or [list(x) for x in found], cache=8)
+    r = random.Random(1)
+    for _ in range(40):
+        text = " ".join("".join(r.choice("abc") for _ in range(r.choice((1, 2, 9, 17)))) for _ in range(30)).encode()
+        data = np.frombuffer(text, np.uint8)
+        ids, place = encoder.ids(data, np.array([0, len(data)]))
+        assert ids.tolist() == list(text) and place.tolist() == [0, len(data)]
+
+
+def test_long_texts_are_cut_where_pieces_begin():
+    import regex
+
+    pattern, r, most = regex.compile(public_tokenizers.PATTERN), random.Random(6), 1
+    for _ in range(300):
+        text = "".join(r.choice("ab '\n\ts1.é\u3000") for _ in range(r.randint(0, 300)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = [x.tobytes().decode() for x in segments.in_parts(data, np.array([0, len(data)]), 16)]
+        assert "".join(parts) == text and [y for x in parts for y in pattern.findall(x)] == pattern.findall(text)
+        most = max(most, len(parts))
+    assert most > 5
+
+
+def test_a_text_of_many_megabytes(spark):
+    from tokenizers import Tokenizer
+
+    line = "Ein längerer Satz, it's 12 words\n and   more 日本 of them. "
+    text = line * (24_000_000 // len(line))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    part = line * 1000
+    own = Tokenizer.from_file(BYTE_BPE)
+    a, b = (len(own.encode(x, add_special_tokens=False).ids) for x in (part, part + part))
+    n = text.count(line)
+    got = token_counts.token_counts(docs, BYTE_BPE).head()
+    assert (got.n_tokens, got.n_bytes) == (a + (b - a) * (n - 1000) // 1000, len(text.encode()))
+    got = bpe.encode_decode(docs, MULTI_RANKS).head()
+    assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got.n_tokens > n * 10
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     slots = bpe.PerfectHash(keys).slot(keys)
