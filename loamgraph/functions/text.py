@@ -223,3 +223,21 @@ def is_read_only(query: Column) -> Column:
 
 def cross_check(quote: Column, evidence: Column) -> Column:
     return F.coalesce(evidence.contains(quote), F.lit(False)) & (F.trim(quote) != "")
+
+
+def fenced(raw: Column) -> Column:
+    """What stands inside a code fence at the beginning of a text, else the text."""
+    text = F.trim(raw)
+    inner = F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*)```", 1)
+    return F.when(F.startswith(text, F.lit("```")), F.trim(inner)).otherwise(text)
+
+
+# fixed values: scores of a judge's ratings, and of ratings that are missing or unknown
+RATINGS, UNRATED = {"EXPLICIT": 1.0, "INFERRED": 0.7, "PLAUSIBLE": 0.4, "HALLUCINATED": 0.1}, 0.5
+
+
+def rating_score(rating: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(None).cast("double"))
+    for name, score in RATINGS.items():
+        out = out.when(F.upper(rating) == name, score)
+    return out.otherwise(UNRATED)

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import cut
+
 #: Edges with whole-number ends that one task takes at once (16 bytes each); more go through distributed rounds.
 ONE_TASK = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir; a folder is chosen only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "loamgraph-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def _unite(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of each one's component, for nodes 0..n-1 and edges a, b, by hooking and pointer jumping."""
     n = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
@@ -54,8 +44,9 @@ def _in_one_task(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (smallest node reachable) for every node of an edge; self loops and nulls are ignored.
 
-    Up to ONE_TASK edges, by count, go to one task.  Else each round ends in a checkpoint; the number of rounds grows with the logarithm of the longest path.  A hub's edges are
-    reduced by partial aggregates and skew joins, so no task holds a whole component.
+    Up to ONE_TASK edges, by count, go to one task.  Else each round ends in a checkpoint; the number of rounds grows with
+    the logarithm of the longest path.  A hub's edges are reduced by partial aggregates and skew joins, so no task holds a
+    whole component.
     """
     e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
     e, before = cut(e), None

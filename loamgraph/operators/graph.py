@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut
+from .components import connected_components
+from .core import cut
 
-__all__ = ["closure", "closure_pairs", "connected_components", "core_cycles", "cycle_nodes", "depths", "neighbourhood", "outline", "paths", "scc"]
+__all__ = ["closure", "closure_pairs", "connected_components", "core_cycles", "cycle_nodes", "depths", "imports_dag", "neighbourhood", "outline", "paths", "scc"]
 
 
 def closure(edges: DataFrame, starts, max_depth: int = 50, reverse: bool = False) -> DataFrame:
@@ -65,29 +66,61 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).distinct()
 
 
-def scc(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """node and component (its smallest member) of strongly connected components with several nodes or a self loop."""
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that are left when those without incoming or outgoing edges are pruned again and again."""
     core = cycle_nodes(edges)
-    own = cut(edges.select("src", "dst")).join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    pairs = closure_pairs(own, max_depth).select("src", "dst")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    mutual = both.groupBy("src", "dst").agg(F.count("*").alias("n")).where("n = 2 OR src = dst")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+    return cut(edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct())
+
+
+def _coloured(e: DataFrame) -> DataFrame:
+    """node and colour: the largest node that reaches it."""
+    colour = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        sent = e.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("got"))
+        now = cut(colour.join(sent, "node", "left").select("node", F.greatest("colour", "got").alias("colour"), (F.col("got") > F.col("colour")).alias("new")))
+        if not now.where("new").limit(1).count():
+            return now.select("node", "colour")
+        colour = now.select("node", "colour")
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest member) of strongly connected components with several nodes or a self loop.
+
+    Every round colours each node by the largest node that reaches it; what reaches that node within its colour is its
+    component.  At least one component of each connected part is found and removed, so the rounds end; no reachable pairs
+    are made, and cycles may have any length.
+    """
+    e = _trimmed(edges.select("src", "dst"))
+    loops = cut(e.where("src = dst").select(F.col("src").alias("node")).distinct())
+    out = e.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while e.limit(1).count():
+        colour = _coloured(e)
+        inside = e.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_c")), "dst").where("colour = _c").select("src", "dst", "colour")
+        inside = cut(inside)
+        known = frontier = cut(colour.where("node = colour"))
+        while frontier.limit(1).count():
+            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            frontier = cut(back.join(known, ["node", "colour"], "left_anti"))
+            known = cut(known.unionByName(frontier))
+        size = known.groupBy("colour").agg(F.count("*").alias("n"), F.min("node").alias("component"))
+        found = known.join(size, "colour").join(loops.withColumn("_loop", F.lit(True)), "node", "left").where("n > 1 OR _loop")
+        out = cut(out.unionByName(found.select("node", "component")))
+        gone = known.select("node")
+        e = _trimmed(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return out
 
 
-def core_cycles(edges: DataFrame, max_length: int = 20) -> DataFrame:
-    """Simple cycles as arrays that start with their smallest node."""
+def core_cycles(edges: DataFrame) -> DataFrame:
+    """All simple cycles as arrays that start with their smallest node; their number, not their length, bounds the work."""
     core = cycle_nodes(edges)
     e = cut(edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").distinct())
     found = e.where("src = dst").select(F.array("src").alias("cycle"))
     walk = cut(e.where("src < dst").select(F.array("src", "dst").alias("path")))
-    for _ in range(max_length):
+    while walk.limit(1).count():
         step = walk.withColumn("src", F.element_at("path", -1)).join(e, "src")
         closed = step.where(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))
         found = cut(found.unionByName(closed))
         walk = cut(step.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
-        if not walk.limit(1).count():
-            break
     return found.distinct()
 
 
@@ -113,12 +146,13 @@ def neighbourhood(edges: DataFrame, domain: DataFrame) -> DataFrame:
     return parents.join(children, "node", "full_outer").join(props, "node", "full_outer")
 
 
-def paths(edges: DataFrame, roots: DataFrame, cap: int = 20) -> DataFrame:
-    """Every simple path from the roots against the edges (parent to child): path, depth."""
+def paths(edges: DataFrame, roots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Every simple path from the roots against the edges (parent to child), of at most cap edges if it is given: path, depth."""
     e = edges.select(F.col("dst").alias("node"), F.col("src").alias("_child"))
     walk = cut(roots.select("node", F.array("node").alias("path"), F.lit(0).alias("depth")))
-    out = walk
-    for depth in range(1, cap + 1):
+    out, depth = walk, 0
+    while cap is None or depth < cap:
+        depth += 1
         step = walk.join(e, "node").where(~F.array_contains("path", F.col("_child")))
         walk = cut(step.select(F.col("_child").alias("node"), F.concat("path", F.array("_child")).alias("path"), F.lit(depth).alias("depth")))
         if not walk.limit(1).count():
@@ -127,13 +161,13 @@ def paths(edges: DataFrame, roots: DataFrame, cap: int = 20) -> DataFrame:
     return out
 
 
-def outline(edges: DataFrame, roots: DataFrame, labels: DataFrame, cap: int = 20) -> DataFrame:
+def outline(edges: DataFrame, roots: DataFrame, labels: DataFrame) -> DataFrame:
     """Indented lines in pre-order by label: sort_key (array of labels), line."""
     named = labels.select("node", "label")
     e = edges.join(named.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("src").alias("_child"), F.col("label").alias("_label"))
     walk = cut(roots.join(named, "node").select("node", F.array("label").alias("sort_key"), F.array("node").alias("path")))
     out = walk
-    for _ in range(cap):
+    while True:
         step = walk.join(e, "node").where(~F.array_contains("path", F.col("_child")))
         walk = cut(step.select(F.col("_child").alias("node"), F.concat("sort_key", F.array("_label")).alias("sort_key"), F.concat("path", F.array("_child")).alias("path")))
         if not walk.limit(1).count():
@@ -143,12 +177,12 @@ def outline(edges: DataFrame, roots: DataFrame, labels: DataFrame, cap: int = 20
     return out.select(F.array_join("sort_key", "/").alias("sort_key"), line.alias("line"))
 
 
-def shortest_paths(edges: DataFrame, start, max_depth: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame, start) -> DataFrame:
     """One shortest undirected path from start to every node it reaches: node, path (the smallest of equals)."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = cut(both.where(F.col("src") == start).select(F.col("src").alias("node")).distinct().select("node", F.array("node").alias("path")))
     frontier = known
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(both.select(F.col("src").alias("node"), "dst"), "node").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
         frontier = cut(step.groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
         if not frontier.limit(1).count():
@@ -157,6 +191,29 @@ def shortest_paths(edges: DataFrame, start, max_depth: int = 20) -> DataFrame:
     return known
 
 
+def imports_dag(edges: DataFrame, names: DataFrame, root=None, direction: str = "both", max_depth: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, name) and edges (src, dst) of the imports graph: all of it, or what the root imports (outbound), what imports it (inbound), or both.
+
+    The depth is held to 1..50.  Nodes are sorted by lower-cased name and key, edges by their ends.
+    """
+    if direction not in ("outbound", "inbound", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    e = edges.select("src", "dst").distinct()
+    if root is not None:
+        max_depth = max(1, min(int(max_depth), 50))
+        sides = []
+        for name, reverse, near in (("outbound", False, "src"), ("inbound", True, "dst")):
+            if direction in (name, "both"):
+                reached = closure(edges, [root], max_depth, reverse).where(F.col("depth") < max_depth)
+                sides.append(e.join(reached.select(F.col("node").alias(near)), near, "left_semi").select("src", "dst"))
+        e = reduce(DataFrame.unionByName, sides).distinct()
+    nodes = incident(e)
+    if root is not None:
+        nodes = nodes.union(names.where(F.col("node") == root).select("node")).distinct()
+    named = nodes.join(names.select("node", "name"), "node", "left").select("node", "name")
+    return named.orderBy(F.lower(F.coalesce("name", F.col("node").cast("string"))), "node"), e.orderBy("src", "dst")
+
+
 def incident(edges: DataFrame) -> DataFrame:
     """All end points of edges, once."""
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -1,7 +1,8 @@
 """Entity resolution and alignment: blocking, scoring, clustering, adjudication and repair.
 
-Scored joins go through shared tokens: a pair without a common token scores 0, so blocking loses nothing above a positive
-threshold.  Pairs are unordered (a < b).
+Scored joins go through a prefix filter: of each label and each description only the rarest tokens block, as many as a pair
+needs to have one in common if its similarity reaches the threshold, so nothing above it is lost and frequent tokens make
+no pairs.  Pairs are unordered (a < b).
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .components import connected_components, cut
+from .components import connected_components
+from .core import cut
 
 
 def blocks(df: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
@@ -36,15 +38,78 @@ def label_description_score(label_weight: float = 0.6, description_weight: float
     return X.token_overlap(F.col("label_a"), F.col("label_b")) * label_weight + X.token_overlap(F.col("description_a"), F.col("description_b")) * description_weight
 
 
-def scored_join(left: DataFrame, right: DataFrame | None, least: float, score: Column | None = None) -> DataFrame:
-    """a, b, score of pairs that score at least so much (least > 0) over labels and descriptions."""
+def rare_tokens(df: DataFrame, column: str, least: float, frequency: DataFrame) -> DataFrame:
+    """key, token and size: of each row's n distinct tokens the rarest n - ceil(least n) + 1 (ties by token), and n.
+
+    Two sets with a Jaccard similarity of at least `least` have one of these in common.
+    """
+    own = df.select("key", F.array_distinct(X.tokens(F.col(column))).alias("ws")).select("key", F.size("ws").alias("size"), F.explode("ws").alias("token"))
+    ranked = own.join(frequency, "token").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("n", "token")))
+    return ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("key", "token", "size")
+
+
+def similar_candidates(left: DataFrame, right: DataFrame | None, column: str, least: float) -> DataFrame:
+    """Distinct pairs a, b that may have token sets of `column` with a Jaccard similarity of at least `least` (> 0)."""
+    words = lambda df: df.select("key", F.explode(F.array_distinct(X.tokens(F.col(column)))).alias("token"))
+    every = words(left) if right is None else words(left).unionByName(words(right))
+    frequency = every.groupBy("token").agg(F.count("*").alias("n"))
+    a = rare_tokens(left, column, least, frequency)
+    b = a if right is None else rare_tokens(right, column, least, frequency)
+    pairs = a.select(F.col("key").alias("a"), "token", F.col("size").alias("m")).join(b.select(F.col("key").alias("b"), "token", F.col("size").alias("n")), "token")
+    fits = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
+    return pairs.where(fits if right is not None else fits & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
+def scored_join(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """a, b, score of pairs that score at least so much (0 < least <= 1) over labels and descriptions.
+
+    The score is a weighted mean of two similarities, so one of them reaches the threshold in every pair that does.
+    """
     if least <= 0:
         raise ValueError("the threshold must be positive")
-    both = lambda df: df.withColumn("label", F.concat_ws(" ", "label", "description"))
-    tokens = lambda df: both(df).select("key", F.explode(X.tokens(F.col("label"))).alias("token"))
-    pairs = candidate_pairs(tokens(left), None if right is None else tokens(right))
+    pairs = similar_candidates(left, right, "label", least).unionByName(similar_candidates(left, right, "description", least)).distinct()
     out = with_sides(pairs, left, left if right is None else right, ["label", "description"])
-    return out.withColumn("score", label_description_score() if score is None else score).where(F.col("score") >= least).select("a", "b", "score")
+    return out.withColumn("score", label_description_score()).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def rescored(scores: DataFrame, changed: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """scores (a, b, score of all pairs within rows) after the keys of `changed` got new labels or descriptions, or left.
+
+    Pairs that touch a changed key are dropped; only pairs of a changed key with another row are made anew; the others stay.
+    """
+    keys = changed.select("key").distinct()
+    touched = lambda side: keys.select(F.col("key").alias(side))
+    kept = scores.join(touched("a"), "a", "left_anti").join(touched("b"), "b", "left_anti").select("a", "b", "score")
+    fresh = scored_join(rows.join(keys, "key", "left_semi"), rows, least).where("a <> b")
+    return kept.unionByName(fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct())
+
+
+def prf(predicted: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: precision, recall, f1 (4 digits), tp, fp, fn of two tables as sets of their keys."""
+    both = predicted.select(*keys).distinct().withColumn("p", F.lit(1)).join(reference.select(*keys).distinct().withColumn("r", F.lit(1)), keys, "full_outer")
+    n = lambda cond: F.count(F.when(cond, 1))
+    counts = both.agg(n(F.col("p").isNotNull() & F.col("r").isNotNull()).alias("tp"), n(F.col("r").isNull()).alias("fp"), n(F.col("p").isNull()).alias("fn"))
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    out = counts.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
+    f1 = share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return out.select(F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"), "tp", "fp", "fn")
+
+
+# fixed values: the relation of a verdict; both directions of a subclass have one relation
+RELATION = {"equivalent": "owl:equivalentClass", "subclass": "rdfs:subClassOf", "superclass": "rdfs:subClassOf", "related": "skos:related"}
+
+
+def relation_of(verdict: Column, fallback: Column | str = "skos:related") -> Column:
+    """Relation of a verdict, the fallback for others."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, relation in RELATION.items():
+        out = out.when(verdict == name, relation)
+    return out.otherwise(fallback)
+
+
+def direction_of(verdict: Column) -> Column:
+    """up: the left side is the subclass; down: the right side is; null for verdicts without a direction."""
+    return F.when(verdict == "subclass", "up").when(verdict == "superclass", "down")
 
 
 def clusters(pairs: DataFrame, least_size: int = 2) -> DataFrame:
@@ -74,23 +139,58 @@ def priority(kind: Column) -> Column:
     return F.when(kind == "disagreement", 2).when(kind == "hallucination", 1).otherwise(0)
 
 
-def repair(correspondences: DataFrame, disjoint: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Correspondences (a, b, confidence) that remain when, as long as a disjoint pair (x, y) shares a component, the weakest
-    edge (lowest confidence, then smallest pair) of that component's offending paths is dropped.
+def connecting_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """x, y and edges (array of structs confidence, a, b) of one shortest path between each x and y: the smallest of equals by its nodes.
 
-    All components are repaired in parallel; a round drops one edge of each component that has a conflict.
+    edges: a, b, confidence, undirected.  All searches go on together, level by level; one that has met its end stops.
+    """
+    edge, none = F.struct("confidence", "a", "b").alias("edge"), F.filter(F.array(F.struct("confidence", "a", "b")), lambda _: F.lit(False))
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next"), edge).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), edge)))
+    empty = edges.select(none.alias("edges")).schema["edges"].dataType
+    walk = cut(ends.select("x", "y", F.col("x").alias("node"), F.array("x").alias("nodes"), F.array().cast(empty).alias("edges")))
+    known, out = walk.select("x", "y", "node"), walk.select("x", "y", "edges").limit(0)
+    while walk.limit(1).count():
+        step = walk.join(both, "node").select("x", "y", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"))
+        new = step.join(known, ["x", "y", "node"], "left_anti").groupBy("x", "y", "node").agg(F.min(F.struct("nodes", "edges")).alias("m"))
+        new = cut(new.select("x", "y", "node", "m.nodes", "m.edges"))
+        ended = new.where("node = y").select("x", "y", "edges")
+        out = out.unionByName(ended)
+        walk = new.join(ended.select("x", "y"), ["x", "y"], "left_anti")
+        known = known.unionByName(new.select("x", "y", "node"))
+    return out
+
+
+def repair(correspondences: DataFrame, disjoint: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept correspondences (a, b, confidence), and removals (a, b, confidence, and the conflict x, y that each resolves).
+
+    As long as a disjoint pair (x, y) shares a component, the edge of a shortest path between the two with the lowest
+    confidence (null: 0), of equals the smallest (a, b), is removed.  A round takes the smallest conflict of each component,
+    so components are repaired side by side; every round removes an edge of each, so the rounds end.
     """
-    left = cut(correspondences.select("a", "b", "confidence"))
-    for _ in range(rounds):
+    left, gone = cut(correspondences.select("a", "b", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))), None
+    pairs = cut(disjoint.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    while True:
         comps = cut(connected_components(left, "a", "b"))
-        x = disjoint.join(comps.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x")
-        bad = cut(x.join(comps.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y").where("cx = cy").select(F.col("cx").alias("component")).distinct())
+        x = pairs.join(comps.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x")
+        shared = x.join(comps.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y").where("cx = cy")
+        bad = cut(shared.groupBy("cx").agg(F.min(F.struct("x", "y")).alias("m")).select("m.x", "m.y", F.col("cx").alias("component")))
         if not bad.limit(1).count():
             break
-        own = left.join(comps.select(F.col("node").alias("a"), "component"), "a").join(bad, "component", "left_semi")
-        gone = own.groupBy("component").agg(F.min(F.struct("confidence", "a", "b")).alias("e")).select("e.a", "e.b")
-        left = cut(left.join(gone, ["a", "b"], "left_anti"))
-    return left
+        inside = left.join(comps.select(F.col("node").alias("a"), "component"), "a").join(bad.select("component"), "component", "left_semi")
+        weakest = connecting_paths(inside, bad).select("x", "y", F.array_min("edges").alias("e"))
+        now = cut(weakest.select("e.a", "e.b", "e.confidence", "x", "y"))
+        gone = now if gone is None else gone.unionByName(now)
+        left = cut(left.join(now.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "confidence"))
+    return left, left.select("a", "b", "confidence", F.col("a").alias("x"), F.col("b").alias("y")).limit(0) if gone is None else gone
+
+
+def coherence_report(correspondences: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """One row without changing anything: coherent (before repair), disjoint_axioms, removed_count and kept_count."""
+    kept, gone = repair(correspondences, disjoint)
+    axioms = disjoint.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    named = [df.select(F.lit(name).alias("what")) for name, df in (("axiom", axioms), ("removed", gone), ("kept", kept))]
+    n = lambda name: F.count(F.when(F.col("what") == name, 1))
+    return named[0].unionAll(named[1]).unionAll(named[2]).agg((n("removed") == 0).alias("coherent"), n("axiom").alias("disjoint_axioms"), n("removed").alias("removed_count"), n("kept").alias("kept_count"))
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:

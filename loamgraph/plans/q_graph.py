@@ -166,6 +166,18 @@ def effective_view(t):
     return own.join(F.broadcast(sources), "source_id").join(F.broadcast(names), "source_id").select("key", "label", "source_id", "source_name", (F.col("source_id") != 24).alias("is_imported"))
 
 
-@query("SELECT src, dst FROM imports_edges UNION SELECT src, dst FROM cyclic_edges")
+@query("""WITH RECURSIVE o(node, depth) AS (SELECT 9::BIGINT, 0 UNION SELECT e.dst, o.depth + 1 FROM o JOIN cyclic_edges e ON e.src = o.node WHERE o.depth < 3), i(node, depth) AS (SELECT 9::BIGINT, 0 UNION SELECT e.src, i.depth + 1 FROM i JOIN cyclic_edges e ON e.dst = i.node WHERE i.depth < 3),
+f AS (SELECT DISTINCT 'full' AS part, src, dst FROM cyclic_edges), r AS (SELECT DISTINCT e.src, e.dst FROM cyclic_edges e JOIN o ON o.node = e.src AND o.depth < 3 UNION SELECT DISTINCT e.src, e.dst FROM cyclic_edges e JOIN i ON i.node = e.dst AND i.depth < 3)
+SELECT part, src, dst FROM f UNION ALL SELECT 'rooted', src, dst FROM r""")
 def imports_dag_dispatch(t):
-    return t.imports_edges.union(t.cyclic_edges).distinct()
+    """The whole imports graph, and what lies within three steps of one ontology on either side."""
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_name").alias("name"))
+    full, rooted = G.imports_dag(t.cyclic_edges, names)[1], G.imports_dag(t.cyclic_edges, names, 9, "both", 3)[1]
+    return full.select(F.lit("full").alias("part"), "src", "dst").unionByName(rooted.select(F.lit("rooted").alias("part"), "src", "dst"))
+
+
+@query("""WITH RECURSIVE i(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.src, i.depth + 1 FROM i JOIN imports_edges e ON e.dst = i.node WHERE i.depth < 50) SELECT DISTINCT node, n_name AS name FROM i JOIN nation ON n_nationkey = node""")
+def imports_dag_nodes(t):
+    """What imports one ontology, to any depth, with names."""
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_name").alias("name"))
+    return G.imports_dag(t.imports_edges, names, 3, "inbound", 1000)[0]

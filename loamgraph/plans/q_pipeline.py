@@ -124,24 +124,64 @@ def structural_health(t):
     return own.join(d, "k", "left").join(e, "k", "left").agg(F.sum(F.col("d").isNull().cast("int")).cast("long").alias("no_property"), F.sum(F.col("e").isNull().cast("int")).cast("long").alias("no_parent"))
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS key, coalesce(a.p_partkey, b.k) AS target, CASE WHEN a.p_partkey IS NOT NULL THEN 'uri' WHEN b.k IS NOT NULL THEN 'label' ELSE 'miss' END AS tier FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l LEFT JOIN part a ON a.p_partkey = l_partkey AND a.p_size <= 20 LEFT JOIN (SELECT p_brand, min(p_partkey) AS k FROM part WHERE p_size > 30 GROUP BY 1) b ON b.p_brand = 'Brand#' || (l_suppkey % 40)::VARCHAR")
+@query("""WITH c AS (SELECT p_partkey AS key, 'urn:part#' || p_partkey AS uri, p_name AS label FROM part WHERE p_size <= 30), b AS (SELECT label, min(key) AS k FROM c GROUP BY 1),
+l AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS key, l_partkey, l_suppkey, CASE l_suppkey % 4 WHEN 0 THEN 'urn:part#' || l_partkey WHEN 1 THEN 'x/' || l_partkey WHEN 2 THEN upper(p_name) ELSE '' END AS target, CASE WHEN l_suppkey % 4 = 3 THEN 'made for the ' || p_name || '.' END AS text FROM lineitem JOIN part ON p_partkey = l_partkey),
+m AS (SELECT l.key, u.key AS u, f.key AS f, b.k AS n, x.k AS t FROM l LEFT JOIN c u ON u.uri = l.target LEFT JOIN c f ON f.key::VARCHAR = regexp_replace(l.target, '^.*[#/]', '') LEFT JOIN b ON b.label = lower(l.target) LEFT JOIN b x ON l.text = 'made for the ' || x.label || '.')
+SELECT key, coalesce(u, f, n, t) AS class_key, CASE WHEN u IS NOT NULL THEN 'uri' WHEN f IS NOT NULL THEN 'fragment' WHEN n IS NOT NULL THEN 'label' WHEN t IS NOT NULL THEN 'text' ELSE 'miss' END AS tier FROM m""")
 def range_resolver(t):
-    own = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    a = t.part.where("p_size <= 20").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("by_uri"))
-    b = t.part.where("p_size > 30").groupBy("p_brand").agg(F.min("p_partkey").alias("by_label"))
-    out = own.join(a, "l_partkey", "left").withColumn("p_brand", F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 40).cast("string"))).join(b, "p_brand", "left")
-    tier = F.when(F.col("by_uri").isNotNull(), "uri").when(F.col("by_label").isNotNull(), "label").otherwise("miss")
-    return out.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.coalesce("by_uri", "by_label").alias("target"), tier.alias("tier"))
+    """Targets of links by URI, its last part, label, and what the link's text names."""
+    from ..operators import materialise as M
 
+    classes = t.part.where("p_size <= 30").select(F.col("p_partkey").alias("key"), F.concat(F.lit("urn:part#"), F.col("p_partkey").cast("string")).alias("uri"), F.col("p_name").alias("label"))
+    m, part = F.col("l_suppkey") % 4, F.col("l_partkey").cast("string")
+    target = F.when(m == 0, F.concat(F.lit("urn:part#"), part)).when(m == 1, F.concat(F.lit("x/"), part)).when(m == 2, F.upper("p_name")).otherwise("")
+    text = F.when(m == 3, F.concat(F.lit("made for the "), "p_name", F.lit(".")))
+    links = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_partkey", "l_suppkey").alias("id"), F.lit(-1).cast("long").alias("owner"), target.alias("target"), text.alias("text")).distinct()
+    return M.resolve_targets(links, classes).select("id.key", "class_key", "tier")
 
-@query("WITH w AS (SELECT DISTINCT p_name FROM part), m AS (SELECT i.item_id, w.p_name, row_number() OVER (PARTITION BY i.item_id ORDER BY length(w.p_name) DESC, w.p_name) AS rn FROM (SELECT doc_id AS item_id, text || ' red gear and blue bolt' AS text FROM documents) i JOIN w ON contains(lower(i.text), w.p_name)) SELECT item_id, p_name FROM m WHERE rn = 1")
+
+@query("WITH w AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), x AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(text || ' with a Red Gear, and blue bolt'), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' AS body FROM conversations), m AS (SELECT x.conv_id, x.turn, w.k, row_number() OVER (PARTITION BY x.conv_id, x.turn ORDER BY length(w.p_name) DESC, w.k) AS rn FROM x JOIN w ON contains(x.body, ' ' || w.p_name || ' ')) SELECT conv_id, turn, k AS class_key FROM m WHERE rn = 1")
 def orphan_range_matcher(t):
-    """The longest class name that a text contains: names are few, so each text is tested against an array of them."""
-    names = t.part.select("p_name").distinct().agg(F.array_sort(F.collect_set("p_name")).alias("names"))
-    own = t.documents.select(F.col("doc_id").alias("item_id"), F.lower(F.concat("text", F.lit(" red gear and blue bolt"))).alias("text")).join(F.broadcast(names))
-    hits = F.filter("names", lambda n: F.col("text").contains(n))
-    best = F.array_sort(hits, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return own.select("item_id", F.get(best, F.lit(0)).alias("p_name")).where("p_name IS NOT NULL")
+    """The longest class label that a text names."""
+    from ..operators import materialise as M
+
+    classes = t.part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("key")).select("key", "label", F.lit("").alias("uri"))
+    links = t.conversations.select(F.struct("conv_id", "turn").alias("id"), F.lit(-1).cast("long").alias("owner"), F.lit("?").alias("target"), F.concat("text", F.lit(" with a Red Gear, and blue bolt")).alias("text"))
+    return M.resolve_targets(links, classes).where("tier = 'text'").select("id.conv_id", "id.turn", "class_key")
+
+
+_NEST = """c AS (SELECT key, 'urn:part#' || key AS uri, label, CASE WHEN key % 5 = 0 THEN 'urn:part#' || (key // 5) END AS parent, brand, kind, size, key % 4 AS r FROM classes),
+l AS (SELECT label, min(key::VARCHAR) AS k FROM c GROUP BY 1), k AS (SELECT DISTINCT key FROM c)"""
+
+
+@query(f"""WITH {_NEST} SELECT 'classes' AS name, key::VARCHAR AS src, uri AS dst FROM c UNION ALL SELECT 'datatype_properties', key || '_brand_name', 'xsd:string' FROM c UNION ALL SELECT 'datatype_properties', key || '_kind', 'xsd:string' FROM c
+UNION ALL SELECT 'object_properties', key || '_made_of', CASE r WHEN 0 THEN 'urn:part#' || size WHEN 1 THEN 'other#' || size WHEN 2 THEN label ELSE '?' END FROM c
+UNION ALL SELECT 'rdfs_domain', key || p, key::VARCHAR FROM c, (SELECT unnest(['_brand_name', '_kind', '_made_of']) AS p)
+UNION ALL SELECT 'rdfs_range_class', c.key || '_made_of', coalesce(CASE WHEN r <= 1 THEN k.key::VARCHAR END, l.k) FROM c LEFT JOIN k ON k.key = c.size LEFT JOIN l ON l.label = c.label AND c.r = 2 WHERE (r <= 1 AND k.key IS NOT NULL) OR r = 2
+UNION ALL SELECT 'subclass_of', c.key::VARCHAR, k.key::VARCHAR FROM c JOIN k ON c.key % 5 = 0 AND k.key = c.key // 5 WHERE c.key <> k.key
+UNION ALL SELECT 'extracted_from', key::VARCHAR, (key % 7)::VARCHAR FROM c UNION ALL SELECT DISTINCT 'produced_by', (key % 3)::VARCHAR, 'run-' || key % 7 FROM c""")
+def graph_materialisation(t):
+    """Nested results to vertex and edge rows: name of the table, src and dst (for vertices the key and what it has)."""
+    from ..operators import materialise as M
+
+    k = F.col("key").cast("string")
+    size = F.col("size").cast("string")
+    m = F.col("key") % 4
+    target = F.when(m == 0, F.concat(F.lit("urn:part#"), size)).when(m == 1, F.concat(F.lit("other#"), size)).when(m == 2, F.col("label")).otherwise(F.lit("?"))
+    attribute = lambda label: F.struct(F.lit(label).alias("label"), F.lit("xsd:string").alias("range"))
+    results = t.classes.select(
+        (F.col("key") % 7).alias("doc_id"), F.concat(F.lit("run-"), (F.col("key") % 7).cast("string")).alias("run_id"), (F.col("key") % 3).alias("ontology_id"), F.concat(F.lit("urn:part#"), k).alias("uri"), "label", "description",
+        F.when(F.col("key") % 5 == 0, F.concat(F.lit("urn:part#"), F.floor(F.col("key") / 5).cast("string"))).alias("parent_uri"),
+        F.array(attribute("Brand name"), attribute("Kind")).alias("attributes"),
+        F.array(F.struct(F.lit("made of").alias("label"), target.alias("target"), F.lit(None).cast("string").alias("text"))).alias("relationships"),
+    )
+    tables = M.materialise(results, 1_800_000_000.0)
+    ends = {"classes": ("key", "uri"), "datatype_properties": ("key", "range"), "object_properties": ("key", "target")}
+    rows = [df.select(F.lit(name).alias("name"), *[F.col(c).cast("string").alias(x) for c, x in zip(ends.get(name, ("src", "dst")), ("src", "dst"))]) for name, df in tables.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 _FEAT = "f AS (SELECT p_partkey AS key, (p_partkey % 100)::DOUBLE / 100 AS score, p_size / 50.0::DOUBLE AS fuzzy, p_size % 17 = 0 AS contradicted, p_size % 13 = 0 AS linked, p_size = 50 AS uri, p_size >= 45 AS label, p_partkey % 11 = 0 AS suffix, p_partkey % 19 = 0 AS poly, p_partkey % 4 AS shared, p_partkey % 3 = 0 AS subs FROM part)"
@@ -160,9 +200,52 @@ def verdict_classifier(t):
     return t.part.select(k.alias("key"), found.alias("f")).select("key", "f.verdict", "f.action")
 
 
-@query("SELECT key, confidence + 0.1 AS confidence, 2 AS evidence FROM classes WHERE status = 'approved'")
+@query("SELECT key, least(1, confidence + 0.1) AS confidence, 2 AS evidence FROM classes WHERE status = 'approved'")
 def reinforce(t):
-    return t.classes.where("status = 'approved'").select("key", (F.col("confidence") + 0.1).alias("confidence"), F.size(F.concat(F.array("label"), F.array(F.lit("new quote")))).alias("evidence"))
+    """Evidence is appended in place and the confidence rises to 1 at most."""
+    return t.classes.where("status = 'approved'").select("key", F.least(F.lit(1.0), F.col("confidence") + 0.1).alias("confidence"), F.size(F.concat(F.array("label"), F.array(F.lit("new quote")))).alias("evidence"))
+
+
+_REQ = """q AS (SELECT key AS nth, verdict AS doc, entity, CASE WHEN key % 6 = 0 THEN 'RETRACT' WHEN key % 10 = 3 THEN 'GAP_FILL' ELSE action END AS action, CASE WHEN key % 9 <> 0 THEN 'renamed ' || key END AS new_label, CASE WHEN key % 4 <> 0 THEN entity END AS src, status FROM revisions),
+lg AS (SELECT DISTINCT doc, entity, action FROM q WHERE status = 'applied'), o AS (SELECT q.*, row_number() OVER (PARTITION BY q.doc, q.entity, q.action ORDER BY nth) > 1 AS again, lg.doc IS NOT NULL AS logged, c.key IS NOT NULL AS live FROM q LEFT JOIN lg USING (doc, entity, action) LEFT JOIN (SELECT key FROM classes WHERE expired IS NULL) c ON c.key = q.entity WHERE q.status = 'pending'),
+p AS (SELECT *, CASE WHEN again OR logged THEN 'repeated' WHEN action = 'GAP_FILL' AND src IS NULL THEN 'no edge' WHEN action IN ('REINFORCE', 'REVISE', 'RETRACT') AND NOT live THEN 'no live version' WHEN action = 'REVISE' AND new_label IS NULL THEN 'no payload' END AS why FROM o),
+a AS (SELECT *, CASE WHEN why IS NULL AND action IN ('REVISE', 'RETRACT') AND row_number() OVER (PARTITION BY entity, CASE WHEN why IS NULL AND action IN ('REVISE', 'RETRACT') THEN 1 ELSE 0 END ORDER BY nth) > 1 THEN 'no live version' ELSE why END AS reason FROM p),
+s AS (SELECT *, CASE WHEN reason = 'repeated' THEN 'skipped' WHEN reason IS NOT NULL THEN 'failed' ELSE 'applied' END AS outcome FROM a)"""
+
+
+def _superseded(t):
+    from ..operators.revise import supersede
+
+    key = F.col("key")
+    action = F.when(key % 6 == 0, "RETRACT").when(key % 10 == 3, "GAP_FILL").otherwise(F.col("action"))
+    own = t.revisions.select(key.alias("nth"), F.col("verdict").alias("doc"), "entity", action.alias("action"), F.array(F.concat(F.lit("quote "), key.cast("string"))).alias("evidence"), (key % 10 / 10.0).alias("confidence_after"),
+        F.when(key % 9 != 0, F.concat(F.lit("renamed "), key.cast("string"))).alias("new_label"), F.when(key % 4 != 0, F.col("entity")).alias("src"), F.lit(1).cast("long").alias("dst"), "status")
+    entities = t.classes.select("key", "label", F.array("label").alias("evidence"), "confidence", "last_evidenced_at", "version", "created", "expired")
+    edges = t.property_domain.select(F.col("prop").alias("src"), F.col("class_key").alias("dst"), F.lit(0.0).alias("created"), F.lit(None).cast("double").alias("expired"))
+    return supersede(entities, edges, own.where("status = 'pending'").drop("status"), own.where("status = 'applied'"), 1_800_000_000.0, 10_000_000)
+
+
+@query(f"WITH {_REQ} SELECT nth, doc, entity, action, outcome AS status, reason, CASE WHEN outcome = 'applied' AND action IN ('REVISE', 'RETRACT') THEN entity END AS old_version, CASE WHEN outcome = 'applied' AND action = 'REVISE' THEN entity + 10000000 WHEN outcome = 'applied' AND action = 'REINFORCE' THEN entity END AS new_version FROM s")
+def supersede_dispatch(t):
+    """The audit rows of a batch of revisions."""
+    return _superseded(t).audit
+
+
+@query(f"""WITH {_REQ}, r AS (SELECT entity, count(*) AS n, arg_max(nth % 10 / 10.0, nth) AS c FROM s WHERE outcome = 'applied' AND action = 'REINFORCE' GROUP BY 1), v AS (SELECT entity, new_label FROM s WHERE outcome = 'applied' AND action = 'REVISE'), x AS (SELECT entity FROM s WHERE outcome = 'applied' AND action = 'RETRACT'),
+b AS (SELECT c.key, c.label, CASE WHEN c.expired IS NULL THEN coalesce(r.c, c.confidence) ELSE c.confidence END::DOUBLE AS confidence, 1 + CASE WHEN c.expired IS NULL THEN coalesce(r.n, 0) ELSE 0 END AS quotes, c.version, c.expired, v.new_label, v.entity IS NOT NULL AS revised, x.entity IS NOT NULL AS gone FROM classes c LEFT JOIN r ON r.entity = c.key LEFT JOIN v ON v.entity = c.key LEFT JOIN x ON x.entity = c.key)
+SELECT key, label, confidence, quotes, version, CASE WHEN expired IS NULL AND (revised OR gone) THEN 1800000000::DOUBLE ELSE expired END AS expired FROM b UNION ALL SELECT key + 10000000, new_label, confidence, quotes, version + 1, NULL FROM b WHERE revised AND expired IS NULL""")
+def supersede_entities(t):
+    """The entities after a batch of revisions."""
+    return _superseded(t).entities.select("key", "label", F.col("confidence").cast("double").alias("confidence"), F.size("evidence").cast("long").alias("quotes"), "version", "expired")
+
+
+@query(f"""WITH {_REQ}, v AS (SELECT entity FROM s WHERE outcome = 'applied' AND action = 'REVISE')
+SELECT prop AS src, class_key AS dst, CASE WHEN v.entity IS NOT NULL OR w.entity IS NOT NULL THEN 1800000000::DOUBLE END AS expired FROM property_domain LEFT JOIN v ON v.entity = class_key LEFT JOIN v w ON w.entity = prop
+UNION ALL SELECT CASE WHEN w.entity IS NOT NULL THEN prop + 10000000 ELSE prop END, CASE WHEN v.entity IS NOT NULL THEN class_key + 10000000 ELSE class_key END, NULL FROM property_domain LEFT JOIN v ON v.entity = class_key LEFT JOIN v w ON w.entity = prop WHERE v.entity IS NOT NULL OR w.entity IS NOT NULL
+UNION ALL SELECT src, 1, NULL FROM s WHERE outcome = 'applied' AND action = 'GAP_FILL'""")
+def supersede_edges(t):
+    """The edges after a batch of revisions."""
+    return _superseded(t).edges.select("src", "dst", "expired")
 
 
 @query("SELECT 'rule' AS stage, count(*) AS n FROM constraints WHERE min_count > max_count UNION ALL SELECT 'decay', count(*) FROM classes WHERE expired IS NULL AND confidence > 0.05 UNION ALL SELECT 'stale', count(*) FROM classes WHERE expired IS NULL AND coalesce(last_evidenced_at, created) < 1701000000")
@@ -191,22 +274,21 @@ def abox_rules(t):
     return a.unionAll(b).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.key, count(d.prop) AS n_props, CASE WHEN count(d.prop) > 0 THEN 0.15 ELSE 0 END::DOUBLE AS score FROM classes c LEFT JOIN property_domain d ON d.class_key = c.key GROUP BY 1")
+@query("""WITH d AS (SELECT class_key AS key, count(*) FILTER (prop % 2 = 0) AS dt, count(*) FILTER (prop % 2 = 1) AS ob FROM property_domain GROUP BY 1), p AS (SELECT DISTINCT src AS key FROM imports_edges), h AS (SELECT DISTINCT dst AS key FROM imports_edges),
+r AS (SELECT DISTINCT class_key AS key FROM property_range), s AS (SELECT dst AS key, count(*) AS n FROM relation_edges GROUP BY 1), t AS (SELECT description, count(*) AS copies FROM classes GROUP BY 1),
+m AS (SELECT c.key, c.confidence AS agreement, CASE WHEN c.key % 3 = 0 THEN 0.8 END AS faith, c.description, coalesce(d.dt, 0) AS dt, coalesce(d.ob, 0) AS ob, p.key IS NOT NULL AS par, h.key IS NOT NULL AS chi, r.key IS NOT NULL AS ran, coalesce(s.n, 0) AS n, t.copies
+FROM classes c LEFT JOIN d USING (key) LEFT JOIN p USING (key) LEFT JOIN h USING (key) LEFT JOIN r USING (key) LEFT JOIN s USING (key) LEFT JOIN t ON t.description = c.description),
+g AS (SELECT key, least(1, greatest(0, agreement)) AS a, coalesce(faith, 0.5) AS f, least(1.0, (dt > 0)::INT * 0.15::DOUBLE + least(ob * 0.10::DOUBLE, 0.30) + par::INT * 0.20::DOUBLE + chi::INT * 0.15::DOUBLE + (ob > 0 OR ran)::INT * 0.20::DOUBLE) AS st,
+least(length(description) / 100.0, 1.0) * 0.7 + CASE WHEN length(description) >= 20 AND copies <= 1 THEN 0.3 ELSE 0 END AS de, least(n / 3.0, 1.0) AS pr FROM m)
+SELECT key, round_even(0.18 * a + 0.18 * f + 0.13 * 0.5 + 0.13 * st + 0.09 * de + 0.09 * pr + 0.09 + 0.06 + 0.05, 3) AS confidence FROM g""")
 def multi_signal_recompute(t):
-    n = t.property_domain.groupBy(F.col("class_key").alias("key")).agg(F.count("*").alias("n"))
-    own = t.classes.select("key").join(n, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n_props"))
-    no = F.lit(False)
-    return own.withColumn("score", F.round(S.structural_score(F.col("n_props"), F.lit(0), no, no, no), 6))
-
+    """Confidence of every class from all signals."""
+    from ..operators import materialise as M
 
-@query("SELECT 'class' AS kind, count(*) AS n FROM classes UNION ALL SELECT 'attribute', 2 * count(*) FROM classes UNION ALL SELECT 'has_attribute', 2 * count(*) FROM classes")
-def graph_materialisation(t):
-    """Nested results (class with attributes) to vertex and edge rows."""
-    attrs = F.array(F.struct(F.lit("brand").alias("name"), F.col("brand").alias("value")), F.struct(F.lit("kind").alias("name"), F.col("kind").alias("value")))
-    nested = t.classes.select("key", "uri", attrs.alias("attributes"))
-    flat = nested.select("key", F.posexplode("attributes").alias("pos", "a"))
-    kinds = nested.select(F.lit("class").alias("kind")).unionAll(flat.select(F.lit("attribute").alias("kind"))).unionAll(flat.select(F.lit("has_attribute").alias("kind")))
-    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("double")
+    classes = t.classes.select("key", F.col("confidence").alias("agreement"), F.when(F.col("key") % 3 == 0, 0.8).alias("faithfulness"), none.alias("validity"), none.alias("property_agreement"), "description")
+    domain = t.property_domain.select("class_key", F.when(F.col("prop") % 2 == 0, "datatype").otherwise("object").alias("kind"))
+    return M.multi_signal_confidence(classes, domain, t.imports_edges, t.property_range, t.relation_edges.select(F.col("dst").alias("class_key")))
 
 
 @query("SELECT key + 5000000 AS key, uri, label, 'production' AS tier FROM classes WHERE status = 'approved' AND expired IS NULL")
@@ -223,16 +305,30 @@ def deletion_impact(t):
     return deps.join(F.broadcast(own)).select("dependents", "live_classes", (F.col("dependents") == 0).alias("safe"))
 
 
-@query("SELECT entity AS key, arg_max(status, created) AS status FROM revisions GROUP BY 1")
+@query("SELECT entity AS key, status FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY created DESC, key DESC) AS rn FROM revisions) WHERE rn = 1")
 def revision_status_fold(t):
-    return t.revisions.groupBy(F.col("entity").alias("key")).agg(F.max_by("status", "created").alias("status"))
+    return t.revisions.groupBy(F.col("entity").alias("key")).agg(F.max_by("status", F.struct("created", "key")).alias("status"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'deleted' ELSE 'kept' END AS state, n FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)")
+@query("""SELECT 'document' AS kind, doc_id, NULL::DOUBLE AS expired FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'chunk', doc_id, NULL FROM chunks WHERE doc_id % 3 <> 0
+UNION ALL SELECT 'edge', src, CASE WHEN src % 3 = 0 AND expired IS NULL THEN 1800000000::DOUBLE WHEN expired IS NOT NULL THEN 1.0 END FROM relation_edges""")
 def document_delete_cascade(t):
-    gone = t.chunks.select("doc_id").distinct().where("doc_id % 2 = 0").withColumn("state", F.lit("deleted"))
-    n = t.chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return n.join(gone, "doc_id", "left").select("doc_id", F.coalesce("state", F.lit("kept")).alias("state"), "n")
+    """Documents and chunks go, live provenance edges expire."""
+    from ..operators import materialise as M
+
+    provenance = t.relation_edges.select(F.col("src").alias("doc_id"), F.when(F.col("expired").isNotNull(), 1.0).alias("expired"))
+    gone = t.documents.select("doc_id").union(t.relation_edges.select("src")).where("doc_id % 3 = 0")
+    documents, chunks, edges = M.delete_documents(t.documents.select("doc_id"), t.chunks.select("doc_id"), provenance, gone, 1_800_000_000.0)
+    none = F.lit(None).cast("double").alias("expired")
+    return documents.select(F.lit("document").alias("kind"), "doc_id", none).unionByName(chunks.select(F.lit("chunk").alias("kind"), "doc_id", none)).unionByName(edges.select(F.lit("edge").alias("kind"), "doc_id", "expired"))
+
+
+@query("SELECT d.doc_id, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS chunks, (SELECT count(*) FROM relation_edges e WHERE e.src = d.doc_id AND e.expired IS NULL) AS edges FROM documents d WHERE d.doc_id % 3 = 0")
+def document_delete_report(t):
+    """What an unconfirmed deletion would touch."""
+    from ..operators import materialise as M
+
+    return M.deletion_report(t.chunks, t.relation_edges.select(F.col("src").alias("doc_id"), "expired"), t.documents.where("doc_id % 3 = 0"))
 
 
 @query("SELECT key, CASE WHEN src % 20 = 0 AND expired IS NULL THEN true ELSE false END AS tombstone FROM relation_edges")
@@ -263,12 +359,18 @@ def llm_payload_parse(t):
     return own.withColumn("confidence", S.clamp(F.col("confidence")))
 
 
-@query("SELECT key, CASE key % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.1 ELSE 0.5 END::DOUBLE AS score FROM classes")
+@query("SELECT key, CASE WHEN key % 7 = 3 THEN 0.5 ELSE CASE key % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 WHEN 3 THEN 0.1 ELSE 0.5 END END::DOUBLE AS score FROM classes")
 def judge_payload_parse(t):
-    ratings = F.create_map(*[F.lit(x) for kv in (("full", 1.0), ("mostly", 0.7), ("partly", 0.4), ("none", 0.1)) for x in kv])
-    m = F.col("key") % 5
-    word = F.when(m == 0, "full").when(m == 1, "mostly").when(m == 2, "partly").when(m == 3, "none").otherwise("?")
-    return t.classes.select("key", F.coalesce(F.try_element_at(ratings, word), F.lit(0.5)).alias("score"))
+    """Ratings out of a judge's answers, a batch of five classes each; some are fenced, some broken, some leave classes out."""
+    from ..operators import materialise as M
+
+    word = F.element_at(F.array(*map(F.lit, ("EXPLICIT", "inferred", "PLAUSIBLE", "HALLUCINATED", "PERHAPS", ""))), (F.col("key") % 6 + 1).cast("int"))
+    own = t.classes.select("key", "uri", word.alias("rating"), F.concat(F.floor(F.col("key") / 35), F.lit("-"), F.col("key") % 7).alias("batch"))
+    entry = F.collect_list(F.when(F.col("rating") != "", F.struct("uri", "rating")))
+    body = own.groupBy("batch").agg(F.to_json(F.struct(entry.alias("results"))).alias("json"))
+    raw = F.when(F.endswith("batch", F.lit("-3")), F.concat(F.lit("no json: "), "json")).when(F.endswith("batch", F.lit("-1")), F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).otherwise(F.col("json"))
+    scores = M.judge_scores(body.select("batch", raw.alias("raw")), own.select("batch", "uri"))
+    return own.join(scores, ["batch", "uri"]).select("key", "score")
 
 
 @query("SELECT doc_id, min(lang) AS domain FROM (SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id + 1, lang FROM documents) WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1".replace("min(lang)", "arg_min(lang, o)").replace("SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id + 1, lang FROM", "SELECT doc_id, lang, 0 AS o FROM documents UNION ALL SELECT doc_id + 1, lang, 1 FROM"))
@@ -296,9 +398,18 @@ def collection_inventory(t):
     return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, chunk_index, CASE WHEN role = 'user' THEN 'q' ELSE 'a' END AS kind, length(text)::INTEGER AS size FROM chunks")
+@query("""SELECT conv_id AS doc_id, turn AS section, CASE WHEN turn % 3 = 0 AND length(trim(text)) = 0 THEN 'visual' WHEN turn % 3 = 0 THEN 'mixed' ELSE 'text' END AS chunk_kind,
+list_filter([CASE WHEN turn % 4 > 0 THEN 'a' END, CASE WHEN turn % 4 > 1 THEN 'b' END], lambda x: x IS NOT NULL)::VARCHAR AS assets FROM conversations""")
 def visual_context_backfill(t):
-    return t.chunks.select("doc_id", "chunk_index", F.when(F.col("role") == "user", "q").otherwise("a").alias("kind"), F.length("text").alias("size"))
+    """Kind of each chunk by its lines, and the assets that its section names; indexes out of range are left out."""
+    from ..operators import materialise as M
+
+    body = F.concat(F.when(F.col("turn") % 3 == 0, "[Visual (caption): a chart]\n").otherwise(""), F.col("text"))
+    chunks = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section"), body.alias("text"))
+    assets = F.when(F.col("turn") % 4 > 1, F.array(F.lit("a"), F.lit("b"))).when(F.col("turn") % 4 > 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    sections = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section"), F.array(F.lit(0), F.lit(1), F.lit(7)).alias("asset_indexes"), assets.alias("assets"))
+    own = M.visual_context(chunks, sections)
+    return own.select("doc_id", "section", "chunk_kind", F.concat(F.lit("["), F.array_join("visual_assets", ", "), F.lit("]")).alias("assets"))
 
 
 @query("SELECT conv_id AS doc_id, len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(10) || role, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''))::INTEGER AS n, turn FROM conversations")
@@ -320,9 +431,8 @@ def stale_to_inbox(t):
 
 @query("SELECT label, min(key) AS keep, count(*) - 1 AS dropped FROM entities GROUP BY label HAVING count(*) > 1")
 def abox_canonicalise(t):
-    pairs = t.entities.select("label", F.col("key").alias("a")).join(t.entities.select("label", F.col("key").alias("b")), "label").where("a < b").select("a", "b")
-    comps = R.clusters(pairs)
-    return comps.join(t.entities.select(F.col("key").alias("cluster"), "label"), "cluster").select("label", F.col("cluster").alias("keep"), (F.col("size") - 1).alias("dropped"))
+    """Individuals of one label become one: the smallest key stays."""
+    return t.entities.groupBy("label").agg(F.min("key").alias("keep"), (F.count("*") - 1).alias("dropped")).where("dropped > 0")
 
 
 @query("SELECT doc_id, label, strpos(lower(text), label) - 1 AS start FROM (SELECT doc_id, text, unnest(['the', 'que', 'der']) AS label FROM documents) WHERE strpos(lower(text), label) > 0")

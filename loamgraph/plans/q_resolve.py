@@ -116,24 +116,34 @@ def adjudication(t):
     return _alignment(t).select("a", "b", R.adjudicate(verdict, F.col("score")).alias("outcome"))
 
 
-@query("SELECT key, CASE key % 4 WHEN 0 THEN 'owl:equivalentClass' WHEN 1 THEN 'rdfs:subClassOf' WHEN 2 THEN 'rdfs:subClassOf' ELSE 'skos:related' END AS kind, CASE key % 4 WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS direction FROM classes")
+@query("SELECT key, CASE key % 5 WHEN 0 THEN 'owl:equivalentClass' WHEN 1 THEN 'rdfs:subClassOf' WHEN 2 THEN 'rdfs:subClassOf' ELSE 'skos:related' END AS kind, CASE key % 5 WHEN 1 THEN 'up' WHEN 2 THEN 'down' END AS direction FROM classes")
 def verdict_to_type(t):
-    m = F.col("key") % 4
-    return t.classes.select("key", F.when(m == 0, "owl:equivalentClass").when(m.isin(1, 2), "rdfs:subClassOf").otherwise("skos:related").alias("kind"), F.when(m == 1, "up").when(m == 2, "down").alias("direction"))
+    verdict = F.element_at(F.array(*map(F.lit, ("equivalent", "subclass", "superclass", "related", "unheard of"))), (F.col("key") % 5 + 1).cast("int"))
+    return t.classes.select("key", R.relation_of(verdict).alias("kind"), R.direction_of(verdict).alias("direction"))
+
+
+def _disjoint(t):
+    """The first and the last entity of each label that several ontologies have."""
+    return t.entities.groupBy("label").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("x", "y")
 
 
 @query()
 def coherence_repair(t):
     own = _alignment(t).select("a", "b", F.col("score").alias("confidence"))
-    disjoint = t.entities.groupBy("label").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").where("(x + y) % 7 = 0").select("x", "y")
-    return R.repair(own.where("confidence >= 0.8"), disjoint)
+    return R.repair(own.where("confidence >= 0.8"), _disjoint(t))[0]
+
+
+@query()
+def coherence_removals(t):
+    """The edges that a repair takes out, and the conflict that each resolves."""
+    own = _alignment(t).select("a", "b", F.col("score").alias("confidence"))
+    return R.repair(own.where("confidence >= 0.8"), _disjoint(t))[1]
 
 
 @query()
 def coherence_dry_run(t):
-    own = _alignment(t).where("score >= 0.8")
-    comps = R.connected_components(own, "a", "b")
-    return comps.groupBy("component").agg(F.count("*").alias("n"))
+    own = _alignment(t).select("a", "b", F.col("score").alias("confidence"))
+    return R.coherence_report(own.where("confidence >= 0.8"), _disjoint(t))
 
 
 @query()
@@ -148,14 +158,13 @@ def master_materialise(t):
     return comps.join(t.entities.select(F.col("key").alias("node"), "label"), "node").groupBy("component").agg(F.min("label").alias("label"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_E}, s AS (SELECT x.key AS a, y.key AS b, {_SCORE} AS score FROM e x JOIN e y ON x.ontology_id < y.ontology_id WHERE {_SCORE} >= 0.5) SELECT a, b, score, (a % 10 = 0 OR b % 10 = 0) AS refreshed FROM s")
+@query(f"WITH {_E}, n AS (SELECT * REPLACE (CASE WHEN key % 10 = 0 THEN list_distinct(list_append(lt, 'gear')) ELSE lt END AS lt) FROM e), s AS (SELECT x.key AS a, y.key AS b, {_SCORE} AS score FROM n x JOIN n y ON x.key < y.key WHERE {_SCORE} >= 0.7) SELECT a, b, score FROM s")
 def alignment_refresh(t):
-    """Pairs of changed keys are made anew, the others stay."""
-    old = _alignment(t)
-    changed = t.entities.where("key % 10 = 0").select("key")
-    touched = lambda df: df.join(changed.select(F.col("key").alias("a"), F.lit(True).alias("_a")), "a", "left").join(changed.select(F.col("key").alias("b"), F.lit(True).alias("_b")), "b", "left").withColumn("refreshed", F.coalesce("_a", "_b", F.lit(False)))
-    kept = touched(old).where("NOT refreshed").select("a", "b", "score", "refreshed")
-    return kept.unionByName(touched(_alignment(t)).where("refreshed").select("a", "b", "score", "refreshed"))
+    """The labels of every tenth key have changed: only pairs with such a key are made anew."""
+    changed = F.col("key") % 10 == 0
+    rows = t.entities.withColumn("label", F.when(changed, F.concat("label", F.lit(" gear"))).otherwise(F.col("label")))
+    before = R.scored_join(t.entities, None, 0.6999999)
+    return R.rescored(before, rows.where(changed).select("key"), rows, 0.6999999).withColumn("score", R6("score")).where("score >= 0.7")
 
 
 @query(f"WITH {_E} SELECT x.ontology_id AS left_id, y.ontology_id AS right_id, count(*) AS n FROM e x JOIN e y ON x.ontology_id < y.ontology_id WHERE {_SCORE} >= 0.5 GROUP BY 1, 2")
@@ -165,10 +174,10 @@ def alignment_session(t):
     return own.groupBy("left_id", "right_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_E} SELECT count(*) AS tp FROM e x JOIN e y ON x.ontology_id < y.ontology_id AND x.label = y.label WHERE {_SCORE} >= 0.6")
+@query(f"WITH {_E}, p AS (SELECT x.key AS a, y.key AS b FROM e x JOIN e y ON x.ontology_id < y.ontology_id WHERE {_SCORE} >= 0.6), g AS (SELECT x.key AS a, y.key AS b FROM e x JOIN e y ON x.ontology_id < y.ontology_id AND x.label = y.label), c AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng, (SELECT count(*) FROM p JOIN g USING (a, b)) AS tp), m AS (SELECT *, CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0 END AS p, CASE WHEN ng > 0 THEN tp::DOUBLE / ng ELSE 0 END AS r FROM c) SELECT round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, tp, np - tp AS fp, ng - tp AS fn FROM m")
 def alignment_prf(t):
     gold = t.entities.select("label", F.col("key").alias("a"), F.col("ontology_id").alias("oa")).join(t.entities.select("label", F.col("key").alias("b"), F.col("ontology_id").alias("ob")), "label").where("oa < ob").select("a", "b")
-    return _alignment(t).where("score >= 0.6").join(gold, ["a", "b"], "left_semi").agg(F.count("*").alias("tp"))
+    return R.prf(_alignment(t).where("score >= 0.6"), gold, ["a", "b"])
 
 
 @query(f"WITH {_E}, s AS (SELECT x.key AS a, y.key AS b, {_SCORE} AS score FROM e x JOIN e y ON x.key < y.key WHERE {_SCORE} >= 0.6) SELECT a, b, score FROM s ORDER BY score DESC, a, b LIMIT 20 OFFSET 10")

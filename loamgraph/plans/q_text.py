@@ -37,16 +37,40 @@ def running_token_packing(t):
     return C.chunk_documents(t.documents, 128, 32).select("doc_id", "chunk_index", "token_count")
 
 
-@query("SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS words FROM (SELECT doc_id, unnest(range(0, greatest(1, ceil(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) / 512.0))::BIGINT)) AS k, 0 AS n FROM documents) GROUP BY 1".replace("0 AS n", "1 AS n"))
+@query("SELECT doc_id, greatest(1, ceil(n / 512.0))::BIGINT AS chunks, n AS words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM documents)")
 def prose_chunker(t):
-    own = C.chunk_documents(t.documents, 512, 0)
-    return own.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("*").alias("words"))
+    return C.chunk_documents(t.documents, 512, 0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("words"))
+
+
+def _sections(t):
+    """Conversations as documents: a turn is a section or slide with a title, and every third one has notes."""
+    deck = F.col("conv_id") % 2 == 0
+    title = F.concat("role", F.when(F.col("turn") % 3 == 1, " (cont'd)").otherwise(""))
+    return t.conversations.select(F.col("conv_id").alias("doc_id"), F.when(deck, "pptx").otherwise("docx").alias("form"), F.col("turn").cast("int").alias("section"), F.col("turn").cast("int").alias("page"), title.alias("heading"), F.col("text").alias("body"), F.when(F.col("turn") % 3 == 0, F.lit("see the text")).alias("notes"))
+
+
+@query()
+def chunker_dispatch(t):
+    """Decks by slides, the others by sections, in one pass."""
+    return C.chunk_sections(_sections(t), 64, 16)
+
+
+@query()
+def deck_chunker(t):
+    own = C.chunk_sections(_sections(t).where("form = 'pptx'"), 32, 0)
+    return own.select("doc_id", "chunk_index", "section", "role", "part", "parts", "topic_unit", "token_count")
+
+
+@query()
+def section_chunker(t):
+    own = C.chunk_sections(_sections(t).where("form <> 'pptx'"), 48, 12)
+    return own.select("doc_id", "chunk_index", "section", "page", "heading", "token_count")
 
 
 @query()
 def embedding_batcher(t):
     own = t.documents.select("source", "doc_id", "n_chars")
-    return C.batches_by_budget(own, "source", "doc_id", F.col("n_chars"), 20_000, 200)
+    return C.batches_by_budget(own, "source", ["doc_id", "n_chars"], F.col("n_chars"), 20_000, 200)
 
 
 @query("SELECT conv_id, turn // 2 AS batch, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1, 2")
@@ -123,7 +147,19 @@ d AS (SELECT word, count(*) AS df FROM h GROUP BY 1)"""
 
 @query(f"WITH {_BM} SELECT id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_size))), 4) AS score FROM h JOIN d USING (word), s GROUP BY id")
 def bm25_search(t):
-    return C.bm25(t.documents, ["the", "tion"], "doc_id", F.col("text")).withColumn("score", F.round("score", 4))
+    return C.bm25(t.documents, ["the", "tion"], "doc_id", {"text": (F.col("text"), 1.0)}).withColumn("score", F.round("score", 4))
+
+
+_BM_CLASS = """live AS (SELECT key, string_split(lower(label), ' ') AS l, list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS d FROM classes WHERE expired IS NULL AND ontology_id = 1),
+f AS (SELECT key, 'l' AS f, 2.0 AS boost, l AS w FROM live UNION ALL SELECT key, 'd', 1.0, d FROM live), s AS (SELECT f, count(*) AS n, avg(len(w)) AS a FROM f GROUP BY 1),
+h AS (SELECT key, f, boost, len(w) AS size, q, len(list_filter(w, lambda x: x = q)) AS tf FROM f, (SELECT unnest(['gear', 'steel', 'red']) AS q)), dfs AS (SELECT f, q, count(*) FILTER (tf > 0) AS df FROM h GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BM_CLASS} SELECT key AS id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 4) AS score FROM h JOIN s USING (f) JOIN dfs USING (f, q) WHERE tf > 0 GROUP BY 1")
+def bm25_class_search(t):
+    """Live classes of one ontology; the label counts twice."""
+    own = t.classes.where("expired IS NULL AND ontology_id = 1")
+    return C.bm25(own, ["gear", "steel", "red"], "key", {"label": (F.col("label"), 2.0), "description": (F.col("description"), 1.0)}).withColumn("score", F.round("score", 4))
 
 
 @query("SELECT key, label FROM classes WHERE label ILIKE '%ear%' OR description ILIKE '%ear%'")

@@ -153,16 +153,16 @@ def shape_triples(constraints: DataFrame) -> DataFrame:
     return fixed.unionByName(value)
 
 
-def rdf_list(triples: DataFrame, heads: DataFrame, longest: int = 1000) -> DataFrame:
+def rdf_list(triples: DataFrame, heads: DataFrame) -> DataFrame:
     """head, position and item of RDF lists; a list without an end or with a loop has no rows.  heads: head."""
-    from ..operators.components import cut
+    from ..operators.core import cut
 
     first = triples.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("item"))
     rest = triples.where(F.col("p") == RDF + "rest").select(F.col("s").alias("cell"), F.col("o").alias("next"))
     cells = cut(first.join(rest, "cell"))
     walk = cut(heads.select("head", F.col("head").alias("cell"), F.lit(0).alias("position")))
     out, ended = None, None
-    for _ in range(longest):
+    for _ in range(cells.count()):  # a list with more cells has a loop
         step = cut(walk.join(cells, "cell"))
         if not step.limit(1).count():
             break

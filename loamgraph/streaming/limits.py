@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,14 +28,25 @@ def _anchored(times: list[float], start: float | None, seen: int, seconds: float
 
 
 def anchored_limit(events: DataFrame, key: str, time: str, seconds: float = 60.0, limit: int = 50) -> DataFrame:
-    """Batch: windows of a key begin with the first event after the last window ran out; key, time, allowed."""
-    kind = events.schema[key].dataType.simpleString()
+    """Batch: windows of a key begin with the first event after the last window ran out; key, time, allowed.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time)
-        return frame.assign(allowed=_anchored(frame[time].tolist(), None, 0, seconds, limit)[0])
+    Events come sorted by key and time, and only the open window is carried, so a task never holds a key's events.
+    """
+    kind = events.schema[key].dataType.simpleString()
 
-    return events.select(key, time).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} double, allowed boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, seen = None, None, 0
+        for batch in batches:
+            keys, times, allowed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, t in zip(keys, times):
+                if now is None or now[0] != k:
+                    now, start, seen = (k,), None, 0
+                (ok,), start, seen = _anchored([t], start, seen, seconds, limit)
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [key, time, "allowed"])
+
+    ordered = events.select(key, F.col(time).cast("double").alias(time)).repartition(key).sortWithinPartitions(key, time)
+    return ordered.mapInArrow(run, f"{key} {kind}, {time} double, allowed boolean")
 
 
 def anchored_limit_stream(events: DataFrame, key: str, time: str, seconds: float = 60.0, limit: int = 50) -> DataFrame:
