@@ -1,13 +1,13 @@
-"""Shared helpers: reading tables, checkpoints in the shared folder, word scanning and ragged numpy arrays."""
+"""Shared helpers: reading tables, word scanning, hashes of byte spans and ragged numpy arrays."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.core import checkpoint_dir, cut, hinted, small
+
+__all__ = ["BATCH_BYTES", "WORD_RE", "by_bytes", "checkpoint_dir", "cut", "hinted", "mix", "ragged", "small", "span_blocks", "span_hashes", "table", "text_parts", "word_spans"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -24,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir of the session; choose a folder only where neither it nor the context has one (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "loamgraph-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: its rows survive lost executors, and later jobs don't recompute its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df (cheap to count: a checkpoint or an aggregate) has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def hinted(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it; else the planner shuffles and AQE splits skewed keys."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, on a copy."""
     x = x.astype(np.uint64, copy=True)

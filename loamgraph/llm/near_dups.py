@@ -110,27 +110,25 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def branches(reps: DataFrame, level: int) -> DataFrame:
-    """rep, its node at the level (key) and that node's parent, for every path; level 0 has a node for each tree."""
+def branches(paths: DataFrame) -> DataFrame:
+    """rep and its nodes one level below those of paths (rep, key, sig); a null key stands for the roots of all trees."""
 
     def run(batches):
         for batch in batches:
             sig = np.ascontiguousarray(_matrix(batch.column("sig"))[:, : 2 * COORDINATES]).view("<u2")
-            rep = np.asarray(batch.column("rep"))
-            key = mix(np.arange(TREES, dtype=np.uint64) + np.uint64(0xC0FFEE))
-            row, key = np.repeat(np.arange(len(rep)), TREES), np.tile(key, len(rep))
-            parent = key
-            for _ in range(level):
-                parent = key
-                one = mix(key ^ np.uint64(1)) % np.uint64(COORDINATES)
-                two = mix(key ^ np.uint64(2)) % np.uint64(COORDINATES)
-                both = np.flatnonzero((mix(key ^ np.uint64(3)) < _TWO) & (one != two))
-                row, parent = np.concatenate([row, row[both]]), np.concatenate([parent, parent[both]])
-                coordinate = np.concatenate([one, two[both]])
-                key = mix(parent ^ mix((coordinate << np.uint64(16)) + sig[row, coordinate.astype(np.int64)].astype(np.uint64) + np.uint64(1 << 32)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(key.view(np.int64)), pa.array(parent.view(np.int64))], ["rep", "key", "parent"])
-
-    return reps.select("rep", "sig").mapInArrow(run, "rep long, key long, parent long")
+            rep, root = np.asarray(batch.column("rep")), np.asarray(batch.column("key").is_null())
+            key = np.asarray(batch.column("key").fill_null(0)).view(np.uint64)
+            new, old = np.flatnonzero(root), np.flatnonzero(~root)
+            row = np.concatenate([old, np.repeat(new, TREES)])
+            key = np.concatenate([key[old], np.tile(mix(np.arange(TREES, dtype=np.uint64) + np.uint64(0xC0FFEE)), len(new))])
+            one = mix(key ^ np.uint64(1)) % np.uint64(COORDINATES)
+            two = mix(key ^ np.uint64(2)) % np.uint64(COORDINATES)
+            both = np.flatnonzero((mix(key ^ np.uint64(3)) < _TWO) & (one != two))
+            row, key, coordinate = np.concatenate([row, row[both]]), np.concatenate([key, key[both]]), np.concatenate([one, two[both]])
+            key = mix(key ^ mix((coordinate << np.uint64(16)) + sig[row, coordinate.astype(np.int64)].astype(np.uint64) + np.uint64(1 << 32)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(key.view(np.int64))], ["rep", "key"])
+
+    return paths.select("rep", "key", "sig").mapInArrow(run, "rep long, key long")
 
 
 def depth_for(n: int) -> int:
@@ -139,23 +137,22 @@ def depth_for(n: int) -> int:
 
 
 def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes (group, rep), and the large ones of the last level (node, blocks, rep, least: its smallest class)."""
-    small, large, levels = None, None, depth_for(reps.count())
+    """Small nodes (group, rep), and the large ones of the last level (node, blocks, rep, least: its smallest class).
+
+    Only the paths that stand in large nodes go on to the next level; these are checkpointed rows of a class and its node.
+    """
+    small, levels = None, depth_for(reps.count())
+    paths = reps.select("rep", F.lit(None).cast("long").alias("key"), "sig")
     for level in range(1, levels + 1):
-        rows = branches(reps, level)
-        if large is not None:
-            rows = rows.join(hinted(large.select(F.col("key").alias("parent")), 200_000), "parent", "left_semi")
-        rows = rows.select("key", "rep")
-        sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"))
-        wanted = sizes if level == levels else sizes.where(F.col("n") <= LIMIT)
-        got = rows.join(wanted, "key").select(F.col("key").alias("group"), "rep", "n", "least")
-        got = cut(got)
+        rows = branches(paths)
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+        got = cut(rows.join(sizes, "key").select(F.col("key").alias("group"), "rep", "n", "least"))
         part = got.where(F.col("n") <= LIMIT).select("group", "rep")
         small = part if small is None else small.unionByName(part)
-        large = sizes.where(F.col("n") > LIMIT)
+        large = got.where(F.col("n") > LIMIT)
         if level == levels or not large.limit(1).count():
-            dense = got.where(F.col("n") > LIMIT).select(F.col("group").alias("node"), F.ceil(F.col("n") / LIMIT).alias("blocks"), "rep", "least")
-            return small, dense
+            return small, large.select(F.col("group").alias("node"), F.ceil(F.col("n") / LIMIT).alias("blocks"), "rep", "least")
+        paths = large.select("rep", F.col("group").alias("key")).join(reps.select("rep", "sig"), "rep")
 
 
 def in_blocks(dense: DataFrame) -> DataFrame:
@@ -168,23 +165,26 @@ def in_blocks(dense: DataFrame) -> DataFrame:
 def in_tiles(held: DataFrame) -> DataFrame:
     """group, rep: every pair of a large node's classes meets in a group unless both are of the node's largest component.
 
-    held: node, rep, comp.  The classes outside that component and those inside are dealt into tiles of about LIMIT each; a
-    group is two tiles, of which one at least is of classes outside.  So groups are small whatever a node's size; their
-    number grows with outside x all classes of a node / LIMIT^2.
+    held: node, rep, comp.  Classes outside that component meet each other within their node, in pairs of tiles of about
+    LIMIT.  They meet the component's classes once for all nodes in which it is the largest: those that are outside in any
+    of these nodes, in tiles of five times LIMIT, with those that are inside in any, in tiles of LIMIT.  So groups are small
+    whatever a node's size; their number grows with outside x all classes / LIMIT^2.
     """
     comps = held.groupBy("node", "comp").agg(F.count("*").alias("n"))
     main = comps.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
-    main = main.select("node", F.col("m.comp").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / LIMIT).alias("outside"), F.ceil(F.col("m.n") / LIMIT).alias("inside"))
-    rows = held.join(main, "node").where("outside > 0")
-    tiled = rows.withColumn("out", F.col("comp") != F.col("main")).withColumn("tile", F.pmod(F.xxhash64("node", "rep"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("inside"))))
+    main = main.select("node", F.col("m.comp").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / LIMIT).alias("tiles")).where("tiles > 0")
+    rows = cut(held.join(main, "node").withColumn("out", F.col("comp") != F.col("main")))
 
     def upto(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
 
-    outer = tiled.where("out")
-    both = outer.select("node", "rep", "tile", upto("outside")).select(F.xxhash64("node", F.lit("out"), F.least("tile", "other"), F.greatest("tile", "other")).alias("group"), "rep")
-    visits = outer.select("node", "rep", "tile", upto("inside")).select(F.xxhash64("node", F.lit("in"), "tile", "other").alias("group"), "rep")
-    hosts = tiled.where("NOT out").select("node", "rep", "tile", upto("outside")).select(F.xxhash64("node", F.lit("in"), "other", "tile").alias("group"), "rep")
+    within = rows.where("out").select("node", "rep", "tiles", F.pmod(F.xxhash64("node", "rep"), "tiles").alias("tile")).select("node", "rep", "tile", upto("tiles"))
+    both = within.select(F.xxhash64("node", F.lit("out"), F.least("tile", "other"), F.greatest("tile", "other")).alias("group"), "rep")
+    sides = rows.select("main", "rep", "out").distinct()
+    sizes = sides.groupBy("main").agg(F.ceil(F.sum(F.col("out").cast("int")) / (5 * LIMIT)).alias("outside"), F.ceil(F.sum((~F.col("out")).cast("int")) / LIMIT).alias("inside"))
+    tiled = sides.join(sizes, "main").withColumn("tile", F.pmod(F.xxhash64("main", "rep"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("inside"))))
+    visits = tiled.where("out").select("main", "rep", "tile", upto("inside")).select(F.xxhash64("main", F.lit("in"), "tile", "other").alias("group"), "rep")
+    hosts = tiled.where("NOT out").select("main", "rep", "tile", upto("outside")).select(F.xxhash64("main", F.lit("in"), "other", "tile").alias("group"), "rep")
     return both.unionByName(visits).unionByName(hosts)
 
 

@@ -18,7 +18,7 @@ from .common import BATCH_BYTES, ragged, span_blocks
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 #: Pieces that a worker remembers, about: half of them in a young generation; when that is full, it replaces the old one.
-CACHE = 600_000
+CACHE = 400_000
 
 
 # fixed values: white space of the pattern's \s
