@@ -1,11 +1,12 @@
-"""Checkpoints in the shared folder and checked broadcasts."""
+"""Checkpoints in the shared folder, checked broadcasts and running sums."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -32,3 +33,17 @@ def small(df: DataFrame, rows: int) -> bool:
 def hinted(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it; else the planner shuffles and AQE splits skewed keys."""
     return df.hint("broadcast") if small(df, rows) else df
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with `step`, each row's place from 1, and running sums (new name: column) up to it: sorted by ranges, summed by range, so no task sees all rows."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    value = lambda c: F.coalesce(F.col(c), F.lit(0))
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(value(c)).alias(f"_{k}") for k, c in sums.items()])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    none = F.lit(0)
+    before = totals.select("_part", F.coalesce(F.sum("_n").over(ahead), none).alias("_n"), *[F.coalesce(F.sum(f"_{k}").over(ahead), none).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(hinted(before), "_part").withColumn("step", F.row_number().over(inside) + F.col("_n"))
+    return out.withColumns({k: F.sum(value(c)).over(upto) + F.col(f"_{k}") for k, c in sums.items()}).drop("_part", "_n", *[f"_{k}" for k in sums])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
@@ -111,16 +113,14 @@ def with_prf(df: DataFrame) -> DataFrame:
 def interaction_curve(candidates: DataFrame, gold: DataFrame, band: float) -> DataFrame:
     """Precision, recall and f1 after each answer: candidates of the band are taken at once, the others by falling confidence.
 
-    The rank is global, so this orders all candidates that are left to ask; it is meant for review queues.
+    The order is global; it is made by ranges of confidence.
     """
     n_gold = gold.select("item").distinct().count()
     marked = candidates.select("item", "confidence").join(gold.select("item").distinct().withColumn("_g", F.lit(1)), "item", "left")
     base = marked.where(F.col("confidence") >= band).agg(F.count("*").alias("n"), F.coalesce(F.sum("_g"), F.lit(0)).alias("tp")).head()
-    asked = marked.where(F.col("confidence") < band)
-    order = Window.orderBy(F.col("confidence").desc(), "item")
-    run = asked.withColumn("step", F.row_number().over(order)).withColumn("hits", F.coalesce(F.sum("_g").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    run = running(marked.where(F.col("confidence") < band), [F.col("confidence").desc(), F.col("item")], {"hits": "_g"})
     tp = F.col("hits") + base["tp"]
-    out = run.select("step", "item", tp.alias("tp"), F.lit(base["n"] - base["tp"]).alias("fp"), (F.lit(n_gold) - tp).alias("fn"))
+    out = run.select(F.col("step").cast("int").alias("step"), "item", tp.alias("tp"), F.lit(base["n"] - base["tp"]).alias("fp"), (F.lit(n_gold) - tp).alias("fn"))
     return with_prf(out)
 
 

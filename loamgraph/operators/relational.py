@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import hinted
+
 CLASS_SUMMARY = ("key", "uri", "label", "ontology_id", "status", "tier", "confidence", "version")
 EDGE_SUMMARY = ("key", "src", "dst", "ontology_id", "edge_type", "confidence")
 
@@ -48,7 +50,7 @@ def differs(a: Column, b: Column) -> Column:
 
 def feedback(decisions: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
     """Newest edits and rejections of the runs; the limit is held within 1..1000."""
-    own = decisions.where(F.col("action").isin("edit", "reject")).join(F.broadcast(runs), "run_id", "left_semi")
+    own = decisions.where(F.col("action").isin("edit", "reject")).join(hinted(runs), "run_id", "left_semi")
     return own.orderBy(F.col("created_at").desc(), F.col("key").desc()).limit(min(max(limit, 1), 1000))
 
 

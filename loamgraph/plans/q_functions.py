@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
+from ..operators.core import hinted
 from .registry import query
 
 _TOK = "list_filter(list_distinct(regexp_split_to_array(lower(trim({0})), '\\s+')), lambda w: w <> '')"
@@ -237,9 +238,9 @@ def metric_label_normalise(t):
 
 @query("SELECT c_custkey AS key, coalesce(r.r_name, n.n_name) AS canonical FROM customer JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN region r ON n.n_regionkey = r_regionkey AND n.n_nationkey % 2 = 0")
 def alias_map(t):
-    aliases = t.nation.where("n_nationkey % 2 = 0").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("canonical"))
-    own = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), "n_name")
-    return own.join(F.broadcast(aliases), "n_name", "left").select("key", F.coalesce("canonical", "n_name").alias("canonical"))
+    aliases = t.nation.where("n_nationkey % 2 = 0").join(hinted(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("canonical"))
+    own = t.customer.join(hinted(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), "n_name")
+    return own.join(hinted(aliases), "n_name", "left").select("key", F.coalesce("canonical", "n_name").alias("canonical"))
 
 
 @query("SELECT p_partkey AS key, CASE p_size % 4 WHEN 0 THEN 'xsd:integer' WHEN 1 THEN 'xsd:string' WHEN 2 THEN 'xsd:dateTime' ELSE p_brand END AS xsd FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.core import hinted
 from .registry import query
 
 
@@ -32,7 +33,7 @@ def direct_imports(t):
 def full_imports_dag(t):
     a = t.nation.select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_name").alias("src_name"))
     b = t.nation.select(F.col("n_nationkey").cast("long").alias("dst"), F.col("n_name").alias("dst_name"))
-    return t.imports_edges.join(F.broadcast(a), "src").join(F.broadcast(b), "dst").select("src", "dst", "src_name", "dst_name")
+    return t.imports_edges.join(hinted(a), "src").join(hinted(b), "dst").select("src", "dst", "src_name", "dst_name")
 
 
 @query("WITH RECURSIVE c(node, depth) AS (SELECT CAST(6 AS BIGINT), 0 UNION SELECT CASE WHEN e.src = c.node THEN e.dst ELSE e.src END, c.depth + 1 FROM c JOIN imports_edges e ON e.src = c.node OR e.dst = c.node WHERE c.depth < 2) SELECT DISTINCT e.src, e.dst FROM imports_edges e WHERE e.src IN (SELECT node FROM c WHERE depth < 2) OR e.dst IN (SELECT node FROM c WHERE depth < 2)")
@@ -110,7 +111,7 @@ def effective_outline(t):
     """The outline of each ontology in the import closure of one."""
     sources = G.closure(t.imports_edges, [24], 50).withColumnRenamed("node", "n_nationkey")
     labels = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_name").alias("label"), "n_nationkey")
-    own = labels.join(F.broadcast(sources), "n_nationkey", "left_semi").select("node", "label")
+    own = labels.join(hinted(sources), "n_nationkey", "left_semi").select("node", "label")
     customers = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_name").alias("label"))
     return G.outline(t.subclass_edges.where("src LIKE 'c%'"), own.select("node"), own.unionByName(customers))
 
@@ -163,7 +164,7 @@ def effective_view(t):
     sources = G.closure(t.imports_edges, [24], 50).select(F.col("node").alias("source_id"))
     names = t.nation.select(F.col("n_nationkey").cast("long").alias("source_id"), F.col("n_name").alias("source_name"))
     own = t.classes.where("expired IS NULL").withColumn("source_id", F.col("key") % 25)
-    return own.join(F.broadcast(sources), "source_id").join(F.broadcast(names), "source_id").select("key", "label", "source_id", "source_name", (F.col("source_id") != 24).alias("is_imported"))
+    return own.join(hinted(sources), "source_id").join(hinted(names), "source_id").select("key", "label", "source_id", "source_name", (F.col("source_id") != 24).alias("is_imported"))
 
 
 @query("""WITH RECURSIVE o(node, depth) AS (SELECT 9::BIGINT, 0 UNION SELECT e.dst, o.depth + 1 FROM o JOIN cyclic_edges e ON e.src = o.node WHERE o.depth < 3), i(node, depth) AS (SELECT 9::BIGINT, 0 UNION SELECT e.src, i.depth + 1 FROM i JOIN cyclic_edges e ON e.dst = i.node WHERE i.depth < 3),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import quality as Q
-from ..operators import resolve as R
 from ..operators import versioned as V
+from ..operators.core import hinted
 from ..sources import rdf, schemas
 from .registry import query
 
@@ -346,7 +346,7 @@ def cq_flattening(t):
 
 @query("SELECT r_name AS use_case, string_agg(n_name, '; ' ORDER BY n_nationkey % 3, n_name) AS outline FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def cq_scope_outline(t):
-    own = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("use_case")).agg(F.array_sort(F.collect_list(F.struct((F.col("n_nationkey") % 3).alias("p"), "n_name"))).alias("q"))
+    own = t.nation.join(hinted(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("use_case")).agg(F.array_sort(F.collect_list(F.struct((F.col("n_nationkey") % 3).alias("p"), "n_name"))).alias("q"))
     return own.select("use_case", F.array_join("q.n_name", "; ").alias("outline"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import quality as Q
+from ..operators.core import hinted
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -263,7 +264,7 @@ def pass_agreement_rate(t):
 @query("SELECT lang AS model, round(sum(n_chars) / 1000000 * CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 15 ELSE 1 END, 6) AS cost FROM documents GROUP BY lang")
 def run_cost(t):
     rates = t.spark.sql("SELECT * FROM VALUES ('en', 3), ('fr', 15) AS r(lang, rate)")
-    own = t.documents.groupBy("lang").agg(F.sum("n_chars").alias("tokens")).join(F.broadcast(rates), "lang", "left")
+    own = t.documents.groupBy("lang").agg(F.sum("n_chars").alias("tokens")).join(hinted(rates), "lang", "left")
     return own.select(F.col("lang").alias("model"), R6(F.col("tokens") / 1_000_000 * F.coalesce("rate", F.lit(1))).alias("cost"))
 
 
@@ -291,14 +292,14 @@ def micro_macro_report(t):
     return d.agg(R6(F.sum("tp") / F.sum(F.col("tp") + F.col("fp"))).alias("micro_precision"), R6(F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("micro_recall"), R6(F.avg("precision")).alias("macro_precision"), R6(F.avg("recall")).alias("macro_recall"))
 
 
-_CURVE = """WITH p AS (SELECT p_partkey AS item, p_retailprice AS confidence FROM part WHERE p_partkey % 3 = 0), g AS (SELECT DISTINCT item, 1 AS g FROM gold), m AS (SELECT p.*, g.g FROM p LEFT JOIN g USING (item)),
+_CURVE = """WITH p AS (SELECT p_partkey AS item, p_retailprice AS confidence FROM part), g AS (SELECT DISTINCT item, 1 AS g FROM gold), m AS (SELECT p.*, g.g FROM p LEFT JOIN g USING (item)),
 b AS (SELECT count(*) AS n, coalesce(sum(g), 0) AS tp FROM m WHERE confidence >= 1500), k AS (SELECT count(*) AS n FROM g),
 r AS (SELECT item, row_number() OVER w AS step, coalesce(sum(g) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS hits FROM m WHERE confidence < 1500 WINDOW w AS (ORDER BY confidence DESC, item)),
 c AS (SELECT step::INTEGER AS step, (hits + b.tp)::BIGINT AS tp, (b.n - b.tp)::BIGINT AS fp, (k.n - hits - b.tp)::BIGINT AS fn FROM r, b, k) """
 
 
 def _curve(t):
-    p = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("confidence"))
+    p = t.part.select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("confidence"))
     return Q.interaction_curve(p, t.gold, 1500.0).select("step", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"), R6("f1").alias("f1"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import relational as R
+from ..operators.core import hinted
 from .registry import query
 
 
@@ -24,7 +25,7 @@ def summary_projection_edges(t):
 def multi_predicate_listing(t):
     own = R.listing(t.classes, label="A", equal={"tier": "domain"}, at_least={"confidence": 0.5})
     names = t.nation.select(F.col("n_nationkey").cast("long").alias("ontology_id"), F.col("n_name").alias("ontology_name"))
-    return own.join(F.broadcast(names), "ontology_id", "left").select("key", "label", "ontology_name")
+    return own.join(hinted(names), "ontology_id", "left").select("key", "label", "ontology_name")
 
 
 @query("SELECT key, verdict, action, status FROM revisions WHERE ontology_id = 1 AND action = 'REVISE' AND status = 'applied' AND created >= TIMESTAMP '2024-01-10'")
@@ -155,14 +156,14 @@ def registry_run_document_chain(t):
     o = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-    out = t.lineitem.join(o, "l_orderkey", "left").join(c, "o_custkey", "left").join(s, "l_suppkey", "left").join(F.broadcast(t.nation), "n_nationkey", "left")
+    out = t.lineitem.join(o, "l_orderkey", "left").join(c, "o_custkey", "left").join(s, "l_suppkey", "left").join(hinted(t.nation), "n_nationkey", "left")
     return out.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.coalesce("c_name", "n_name").alias("owner"))
 
 
 @query("SELECT e.event_id, e.user_id, c.c_name FROM events e LEFT JOIN (SELECT c_nationkey, arg_min(c_name, c_custkey) AS c_name FROM customer GROUP BY c_nationkey) c ON c.c_nationkey = e.user_id % 25")
 def bulk_enrichment(t):
     first = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.min_by("c_name", "c_custkey").alias("c_name"))
-    return t.events.withColumn("k", F.col("user_id") % 25).join(F.broadcast(first), "k", "left").select("event_id", "user_id", "c_name")
+    return t.events.withColumn("k", F.col("user_id") % 25).join(hinted(first), "k", "left").select("event_id", "user_id", "c_name")
 
 
 @query("SELECT key, (SELECT min(dst) FROM relation_edges e WHERE e.src = o.o_orderkey AND e.expired IS NULL) AS first_type FROM (SELECT o_orderkey AS key, o_orderkey FROM orders) o")
@@ -253,7 +254,7 @@ def merge_repointing(t):
     from ..operators import versioned as V
 
     mapping = t.spark.range(1, 4).select(F.col("id").alias("old"), F.lit(100).cast("long").alias("new"))
-    return V.remap_edges(t.relation_edges.where("expired IS NULL"), F.broadcast(mapping)).select("key", "src", "dst")
+    return V.remap_edges(t.relation_edges.where("expired IS NULL"), hinted(mapping)).select("key", "src", "dst")
 
 
 @query("SELECT src, dst FROM (SELECT CASE WHEN src = 4 THEN 5 ELSE src END AS src, CASE WHEN dst = 4 THEN 5 ELSE dst END AS dst FROM imports_edges) WHERE src <> dst")
@@ -261,7 +262,7 @@ def individual_merge(t):
     from ..operators import versioned as V
 
     mapping = t.spark.range(4, 5).select(F.col("id").alias("old"), F.lit(5).cast("long").alias("new"))
-    return V.remap_edges(t.imports_edges, F.broadcast(mapping)).where("src <> dst").select("src", "dst")
+    return V.remap_edges(t.imports_edges, hinted(mapping)).where("src <> dst").select("src", "dst")
 
 
 @query("SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM imports_edges WHERE src % 4 = 1 UNION SELECT dst FROM imports_edges WHERE src % 4 = 1)")
@@ -309,7 +310,7 @@ def edge_provenance(t):
 
 @query("SELECT o.o_orderkey AS entity, c.c_name AS run, n.n_name AS document, count(l.l_orderkey) AS chunks FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3")
 def entity_provenance_chain(t):
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(hinted(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("chunks"))
     return o.join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("entity"), F.col("c_name").alias("run"), F.col("n_name").alias("document"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
 
@@ -357,7 +358,7 @@ def classes_for_batch(t):
 @query("SELECT doc_id, coalesce(CASE WHEN lang IN ('en', 'fr') THEN lang END, 'general') AS domain FROM documents")
 def chunk_domain_map(t):
     allowed = t.documents.select("lang").distinct().where(F.col("lang").isin("en", "fr")).withColumn("domain", F.col("lang"))
-    return t.documents.join(F.broadcast(allowed), "lang", "left").select("doc_id", F.coalesce("domain", F.lit("general")).alias("domain"))
+    return t.documents.join(hinted(allowed), "lang", "left").select("doc_id", F.coalesce("domain", F.lit("general")).alias("domain"))
 
 
 @query("SELECT u.uri, c.key FROM (SELECT 'urn:part#' || CAST(p_partkey * 2 AS VARCHAR) AS uri FROM part) u LEFT JOIN classes c ON c.uri = u.uri AND c.ontology_id = 2")
@@ -377,7 +378,7 @@ def uri_property_resolution(t):
 @query("SELECT c.key, n.n_name AS source_collection FROM classes c LEFT JOIN nation n ON n.n_nationkey = c.key % 40")
 def provenance_stamp(t):
     own = t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("source_collection"))
-    return t.classes.withColumn("k", F.col("key") % 40).join(F.broadcast(own), "k", "left").select("key", "source_collection")
+    return t.classes.withColumn("k", F.col("key") % 40).join(hinted(own), "k", "left").select("key", "source_collection")
 
 
 @query("SELECT 'class' AS kind, count(*) AS n FROM classes WHERE ontology_id = 1 UNION ALL SELECT 'edge', count(*) FROM relation_edges WHERE ontology_id = 1")

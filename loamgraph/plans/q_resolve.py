@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import resolve as R
+from ..operators.core import hinted
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -105,7 +106,7 @@ def topological_similarity(t):
     none = F.array().cast("array<bigint>")
     a = t.nation.select(F.col("n_nationkey").cast("long").alias("k")).join(p, "k", "left").join(c, "k", "left").select("k", F.coalesce("p", none).alias("p"), F.coalesce("c", none).alias("c"))
     x, y = a.select(F.col("k").alias("a"), F.col("p").alias("pa"), F.col("c").alias("ca")), a.select(F.col("k").alias("b"), F.col("p").alias("pb"), F.col("c").alias("cb"))
-    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b"))
+    pairs = x.join(hinted(y), F.col("a") < F.col("b"))
     score = S.topology_similarity(F.lit(0.0), X.jaccard(F.col("pa"), F.col("pb")), X.jaccard(F.col("ca"), F.col("cb")), F.lit(0.0))
     return pairs.select("a", "b", R6(score).alias("score"))
 

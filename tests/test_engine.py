@@ -298,6 +298,45 @@ def test_links_resolve_by_tiers(spark):
     got = {r.id: (r.class_key, r.tier) for r in resolve_targets(spark.createDataFrame(links, "id long, owner string, target string, text string"), classes).collect()}
     assert got == {1: ("k1", "uri"), 2: ("k1", "fragment"), 3: ("k2", "label"), 4: ("k2", "text"), 5: (None, "miss"), 6: (None, "miss"), 7: (None, "miss")}
 
+def office_file(parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return bytearray(out.getvalue())
+
+
+def test_office_files_are_read_as_sections(spark):
+    from loamgraph.sources.office import office_sections
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    docx = office_file({"word/document.xml": f"<w:document {w}><w:body>{para('before')}{para('One', 'Heading1')}{para('a')}{para('  ')}{para('b')}{para('Two', 'Heading2')}{para('Three', 'heading 1')}{para('c')}</w:body></w:document>"})
+    ns = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    shape = lambda text, kind="": f"<p:sp><p:nvSpPr><p:nvPr>{f'<p:ph type={chr(34)}{kind}{chr(34)}/>' if kind else ''}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>"
+    cell = lambda text: f"<a:tc><a:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></a:txBody></a:tc>"
+    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="http://x/{kind}" Target="{target}"/>'
+    pptx = office_file({
+        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r1"/><p:sldId r:id="r3"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f"<Relationships>{rel('r1', 'slide', 'slides/s1.xml')}{rel('r2', 'slide', 'slides/s2.xml')}{rel('r3', 'slide', '/ppt/slides/s3.xml')}</Relationships>",
+        "ppt/slides/s1.xml": f"<p:sld {ns}>{shape('body')}<p:grpSp>{shape('in a group')}</p:grpSp><a:tbl><a:tr>{cell('x')}{cell('y')}</a:tr></a:tbl></p:sld>",
+        "ppt/slides/s2.xml": f"<p:sld {ns}>{shape('Plan', 'title')}{shape('text', 'body')}</p:sld>",
+        "ppt/slides/_rels/s2.xml.rels": f"<Relationships>{rel('n', 'notesSlide', '../notes/n1.xml')}</Relationships>",
+        "ppt/notes/n1.xml": f"<p:notes {ns}>{shape('7', 'sldNum')}{shape('say it', 'body')}</p:notes>",
+        "ppt/slides/s3.xml": f"<p:sld {ns}>{shape('  ')}</p:sld>",
+    })
+    files = spark.createDataFrame([("x/a.docx", docx), ("b.PPTX", pptx), ("c.docx", bytearray(b"no zip")), ("d.txt", bytearray(b"x"))], "path string, content binary")
+    got = sorted((r.path, -1 if r.section is None else r.section, r.page, r.heading, r.body, r.notes, bool(r.error)) for r in office_sections(files).collect())
+    assert got == [
+        ("b.PPTX", 0, 1, "Plan", "text", "say it", False), ("b.PPTX", 1, 2, "", "body\nin a group\nx\ty", "", False), ("c.docx", -1, None, None, None, None, True),
+        ("x/a.docx", 0, None, "", "before", "", False), ("x/a.docx", 1, None, "One", "a\nb", "", False), ("x/a.docx", 2, None, "Three", "c", "", False),
+    ]
+    chunks = chunking.chunk_sections(office_sections(files).where("error IS NULL").withColumn("doc_id", F.xxhash64("path")), 50, 0)
+    assert chunks.where("role = 'notes'").count() == 1 and chunks.count() == 6
+
 
 @given(st.lists(st.integers(1, 12), max_size=30), st.integers(12, 20), st.integers(0, 10))
 @settings(max_examples=200, deadline=None)
