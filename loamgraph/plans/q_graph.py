@@ -61,9 +61,9 @@ def scc_cycle_report(t):
     return G.scc(t.cyclic_edges)
 
 
-@query()
+@query("WITH RECURSIVE w(way) AS (SELECT DISTINCT [src, dst] FROM cyclic_edges WHERE src < dst UNION SELECT list_append(w.way, e.dst) FROM w JOIN cyclic_edges e ON e.src = w.way[-1] WHERE e.dst > w.way[1] AND NOT list_contains(w.way, e.dst)) SELECT way::VARCHAR AS cycle FROM w JOIN (SELECT DISTINCT src, dst FROM cyclic_edges) e ON e.src = w.way[-1] AND e.dst = w.way[1] UNION ALL SELECT DISTINCT [src]::VARCHAR FROM cyclic_edges WHERE src = dst")
 def merge_induced_cycles(t):
-    return G.core_cycles(t.cyclic_edges)
+    return G.core_cycles(t.cyclic_edges).select(F.concat(F.lit("["), F.array_join(F.col("cycle").cast("array<string>"), ", "), F.lit("]")).alias("cycle"))
 
 
 @query("SELECT p_partkey AS key, CASE WHEN p_partkey % 7 <= p_partkey % 5 AND p_partkey % 7 <= p_partkey % 3 THEN [p_partkey % 7, p_partkey % 5, p_partkey % 3] WHEN p_partkey % 5 < p_partkey % 7 AND p_partkey % 5 <= p_partkey % 3 THEN [p_partkey % 5, p_partkey % 3, p_partkey % 7] ELSE [p_partkey % 3, p_partkey % 7, p_partkey % 5] END::VARCHAR AS cycle FROM part")
@@ -106,7 +106,8 @@ def indented_outline(t):
     return G.outline(edges, labels.where("node LIKE 'r%'").select("node"), labels)
 
 
-@query()
+@query("""WITH RECURSIVE i(node) AS (SELECT 24::BIGINT UNION SELECT e.dst FROM i JOIN imports_edges e ON e.src = i.node), o AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey IN (SELECT node FROM i))
+SELECT n_name AS sort_key, '- ' || n_name AS line FROM o UNION ALL SELECT n_name || '/' || c_name, '  - ' || c_name FROM o JOIN customer ON c_nationkey = k""")
 def effective_outline(t):
     """The outline of each ontology in the import closure of one."""
     sources = G.closure(t.imports_edges, [24], 50).withColumnRenamed("node", "n_nationkey")
@@ -153,7 +154,7 @@ def disjoint_pairs(t):
     return own.select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
 
 
-@query()
+@query("WITH RECURSIVE b AS (SELECT src AS u, dst AS v FROM imports_edges UNION SELECT dst, src FROM imports_edges), p(node, way) AS (SELECT 24::BIGINT, [24::BIGINT] UNION ALL SELECT b.v, list_append(p.way, b.v) FROM p JOIN b ON b.u = p.node WHERE NOT list_contains(p.way, b.v)), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY len(way), way) AS rn FROM p) SELECT node, array_to_string(way, ',') AS path FROM r WHERE rn = 1")
 def shortest_path(t):
     return G.shortest_paths(t.imports_edges, 24).select("node", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 

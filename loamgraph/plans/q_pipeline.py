@@ -82,7 +82,7 @@ def jsonschema_types(t):
     return t.part.select(F.col("p_partkey").alias("key"), schemas.jsonschema_type(F.when(F.col("p_size") % 3 == 0, "date"), F.when(F.col("p_size") % 2 == 0, "integer")).alias("xsd"))
 
 
-@query()
+@query("SELECT table_name AS \"table\", column_name AS field, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, true AS nullable FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'part', 'orders')")
 def relational_schema(t):
     return schemas.table_fields({n: getattr(t, n) for n in ("region", "nation", "part", "orders")}, t.spark)
 
@@ -99,7 +99,7 @@ def schema_rule_constraints(t):
     return schemas.rule_constraints(t.supplier.select(F.col("s_name").alias("on_class"), rule.alias("rule")))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_source(t):
     return t.pages.select("page_id", schemas.html_text(F.col("html")).alias("text"))
 

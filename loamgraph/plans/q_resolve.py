@@ -152,7 +152,7 @@ def greedy_one_to_one(t):
     return R.greedy_match(R.scored_join(t.entities.where("ontology_id = 0"), t.entities.where("ontology_id = 1"), 0.5))
 
 
-@query()
+@query(f"WITH RECURSIVE {_E}, p AS (SELECT x.key AS a, y.key AS b FROM e x JOIN e y ON x.ontology_id < y.ontology_id WHERE {_SCORE} >= 0.92), {_CC}, c AS (SELECT u AS key, min(v) AS component FROM r GROUP BY u) SELECT component, min(label) AS label, count(*) AS n FROM c JOIN e USING (key) GROUP BY 1")
 def master_materialise(t):
     """One class for each component of accepted correspondences, with its smallest label."""
     comps = R.connected_components(_alignment(t).where("score >= 0.92"), "a", "b")

@@ -32,7 +32,7 @@ def nearest_preceding(t):
     return C.inherit_previous(own, "conv_id", "turn", "domain").select("conv_id", "turn", "domain")
 
 
-@query()
+@query("SELECT doc_id, k::INTEGER AS chunk_index, least(128, n - 128 * k)::INTEGER AS token_count FROM (SELECT doc_id, n, unnest(range(0, ceil(n / 128.0)::BIGINT)) AS k FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM documents))")
 def running_token_packing(t):
     return C.chunk_documents(t.documents, 128, 32).select("doc_id", "chunk_index", "token_count")
 
@@ -67,7 +67,9 @@ def section_chunker(t):
     return own.select("doc_id", "chunk_index", "section", "page", "heading", "token_count")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS rn FROM documents),
+b(source, rn, batch, total, n) AS (SELECT source, 1::BIGINT, 0, n_chars::BIGINT, 1 FROM o WHERE rn = 1 UNION ALL SELECT o.source, o.rn, CASE WHEN b.total + o.n_chars > 20000 OR b.n >= 200 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.total + o.n_chars > 20000 OR b.n >= 200 THEN o.n_chars ELSE b.total + o.n_chars END, CASE WHEN b.total + o.n_chars > 20000 OR b.n >= 200 THEN 1 ELSE b.n + 1 END FROM b JOIN o ON o.source IS NOT DISTINCT FROM b.source AND o.rn = b.rn + 1)
+SELECT o.source, o.doc_id, o.n_chars, b.batch FROM o JOIN b ON b.source IS NOT DISTINCT FROM o.source AND b.rn = o.rn""")
 def embedding_batcher(t):
     own = t.documents.select("source", "doc_id", "n_chars")
     return C.batches_by_budget(own, "source", ["doc_id", "n_chars"], F.col("n_chars"), 20_000, 200)
@@ -187,7 +189,9 @@ def sliding_rate_limit(t):
     return L.sliding_limit(t.events, "user_id", micros, 60, 1).select("event_id", "in_window")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts::TIMESTAMP) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+w(user_id, rn, start, seen) AS (SELECT user_id, 1::BIGINT, e."at", 1 FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e."at" - w.start >= 86400 THEN e."at" ELSE w.start END, CASE WHEN e."at" - w.start >= 86400 THEN 1 ELSE w.seen + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT e.user_id, e."at", w.seen <= 5 AS allowed FROM e JOIN w ON w.user_id = e.user_id AND w.rn = e.rn""")
 def anchored_window_breaker(t):
     own = t.events.select("user_id", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6").cast("double").alias("at"))
     return L.anchored_limit(own, "user_id", "at", 86_400.0, 5)
