@@ -1,9 +1,10 @@
-"""URL filters by a sort-merge range join, in DataFrame operations only.
+"""URL filters by sort-merge range joins, in DataFrame operations only.
 
-A host's labels in reverse, each with a dot after it, make its key, so all subdomains of a rule's host lie in one
-interval of keys.  The intervals nest.  Hosts and interval ends are sorted together by ranges of keys; an end carries the
-stack of rules that are active after it, and each host takes the stack of the last end before it, across range borders too.
-Of the rules on the stack the longest one whose path the url's path starts with wins.
+A host's labels in reverse, each with a dot after it, make its key, so all subdomains of a rule's host lie in one interval
+of keys; a rule host's key and a path make the key of a rule, so all paths that start with the rule's lie in one interval.
+Intervals nest.  Points and interval ends are sorted together by ranges of keys; an end carries what is active after it, and
+each point takes what the last end before it carries, across range borders too.  The first sweep gives each host the rule
+hosts that hold it, the second gives each of these with the url's path the innermost rule, whose end has the rule around it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)"
 
 
+def after(at: Column) -> Column:
+    """Sorts after every UTF-8 text that begins so."""
+    return F.concat(at, F.expr("X'FF'"))
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, _URL, 2), UPPER, LOWER), F.lit(""))
 
@@ -30,49 +36,73 @@ def key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def ends(rules: DataFrame) -> DataFrame:
-    """Both ends of every rule host's interval: key and the stack (rules of this host and of those it lies in) that holds from there on."""
-    own = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), F.col("path").alias("path"), F.col("verdict").alias("verdict"))
-    nodes = rules.withColumn("key", key(F.col("host"))).groupBy("key").agg(F.collect_list(own).alias("rules"))
-    labels = F.split(F.expr("rtrim('.', key)"), r"\.")
-    # the keys of the hosts that a host lies in, itself included
-    above = nodes.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("over"))
-    chain = above.join(nodes.select(F.col("key").alias("over"), "rules"), "over").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.length("over").alias("depth"), F.col("rules")))).alias("chain"))
-    whole = chain.select("key", F.col("chain.rules").alias("chain"))
-    start = whole.select("key", F.flatten("chain").alias("stack"))
-    end = whole.select(F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("key"), F.flatten(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("stack"))
-    return start.unionByName(end)
+def prefixes(host_key: Column) -> Column:
+    """The keys of the hosts that a host lies in, itself included; a key per label."""
+    labels = F.split(F.regexp_replace(host_key, r"\.$", ""), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))
 
 
-def stacks(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """host_key (distinct) with the rules whose intervals hold it; hosts without any are left out."""
-    points = hosts.select(F.col("host_key").alias("key"), F.lit(1).alias("kind"))
-    events = points.unionByName(ends(rules).withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    ranged = cut(events.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()))
+def sweep(points: DataFrame, ends: DataFrame) -> DataFrame:
+    """points (at, binary) with held: that of the last end (at, held) at or before each point, null if there is none."""
+    kind = ends.schema["held"].dataType
+    events = points.withColumns({"kind": F.lit(1), "held": F.lit(None).cast(kind)}).unionByName(ends.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    ranged = cut(events.repartitionByRange("at", "kind").withColumn("part", F.spark_partition_id()))
     # what holds where a range begins: the last end of an earlier one; a row for each range
-    last = ranged.groupBy("part").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("own"))
+    last = ranged.groupBy("part").agg(F.max_by("held", F.when(F.col("kind") == 0, F.col("at"))).alias("own"))
     carried = last.select("part", F.last("own", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.coalesce(F.last("stack", ignorenulls=True).over(sweep), F.col("carried"))
-    swept = ranged.join(hinted(carried), "part").withColumn("held", held)
-    return swept.where((F.col("kind") == 1) & (F.size("held") > 0)).select(F.col("key").alias("host_key"), F.col("held").alias("stack"))
+    order = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = ranged.join(hinted(carried), "part").withColumn("held", F.coalesce(F.last("held", ignorenulls=True).over(order), F.col("carried")))
+    return swept.where("kind = 1").select(*points.columns, "held")
+
+
+def host_ends(rule_hosts: DataFrame) -> DataFrame:
+    """Both ends of every rule host's interval, with the rule hosts (host_key, longest: its longest path) that hold from there on, outermost first.
+
+    rule_hosts: host_key, longest.
+    """
+    over = rule_hosts.select("host_key", F.explode(prefixes(F.col("host_key"))).alias("over"))
+    around = over.join(rule_hosts.select(F.col("host_key").alias("over"), "longest"), "over")
+    chain = around.groupBy("host_key").agg(F.array_sort(F.collect_list(F.struct(F.length("over").alias("depth"), F.col("over").alias("host_key"), "longest"))).alias("held"))
+    start = chain.select(F.encode("host_key", "UTF-8").alias("at"), "held")
+    end = chain.select(after(F.encode("host_key", "UTF-8")).alias("at"), F.expr("slice(held, 1, size(held) - 1)").alias("held"))
+    return start.unionByName(end)
+
+
+def rule_ends(rules: DataFrame) -> DataFrame:
+    """Both ends of every rule's interval with the innermost rule (size, host_size, rule, verdict) from there on.
+
+    rules: host_key, host, path, verdict, a row for each host and path.
+    """
+    own = rules.select("host_key", "path", F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("held"))
+    shorter = own.where("path <> ''").select("host_key", "path", F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n")).select("host_key", "path", F.expr("left(path, n)").alias("around"))
+    outer = shorter.join(own.select("host_key", F.col("path").alias("around"), F.col("held").alias("outer")), ["host_key", "around"]).groupBy("host_key", "path").agg(F.max_by("outer", F.length("around")).alias("outer"))
+    at = F.encode(F.concat("host_key", "path"), "UTF-8")
+    none = F.expr("named_struct('size', 0, 'host_size', 0, 'rule', CAST(NULL AS STRING), 'verdict', CAST(NULL AS STRING))")
+    end = own.join(outer, ["host_key", "path"], "left").select(after(at).alias("at"), F.coalesce("outer", none).alias("held"))
+    return own.select(at.alias("at"), "held").unionByName(end)
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: host, path, rule (null if none fits) and verdict (the rule's, else `otherwise`).
 
     rules: host, path, verdict.  A rule fits its host and all subdomains, if the url's path starts with the rule's path;
-    the longest host and path win, of equally long ones the longer host.  Null urls and urls without :// have an empty
-    host and path, and no rule.  Repeated rows give repeated results.  Hosts are made distinct before the sort, so a hot
-    host is one row there; pages meet the stacks again by host key.
+    the longest host and path win, of equally long ones the longer host.  Of rules with one host and path the greatest
+    verdict counts.  Null urls and urls without :// have an empty host and path, and no rule.  Repeated rows give repeated
+    results.  Hosts, and hosts with as much of the path as their rules look at, are made distinct before they are sorted, so
+    a hot host or url is one row there; pages meet the results by host, and by host and start of the path.
     """
+    rules = cut(rules.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("host_key", key(F.col("host"))))
     named = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     named = named.withColumn("host_key", key(F.col("host")))
-    found = cut(stacks(named.select("host_key").distinct(), rules))
-    joined = named.join(hinted(found), "host_key", "left")
-    fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
-    best = F.array_max(fits)
-    return joined.withColumn("_best", best).select(id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(otherwise)).alias("verdict"))
+    hosts = named.where("host <> ''").select("host_key").distinct().withColumn("at", F.encode("host_key", "UTF-8"))
+    swept = sweep(hosts, host_ends(rules.groupBy("host_key").agg(F.max(F.length("path")).alias("longest"))))
+    held = cut(swept.where("size(held) > 0").select("host_key", "held", F.array_max(F.transform("held", lambda x: x["longest"])).alias("longest")))
+    met = named.join(hinted(held), "host_key", "left").withColumn("start", F.expr("left(path, coalesce(longest, 0))"))
+    points = met.where("held IS NOT NULL").select("host_key", "start", "held").dropDuplicates(["host_key", "start"])
+    points = points.select("host_key", "start", F.explode("held").alias("over")).select("host_key", "start", F.encode(F.concat("over.host_key", "start"), "UTF-8").alias("at"))
+    best = sweep(points, rule_ends(rules)).where("held.rule IS NOT NULL").groupBy("host_key", "start").agg(F.max("held").alias("best"))
+    joined = met.drop("held").join(hinted(cut(best)), ["host_key", "start"], "left")
+    return joined.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(otherwise)).alias("verdict"))
 
 
 ORACLE = r"""
