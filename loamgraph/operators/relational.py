@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,3 +125,48 @@ def without_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def provenance(db_a: Column, db_b: Column, host_a: Column, host_b: Column) -> Column:
     return F.when((db_a == db_b) & (host_a == host_b), "same").when(db_a == db_b, "host_differs").otherwise("different")
+
+
+PROFILES = ("summary", "full")
+
+
+def profile(value: Column) -> Column:
+    """Name of an include profile; null and unknown names mean full."""
+    name = F.lower(F.trim(value))
+    return F.when(name.isin(*PROFILES), name).otherwise("full")
+
+
+def sort_field(name: str) -> str:
+    """The name of a sort field, if it is a plain identifier."""
+    if not isinstance(name, str) or not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"no such sort field: {name!r}")
+    return name
+
+
+def is_sort_field(name: Column) -> Column:
+    return F.coalesce(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.lit(False))
+
+
+def signal_text(description: Column, evidence: Column) -> Column:
+    """Description, evidence texts and their spans in order; evidence: array of structs text, spans."""
+    parts = F.transform(evidence, lambda e: F.concat(F.array(e["text"]), F.coalesce(e["spans"], F.array().cast("array<string>"))))
+    return F.array_join(F.filter(F.concat(F.array(description), F.coalesce(F.flatten(parts), F.array().cast("array<string>"))), lambda x: x.isNotNull()), " ")
+
+
+def reasoning(uri_exact: Column, label_exact: Column, label_fuzzy: Column, overlap: Column, cosine: Column) -> Column:
+    """Why a touchpoint matched: its signals above 0, joined."""
+    two = lambda c: F.format_string("%.2f", c.cast("double"))
+    parts = F.array(
+        F.when(uri_exact > 0, "URI matches exactly"),
+        F.when(label_exact > 0, "label matches exactly"),
+        F.when((label_fuzzy > 0) & (label_fuzzy < 1), F.concat(F.lit("label fuzzy match ("), two(label_fuzzy), F.lit(")"))),
+        F.when(overlap > 0, F.concat(F.lit("shared evidence chunks ("), two(overlap), F.lit(" Jaccard)"))),
+        F.when(cosine > 0, F.concat(F.lit("embedding cosine "), two(cosine))),
+    )
+    text = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "; ")
+    return F.when(text == "", "no specific signals fired").otherwise(text)
+
+
+def job_cursors(log: DataFrame) -> DataFrame:
+    """job, stage and done of each job's last checkpoint (job, nth, stage, done), from which it goes on."""
+    return log.groupBy("job").agg(F.max_by(F.struct("stage", "done"), "nth").alias("m")).select("job", "m.stage", "m.done")

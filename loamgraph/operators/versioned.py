@@ -125,3 +125,35 @@ def snapshot_edges(edges: DataFrame, active: DataFrame, t: Column) -> DataFrame:
     b = active.select(F.col("key").alias("dst"), F.lit(True).alias("_b")).distinct()
     out = as_of(edges, t).join(a, "src", "left").join(b, "dst", "left").where("_a OR _b")
     return out.withColumn("both_ends", F.coalesce("_a", F.lit(False)) & F.coalesce("_b", F.lit(False))).drop("_a", "_b")
+
+
+def create(rows: DataFrame, now: float, created_by: str, change_type: str = "initial", change_summary: str = "") -> DataFrame:
+    """rows as first versions: version 1, live from now on, with who made them and why; appended to a table, never written over."""
+    stamped = {"version": F.lit(1).cast("long"), "created": F.lit(now), "expired": F.lit(None).cast("double")}
+    return rows.withColumns(stamped | {"created_by": F.lit(created_by), "change_type": F.lit(change_type), "change_summary": F.lit(change_summary)})
+
+
+#: Fields that say nothing about a row's schema.
+SCHEMA_METADATA = ("key", "version", "created", "expired", "ttl_expire_at", "ontology_id", "source_run_id")
+
+
+def schema_changed(before: DataFrame, after: DataFrame, identity: str = "uri") -> DataFrame:
+    """identity and changed of rows in both tables: whether any field but the metadata differs, nulls being equal; a field that one table lacks is null there."""
+    fields = sorted((set(before.columns) | set(after.columns)) - set(SCHEMA_METADATA) - {identity})
+    packed = lambda df, name: df.where(F.coalesce(F.col(identity), F.lit("")) != "").select(identity, F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in fields]).alias(name))
+    return packed(before, "_a").join(packed(after, "_b"), identity).select(identity, (~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))
+
+
+def as_of_join(points: DataFrame, versions: DataFrame, key: str, at: str, created: str = "created", expired: str = "expired") -> DataFrame:
+    """points (key, at) with every other column of the version (key, created, expired) that holds at their instant; null if there is none.
+
+    Both sides are sorted together within a key and the last version before a point is carried to it, so nothing is paired
+    that doesn't match.  Of versions created at one instant the last in the order of their fields counts.
+    """
+    fields = [c for c in versions.columns if c != key]
+    held = versions.select(F.col(key), F.col(created).alias("_at"), F.lit(0).alias("_turn"), F.struct(*fields).alias("_version"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_point"))
+    asked = points.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(held.schema["_version"].dataType).alias("_version"), F.struct("*").alias("_point"))
+    order = Window.partitionBy(key).orderBy("_at", "_turn", "_version").rowsBetween(Window.unboundedPreceding, 0)
+    swept = held.unionByName(asked).withColumn("_version", F.last("_version", ignorenulls=True).over(order)).where("_turn = 1")
+    fits = F.col(f"_version.{expired}").isNull() | (F.col(f"_version.{expired}") > F.col("_at"))
+    return swept.select("_point.*", *[F.when(fits, F.col(f"_version.{c}")).alias(c) for c in fields if c not in points.columns])
