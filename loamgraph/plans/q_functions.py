@@ -329,7 +329,7 @@ def sequence_ratio_scores(t):
 
 @query("WITH k AS (SELECT p_type, list_sort(list(p_retailprice)) AS v FROM part GROUP BY p_type) SELECT p_type, v[greatest(1, ceil(len(v) * 0.95)::INTEGER)] AS p95 FROM k")
 def latency_percentile(t):
-    return t.part.groupBy("p_type").agg(F.array_sort(F.collect_list("p_retailprice")).alias("v")).select("p_type", S.nearest_rank(F.col("v"), 95).alias("p95"))
+    return t.part.groupBy("p_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY p_retailprice)").alias("p95"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::INTEGER AS n FROM documents")
