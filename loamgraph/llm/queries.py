@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, quality, runs, secrets, substrings, topk, url_filter
+from . import mixing, near_dups, quality, runs, secrets, simhash, substrings, topk, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
@@ -64,13 +64,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
 
 
 _ALL = (
     op1_token_counts, op2_cover_tree_top_k, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op8_near_duplicates, op9_byte_bpe, op10_url_filter,
-    op13_periodic_runs,
+    op11_simhash_groups, op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
