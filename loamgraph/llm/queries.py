@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, quality, runs, secrets, simhash, substrings, topk, url_filter
+from . import mixing, near_dups, negatives, quality, runs, secrets, simhash, substrings, topk, url_filter
 from .bpe import encode_decode
 from .common import table
 from .repair import read_shards, shard_folder, write_shards
@@ -68,14 +68,19 @@ def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
 
 
 _ALL = (
     op1_token_counts, op2_cover_tree_top_k, op3_quality_rules, op4_mixing, op5_repair_shards, op6_secrets, op7_substring_dedup, op8_near_duplicates, op9_byte_bpe, op10_url_filter,
-    op11_simhash_groups, op13_periodic_runs,
+    op11_simhash_groups, op12_hard_negatives, op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op2_cover_tree_top_k": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_cover_tree_top_k": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op8_near_duplicates": near_dups.ORACLE, "op10_url_filter": url_filter.ORACLE, "op12_hard_negatives": negatives.ORACLE}
