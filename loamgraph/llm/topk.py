@@ -29,6 +29,8 @@ PIVOTS = 256
 STRIPE = 64
 #: Below this the products of whole numbers are exact in floating point.
 EXACT = float(1 << 53)
+#: The kth score of a query with fewer than k rows so far.
+NONE = np.iinfo(np.int64).min
 
 
 def _sizes(points: np.ndarray) -> np.ndarray:
@@ -105,19 +107,19 @@ def reach(centre: np.ndarray, radius: float, norm: float, centres: np.ndarray, r
 def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None, seen: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (in tree order) its best points of the data (in tree order) and their scores; ties go to smaller ids.
 
-    floor: scores below which a query needs nothing; seen: gets the numbers of node pairs that were pruned and scored.
+    floor: whole-number scores below which a query needs nothing (NONE: none); seen: gets the numbers of node pairs that were pruned and scored.
     """
     n, nq = len(data.ids), len(queries.ids)
     if not n or not nq:
         return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * nq
     exact = float(np.abs(queries.points).max(initial=0)) * float(np.abs(data.points).max(initial=0)) * data.points.shape[1] < EXACT
     left, right = (queries.points, data.points) if exact else (queries.vectors, data.vectors)
-    none = -np.inf if exact else np.iinfo(np.int64).min
+    none = -np.inf if exact else NONE
     place = np.empty(n, np.int64)
     place[np.argsort(data.ids, kind="stable")] = np.arange(n)
     best = np.full((nq, k), none, left.dtype)  # scores, falling
     who = np.full((nq, k), n, np.int64)  # places of their ids; n: none
-    least = np.full(nq, none, left.dtype) if floor is None else np.where(np.isneginf(floor), none, floor).astype(left.dtype)
+    least = np.full(nq, none, left.dtype) if floor is None else np.where(floor == NONE, none, floor).astype(left.dtype)
 
     def kth(a: int, b: int) -> np.ndarray:
         return np.maximum(best[a:b, -1], least[a:b])
@@ -243,10 +245,10 @@ def _walk(k: int):
                     data = CoverTree.unpacked(trees_[i].as_py())
                     continue
                 q = CoverTree.unpacked(asked[i].as_py())
-                found = search(q, data, k, np.frombuffer(floors[i].as_py(), np.float64) if floors[i].is_valid else None)
+                found = search(q, data, k, np.frombuffer(floors[i].as_py(), np.int64) if floors[i].is_valid else None)
                 size = [len(w) for w, _ in found]
                 hits = pa.StructArray.from_arrays([pa.array(np.repeat(q.ids, size)), pa.array(data.ids[np.concatenate([w for w, _ in found])]), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
-                floor = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in found], np.float64)
+                floor = np.array([s[k - 1] if len(s) >= k else NONE for _, s in found], np.int64)
                 keys = [batch.column(c).slice(i, 1) for c in _VISIT.names[:-1]]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array([floor.tobytes()]), pa.ListArray.from_arrays([0, len(hits)], hits)], [*_VISIT.names, "hits"])
 
@@ -275,7 +277,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "ve
     Ties go to smaller ids; fewer rows give fewer results.  Null ids and vectors that are null, empty or hold null or
     non-finite components take no part; vectors of different lengths don't meet; repeated rows are candidates each, and a
     repeated query counts once.  Of an id that comes with several vectors each is a query, and the best k of all count.
-    Scores are exact as long as they fit a long.
+    Scores are exact as long as a long holds all inner products; beyond that they wrap modulo 2**64, and which rows are
+    found is not defined.
     """
     rows = embeddings.where(F.col(id_col).isNotNull() & valid(F.col(vector_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
@@ -303,7 +306,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "ve
     def further(batches):
         for batch in batches:
             for raw, floor, d, p, part, at0, b0 in zip(*(batch.column(c).to_pylist() for c in ("asked", "floor", "n_dims", "asked_pivot", "asked_part", "pivot", "part"))):
-                worst = np.frombuffer(floor, np.float64).min()
+                worst = float(np.frombuffer(floor, np.int64).min())
                 for at in np.flatnonzero(bounds(CoverTree.unpacked(raw), d) >= worst).tolist():
                     some = [{"n_dims": d, "asked_pivot": p, "asked_part": part, "pivot": at, "part": b, "floor": floor} for b in range(int(parts[d][at])) if (at, b) != (at0, b0)]
                     yield pa.RecordBatch.from_pylist(some, _VISIT)
