@@ -410,8 +410,9 @@ def one_of_each(docs: DataFrame, width: int = 2, id_col: str = "doc_id", text_co
     """
     gone = _grouped(docs, width, id_col, text_col).where("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_gone_h")).distinct()
     gone = hinted(cut(gone), 300_000)
-    once = docs.withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"])
-    return once.join(gone, once[id_col].cast("long").eqNullSafe(gone["_gone"]) & (once["_h"] == gone["_gone_h"]), "left_anti").drop("_h")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"))
+    once = whole.dropDuplicates(["_id", "_h"])
+    return once.join(gone, once["_id"].eqNullSafe(gone["_gone"]) & (once["_h"] == gone["_gone_h"]), "left_anti").select("_row.*")
 
 
 ORACLE = r"""
