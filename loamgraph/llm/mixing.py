@@ -67,28 +67,33 @@ def targets(sources: DataFrame, source_col: str = "source", weights: tuple[int,
     return placed.withColumn("target", target).withColumn("rate", rate)
 
 
+def nameless(id_col: str, text_col: str) -> Column:
+    """What stands for the id of a row without one: the hash of its text; null for the others."""
+    return F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_nameless")
+
+
 def coin(id_col: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of the hash of seed and id; a null id hashes as an empty string."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    """A number in [0, 1) from 52 bits of the hash of seed and id, or what stands for it as _nameless."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.col("_nameless")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def with_copies(rows: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """rows with source_size, target and copies.  The sources are broadcast if they are few, else AQE splits hot ones."""
+    """rows (with _nameless) with source_size, target and copies.  The sources are broadcast if they are few, else AQE splits hot ones."""
     own = rates.select(F.col(source_col).alias("_source"), "source_size", "target", "rate")
     joined = rows.join(hinted(own), F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.coalesce(F.col("rate"), F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("copies", whole + (coin(id_col, seed) < rate - whole).cast("long")).drop("rate")
+    return joined.withColumn("copies", whole + (coin(id_col, seed) < rate - whole).cast("long")).drop("rate", "_nameless")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """Per row: size, source_size, target (of its source) and taken (words the mix takes of it).
 
-    Null texts have size 0, null is a source of its own; rows of one id share their hash, so repeated rows are taken alike;
-    an empty table gives no rows.  Only ids, sources and sizes are shuffled; other columns of docs don't matter.
+    Null texts have size 0, null is a source of its own; rows of one id share their hash, so repeated rows are taken alike,
+    and rows without id are told apart by their texts; an empty table gives no rows.  Only ids, sources and sizes are shuffled; other columns of docs don't matter.
     """
-    rows = cut(docs.select(F.col(id_col), F.col(source_col), n_words(F.col(text_col)).alias("size")))
+    rows = cut(docs.select(F.col(id_col), F.col(source_col), nameless(id_col, text_col), n_words(F.col(text_col)).alias("size")))
     rates = targets(rows.groupBy(source_col).agg(F.sum("size").alias("source_size")), source_col)
     out = with_copies(rows, rates, id_col, source_col, seed)
     return out.select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -98,13 +103,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents themselves, each as many times as the mix takes it, with all columns of docs."""
     names = docs.columns
     rates = targets(docs.groupBy(source_col).agg(F.sum(n_words(F.col(text_col))).alias("source_size")), source_col)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col), F.col(source_col))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col), F.col(source_col), nameless(id_col, text_col))
     out = with_copies(whole, rates, id_col, source_col, seed)
     return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM s),
 w AS (SELECT source, source_size, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::HUGEINT AS weight FROM p),
@@ -117,6 +122,6 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN (2 * source_size)::DOUBL
         ELSE ((3 * total - 4 * gone) * weight)::DOUBLE / (2 * open)::DOUBLE END AS target FROM c, l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-  ((floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+  ((floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || name), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
