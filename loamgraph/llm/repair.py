@@ -4,7 +4,8 @@ A shard holds the ids of consecutive documents.  Frequent pairs of neighbouring
 nonterminals, round after round, until no pair comes min_count times.  The shard stores its rules, each rule's expansion
 length, the reduced sequence, and each document's place in it, so one document is read without expanding the others.
 
-Layout (little endian): b"LGRP", uint32 version, n_docs, n_rules, n_symbols, first_nonterminal; then doc ids int64,
+Layout (little endian): b"LGRP", uint32 version, n_docs, n_nameless, n_rules, n_symbols, first_nonterminal (the first n_nameless
+documents have no id); then doc ids int64,
 places uint32 (n_docs + 1), rules uint32 x 2, expansion lengths uint32, and the sequence as uint16 low halves and uint16
 high halves.  A shard is one row of a Parquet table (part, seq, n_tokens, payload), so Spark's committers write it to
 any store and lost executors leave no half-written file.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, checkpoint_dir, hinted, ragged, text_parts
 from .token_counts import library
 
-MAGIC, VERSION = b"LGRP", 1
-HEAD = struct.Struct("<4s5I")
+MAGIC, VERSION = b"LGRP", 2
+HEAD = struct.Struct("<4s6I")
 
 #: A pair that comes at least so often in a shard becomes a rule: a rule takes 12 bytes, and each use saves a symbol of 4.
 MIN_COUNT = 4
@@ -65,20 +66,34 @@ def _frequent(seq: np.ndarray, at: np.ndarray, least: int, turn: int) -> tuple[n
     return at[own], rank[bucket[own]], owner[good]
 
 
+def _every(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _frequent, by sorting all pairs: none is overlooked."""
+    pairs, back, count = np.unique(seq[at].astype(np.int64) << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+    good = np.flatnonzero(count >= least)
+    good = good[np.argsort(-count[good], kind="stable")]
+    rank = np.full(len(pairs), -1, np.int32)
+    rank[good] = np.arange(len(good), dtype=np.int32)
+    own = rank[back] >= 0
+    return at[own], rank[back[own]], pairs[good]
+
+
 def compress(ids: np.ndarray, doc: np.ndarray, first_symbol: int, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ids (doc: each id's document number): the reduced sequence, its document numbers, the rules and their expansion lengths.
 
     A round replaces all frequent pairs at once; where two overlap, the more frequent one wins, in runs of one pair every
-    other.  The first two rounds look at all pairs, the later ones at those that hold a nonterminal of the last round.
+    other.  The first two rounds look at all pairs, the later ones at those that hold a nonterminal of the last round; where
+    these have nothing left, all pairs are sorted, and it ends when none of them comes so often.
     """
     seq, doc, rules, top, turn = ids.astype(np.int32), doc.astype(np.int32), [], first_symbol, 0
     fresh = np.ones(len(seq), bool)
     while len(seq) > 1:
-        at = np.flatnonzero((doc[:-1] == doc[1:]) & (fresh[:-1] | fresh[1:]))
-        at, rank, pairs = _frequent(seq, at, least, turn)
+        near = doc[:-1] == doc[1:]
+        at, rank, pairs = _frequent(seq, np.flatnonzero(near & (fresh[:-1] | fresh[1:])), least, turn)
         turn += 1
         if not len(at):
-            break
+            at, rank, pairs = _every(seq, np.flatnonzero(near), least)
+            if not len(at):
+                break
         score = np.full(len(seq) + 2, len(pairs), np.int32)  # by the position's left id, one later
         score[at + 1] = rank
         left, right = score[at], score[at + 2]
@@ -133,21 +148,21 @@ def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol
     return np.concatenate([flat, seq])[ragged(start, size)]
 
 
-def pack(doc_ids: np.ndarray, ids: np.ndarray, first: np.ndarray, first_symbol: int, least: int = MIN_COUNT) -> bytes:
-    """A shard of documents: ids one after the other, first: each document's place (n + 1)."""
+def pack(doc_ids: np.ndarray, ids: np.ndarray, first: np.ndarray, first_symbol: int, least: int = MIN_COUNT, nameless: int = 0) -> bytes:
+    """A shard of documents: ids one after the other, first: each document's place (n + 1); the first `nameless` ones have no id."""
     doc = np.repeat(np.arange(len(doc_ids)), np.diff(first))
     seq, doc, rules, lengths = compress(ids, doc, first_symbol, least)
     places = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
-    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(rules), len(seq), first_symbol)
+    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), nameless, len(rules), len(seq), first_symbol)
     low, high = (seq & 0xFFFF).astype("<u2"), (seq >> 16).astype("<u2")
     return b"".join([head, doc_ids.astype("<i8").tobytes(), places.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), low.tobytes(), high.tobytes()])
 
 
 class Shard:
-    """A packed shard: doc_ids, document(i) for one document's ids, and all()."""
+    """A packed shard: doc_ids (of the first `nameless` ones 0), document(i) for one document's ids, and all()."""
 
     def __init__(self, payload: bytes):
-        magic, version, n, r, s, self.first_symbol = HEAD.unpack_from(payload)
+        magic, version, n, self.nameless, r, s, self.first_symbol = HEAD.unpack_from(payload)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of this format")
         at = HEAD.size
@@ -201,8 +216,8 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, first_sy
             nonlocal seq
             ids = np.concatenate([x[1] for x in held])
             counts = np.concatenate([x[2] for x in held])
-            names = np.concatenate([x[0] for x in held])
-            payload = pack(names, ids, np.concatenate([[0], np.cumsum(counts)]), first_symbol, least)
+            names = pa.concat_arrays([x[0] for x in held])
+            payload = pack(names.fill_null(0).to_numpy(), ids, np.concatenate([[0], np.cumsum(counts)]), first_symbol, least, names.null_count)
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "seq", "n_tokens", "payload"])
 
@@ -213,7 +228,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, first_sy
                 n = len(bounds) - 1
                 with_end = np.full(len(ids) + n, end_id, np.int32)
                 with_end[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(first))] = ids
-                held.append((piece.column(id_col).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64), with_end, np.diff(first) + 1))
+                held.append((piece.column(id_col), with_end, np.diff(first) + 1))
                 size += len(data)
                 if size >= SHARD_BYTES:
                     yield shard()
@@ -239,7 +254,7 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
                 raw, at = memoryview(ids.astype("<u4").tobytes()), (place * 4).tolist()
                 n = len(shard.doc_ids)
                 crc = [zlib.crc32(raw[at[i] : at[i + 1]]) for i in range(n)]
-                names = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == -(1 << 63))
+                names = pa.array(shard.doc_ids, pa.int64(), mask=np.arange(n) < shard.nameless)
                 yield pa.RecordBatch.from_arrays([names, pa.array(base + place[:-1], pa.int64()), pa.array(np.diff(place), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.read.parquet(out)
