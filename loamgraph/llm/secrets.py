@@ -89,8 +89,10 @@ def _share(value: Column, drop: str) -> Column:
 
 def features(found: DataFrame, bits: str) -> DataFrame:
     """found: value, before (up to two words), word (the whole word), word_prefix, after, path; adds FEATURES as doubles.  bits: as piece_bits gives them."""
-    code = lambda i: F.when(F.substring(low, i, F.lit(1)).between("a", "z"), F.ascii(F.substring(low, i, F.lit(1))) - 96).when(F.substring(low, i, F.lit(1)).between("0", "9"), 27).otherwise(0)
-    low = F.lower("value")
+    # computed once a candidate, not once a character: in lower case, and with all digits as "{" and all else as "`", the neighbours of a to z
+    found = found.withColumn("_low", F.lower("value")).withColumn("_coded", F.translate(F.regexp_replace("_low", "[^a-z0-9]", "`"), "0123456789", "{" * 10))
+    low = F.col("_low")
+    code = lambda i: F.ascii(F.substring("_coded", i, F.lit(1))) - 96
     table = F.lit(",".join(map(str, transitions())))
     known = F.split(F.lit(bits), ",").cast("array<long>")
     steps = F.when(F.length(low) > 1, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))
@@ -122,7 +124,7 @@ def features(found: DataFrame, bits: str) -> DataFrame:
         "all_digits": value.rlike("^[0-9]+$").cast("int"),
         "cloud_prefix": value.rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk-|AIza|eyJ)").cast("int"),
     }
-    return found.withColumns({k: v.cast("double") for k, v in columns.items()})
+    return found.withColumns({k: v.cast("double") for k, v in columns.items()}).drop("_low", "_coded")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -140,13 +142,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = some.select(id_col, "text_key", "path", "words", F.explode(places).alias("word_index"))
     near = lambda k: at(F.col("word_index"), -k)
     some = some.select(id_col, "text_key", "path", "word_index", near(0).alias("word"), F.concat_ws(" ", near(-2), near(-1)).alias("before"), near(1).alias("after"), after_sign(F.col("word_index")).alias("assigned_before"))
-    one = lambda pattern: F.array(F.regexp_extract("word", pattern, 1))
-    values = F.concat(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1)), one(_ASSIGNED), one(_IN_URL), F.when(F.col("assigned_before"), one(_VALUE)).otherwise(F.array().cast("array<string>")))
+    every = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), F.lit(1))
+    values = F.concat(every(f"({CANDIDATE})"), every(_ASSIGNED), every(_IN_URL), F.when(F.col("assigned_before"), every(_VALUE)).otherwise(F.array().cast("array<string>")))
     found = some.select("*", F.posexplode(F.array_remove(F.array_distinct(values), "")).alias("nth", "value")).drop("assigned_before")
     return found.withColumn("word_prefix", F.expr("substring_index(word, value, 1)"))
 
 
-# fixed values: beginnings and ends of words in four languages and in code, of which harmless findings are made
+#: Beginnings and ends of words in four languages and in code, of which harmless findings are made.
 WORDS = ("able", "account", "ada", "ado", "ando", "api", "ation", "ben", "ber", "cion", "com", "config", "con", "data", "der", "des", "ele", "ent", "est", "eur", "file", "for", "gen", "hand", "heit", "her", "ible", "ica", "ing", "ion", "keit", "key", "lib", "lich", "ment", "mente", "name", "ness", "nung", "ous", "path", "per", "que", "request", "rer", "sch", "secret", "ser", "service", "src", "test", "ter", "the", "tion", "token", "tor", "ung", "user", "ver", "wort")
 
 
