@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "loamgraph-checkpoints"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, which all executors share."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: its rows survive lost executors, and later jobs don't recompute its lineage."""
     checkpoint_dir(df.sparkSession)

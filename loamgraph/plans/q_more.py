@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import versioned as V
-from ..operators.core import checkpoint_dir
+from ..operators.core import new_folder
 from ..sources import rdf, schemas
 from .registry import query
 
 
-def _folder(t, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT key, label, CAST(1 AS BIGINT) AS version, CAST(1800000000 AS DOUBLE) AS created, CAST(NULL AS DOUBLE) AS expired, 'importer' AS created_by, 'initial' AS change_type FROM classes WHERE expired IS NULL")
 def version_writer(t):
     rows = t.classes.where("expired IS NULL").select("key", "label")
@@ -83,7 +75,7 @@ def gold_corpus(t):
     own = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
     triples = F.transform(F.sequence(F.lit(1), F.size("names") + 1), lambda i: F.struct(F.lit(0).alias("h"), F.lit("holds").alias("r"), i.alias("t")))
     docs = own.select(F.col("r_regionkey").cast("string").alias("doc_id"), F.concat(F.array("r_name"), "names").alias("vertices"), triples.alias("triples"))
-    path = _folder(t, "gold")
+    path = new_folder(t.spark, "gold")
     docs.write.json(path)
     return schemas.read_gold(t.spark, path)
 
@@ -92,7 +84,7 @@ def gold_corpus(t):
 def standard_catalog(t):
     """A catalogue in one JSON array, read back."""
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.concat(F.lit("urn:n#"), F.col("n_nationkey").cast("string")).alias("uri"), F.col("r_name").alias("topic"))
-    path = _folder(t, "catalog")
+    path = new_folder(t.spark, "catalog")
     rows.coalesce(1).agg(F.to_json(F.collect_list(F.struct("name", "uri", "topic"))).alias("value")).write.text(path)  # a catalogue is one small file
     return t.spark.read.schema("name string, uri string, topic string").json(path, multiLine=True)
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators.core import new_folder
 from ..streaming import limits as L
+from ..streaming import timed
 from .registry import query
 
 _DOCS = "SELECT doc_id, '# Title' || chr(10) || left(text, 40) || chr(10) || '## Part ' || doc_id::VARCHAR || chr(10) || lang AS text FROM documents"
@@ -197,6 +199,30 @@ def anchored_window_breaker(t):
     return L.anchored_limit(own, "user_id", "at", 86_400.0, 5)
 
 
+def _streamed(t, make):
+    """The events as a stream in event time, with what it gives written beside the checkpoints."""
+    schema = t.events.schema
+    stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]").withColumn("at", F.expr("CAST(ts AS TIMESTAMP)"))
+    folder = new_folder(t.spark, "stream")
+    return timed.run_to_folder(t.spark, make(stream), f"{folder}/out", f"{folder}/checkpoint")
+
+
+_DECIDED = "(SELECT *, epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events) AS decided FROM events)"
+
+
+@query(f"""SELECT event_id, in_window, in_window <= 2 AS allowed FROM (SELECT event_id, decided, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS in_window FROM {_DECIDED}) WHERE decided""")
+def sliding_limit_stream(t):
+    """All events but those of the last hour, which wait for the watermark."""
+    return _streamed(t, lambda s: timed.sliding_limit_stream(s, "user_id", "at", "event_id", 86_400, 2, "1 hour")).select("event_id", "in_window", "allowed")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, decided, epoch_us(ts::TIMESTAMP) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {_DECIDED}),
+w(user_id, rn, start, seen) AS (SELECT user_id, 1::BIGINT, e."at", 1 FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e."at" - w.start >= 86400000000 THEN e."at" ELSE w.start END, CASE WHEN e."at" - w.start >= 86400000000 THEN 1 ELSE w.seen + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT e.event_id, w.seen <= 1 AS allowed FROM e JOIN w ON w.user_id = e.user_id AND w.rn = e.rn WHERE decided""")
+def anchored_breaker_stream(t):
+    return _streamed(t, lambda s: timed.anchored_breaker_stream(s, "user_id", "at", "event_id", 86_400, 1, "1 hour")).select("event_id", "allowed")
+
+
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20")
 def event_feed_replay(t):
     return L.replay(t.events, "user_id", ["ts", "event_id"], 20).select("event_id", "user_id")
