@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import vector_index as VI
 from ..operators.core import new_folder
 from ..streaming import limits as L
 from ..streaming import timed
@@ -128,6 +129,16 @@ def vector_top_k(t):
     return own.orderBy(F.col("cosine").desc(), "vec_id").limit(10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query(f"SELECT query_id, rank, vec_id, round(cosine, 6) AS cosine FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INTEGER AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10")
+def vector_index_search(t):
+    """Exact searches through an inverted-file index of all vectors, for every fiftieth one."""
+    folder = new_folder(t.spark, "index")
+    VI.build(t.embeddings, folder)
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = VI.search(t.spark, folder, asked, 10, exact=True, other=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 @query(f"WITH q AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label), s AS (SELECT e.label, e.vec_id, {_COS} AS cosine FROM embeddings e JOIN q ON q.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id)::INTEGER AS rank FROM s WHERE cosine > 0.05) SELECT label, vec_id, rank FROM r WHERE rank <= 10")
 def same_document_top_k(t):
     from ..operators.resolve import best_per
