@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import text_index as TI
 from ..operators import vector_index as VI
 from ..operators.core import new_folder
 from ..streaming import limits as L
@@ -165,11 +166,27 @@ def bm25_search(t):
     return C.bm25(t.documents, ["the", "tion"], "doc_id", {"text": (F.col("text"), 1.0)}).withColumn("score", F.round("score", 4))
 
 
+@query(f"WITH {_BM} SELECT row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank, id, round(score, 4) AS score FROM (SELECT id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_size))) AS score FROM h JOIN d USING (word), s GROUP BY id ORDER BY score DESC, id LIMIT 20)")
+def text_index_top_k(t):
+    """The 20 best documents by stored postings of all documents."""
+    folder = new_folder(t.spark, "postings")
+    TI.build(t.documents, folder, "doc_id", {"text": F.col("text")})
+    return TI.search(t.spark, folder, ["the", "tion"], {"text": 1.0}, 20).withColumn("score", F.round("score", 4))
+
+
 _BM_CLASS = """live AS (SELECT key, string_split(lower(label), ' ') AS l, list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS d FROM classes WHERE expired IS NULL AND ontology_id = 1),
 f AS (SELECT key, 'l' AS f, 2.0 AS boost, l AS w FROM live UNION ALL SELECT key, 'd', 1.0, d FROM live), s AS (SELECT f, count(*) AS n, avg(len(w)) AS a FROM f GROUP BY 1),
 h AS (SELECT key, f, boost, len(w) AS size, q, len(list_filter(w, lambda x: x = q)) AS tf FROM f, (SELECT unnest(['gear', 'steel', 'red']) AS q)), dfs AS (SELECT f, q, count(*) FILTER (tf > 0) AS df FROM h GROUP BY 1, 2)"""
 
 
+@query(f"WITH {_BM_CLASS} SELECT key AS id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 4) AS score FROM h JOIN s USING (f) JOIN dfs USING (f, q) WHERE tf > 0 GROUP BY 1")
+def text_index_class_search(t):
+    """As bm25_class_search, by stored postings of labels and descriptions."""
+    folder = new_folder(t.spark, "postings")
+    TI.build(t.classes.where("expired IS NULL AND ontology_id = 1"), folder, "key", {"label": F.col("label"), "description": F.col("description")})
+    return TI.search(t.spark, folder, ["gear", "steel", "red"], {"label": 2.0, "description": 1.0}).withColumn("score", F.round("score", 4))
+
+
 @query(f"WITH {_BM_CLASS} SELECT key AS id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 4) AS score FROM h JOIN s USING (f) JOIN dfs USING (f, q) WHERE tf > 0 GROUP BY 1")
 def bm25_class_search(t):
     """Live classes of one ontology; the label counts twice."""
