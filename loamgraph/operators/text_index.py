@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import cut, hinted
+from .core import cut
+from .stored import files
 
 #: Documents of a chunk, about; folders that words are dealt into.
 CHUNK, PARTS = 1024, 64
@@ -54,18 +55,13 @@ def build(rows: DataFrame, path: str, id_col: str, fields: dict[str, Column], k1
     blocks = counted.join(F.broadcast(stats.select("field", "average")), "field").groupBy("field", "word", "chunk").agg(F.max(value).alias("top"), F.count("*").alias("n"), F.collect_list(hit).alias("postings"))
     dealt = blocks.withColumn("part", _part(F.col("word"))).repartition("part", F.pmod("chunk", F.lit(16)))
     dealt.sortWithinPartitions("part", "word", "field", "chunk").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
-    if n == 0 or not spark_has(rows.sparkSession, f"{path}/blocks"):
+    system, where = files(rows.sparkSession, f"{path}/blocks")
+    if not any(s.getPath().getName().startswith("part=") for s in system.listStatus(where)):  # no words at all
         blocks.limit(0).withColumn("part", F.lit(0)).write.mode("overwrite").parquet(f"{path}/blocks")
     terms = rows.sparkSession.read.parquet(f"{path}/blocks").groupBy("field", "word").agg(F.sum("n").alias("df"))
     terms.withColumn("part", _part(F.col("word"))).repartition("part").sortWithinPartitions("part", "word").write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def spark_has(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds any part of a partitioned table."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return any(s.getPath().getName().startswith("part=") for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
-
-
 def _words(spark: SparkSession, path: str, words: list[str], boosts: dict[str, float]) -> DataFrame:
     """field, word, weight (boost times idf), average, k1 and b for the words of the query that are known: a row for each, at most."""
     rate = F.create_map(*[x for f, boost in boosts.items() for x in (F.lit(f), F.lit(float(boost)))])

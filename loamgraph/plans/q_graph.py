@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import incremental as I
 from ..operators.core import hinted
 from .registry import query
 
@@ -133,6 +134,17 @@ def connected_components_er(t):
     return G.connected_components(edges)
 
 
+@query(_COMPONENTS.format(src="src", dst="dst + 100000", table="relation_edges", where="confidence >= 0.96 AND expired IS NULL") + " SELECT u AS node, min(v) AS component FROM r GROUP BY u")
+def components_kept_up(t):
+    """Components of edges of 0.98 and more, then those from 0.96 come, and all that have expired go."""
+    edges = t.relation_edges.select(F.col("src").alias("a"), (F.col("dst") + 100000).alias("b"), "confidence", "expired")
+    state = I.kept_up(edges.where("confidence >= 0.98"))
+    state.apply(edges.where("confidence >= 0.96 AND confidence < 0.98"), edges.limit(0))
+    live = edges.where("confidence >= 0.96 AND expired IS NULL")
+    state.apply(edges.limit(0), edges.where("expired IS NOT NULL").join(live, ["a", "b"], "left_anti"))
+    return state.components
+
+
 @query(_COMPONENTS.format(src="src", dst="dst", table="imports_edges", where="src % 5 <> 0") + ", k AS (SELECT u AS node, min(v) AS component FROM r GROUP BY u) SELECT component, count(*) AS size FROM k GROUP BY component HAVING count(*) >= 2")
 def connected_components_alignment(t):
     own = G.connected_components(t.imports_edges.where("src % 5 <> 0"))
