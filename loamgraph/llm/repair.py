@@ -67,8 +67,13 @@ def _frequent(seq: np.ndarray, at: np.ndarray, least: int, turn: int) -> tuple[n
 
 
 def _every(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _frequent, by sorting all pairs: none is overlooked."""
-    pairs, back, count = np.unique(seq[at].astype(np.int64) << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+    """As _frequent, with none overlooked: all pairs of the hash buckets that count so often are sorted."""
+    left, right = seq[at], seq[at + 1]
+    bits = min(22, max(10, len(at).bit_length() + 1))
+    bucket = _buckets(left, right, 0, bits)
+    enough = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
+    at = at[enough]
+    pairs, back, count = np.unique(left[enough].astype(np.int64) << 32 | right[enough], return_inverse=True, return_counts=True)
     good = np.flatnonzero(count >= least)
     good = good[np.argsort(-count[good], kind="stable")]
     rank = np.full(len(pairs), -1, np.int32)
