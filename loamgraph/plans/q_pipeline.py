@@ -9,8 +9,8 @@ from ..functions import scores as S
 from ..functions import text as X
 from ..operators import quality as Q
 from ..operators import versioned as V
-from ..operators.core import hinted
-from ..sources import rdf, schemas
+from ..operators.core import hinted, new_folder
+from ..sources import rdf, schemas, turtle
 from .registry import query
 
 RDFT, LABEL, COMMENT = rdf.RDF + "type", rdf.RDFS + "label", rdf.RDFS + "comment"
@@ -35,6 +35,14 @@ def ntriples_round_trip(t):
     return rdf.classes_of(rdf.parse_ntriples(lines))
 
 
+@query("SELECT uri, label, description FROM classes")
+def turtle_round_trip(t):
+    """Classes written as a folder of Turtle files, read back and pivoted into classes."""
+    folder = new_folder(t.spark, "turtle")
+    turtle.write_turtle(rdf.class_triples(t.classes), folder, {"part": "urn:part#"})
+    return rdf.classes_of(turtle.read_turtle(t.spark, folder, scoped=False).where("error IS NULL"))
+
+
 @query("SELECT 'urn:' || src AS src, 'urn:' || dst AS dst FROM subclass_edges")
 def rdf_import_subclasses(t):
     edges = t.subclass_edges.select(F.concat(F.lit("urn:"), "src").alias("src"), F.concat(F.lit("urn:"), "dst").alias("dst"), F.lit("subclass_of").alias("edge_type"))
