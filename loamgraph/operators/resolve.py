@@ -193,20 +193,55 @@ def coherence_report(correspondences: DataFrame, disjoint: DataFrame) -> DataFra
     return named[0].unionAll(named[1]).unionAll(named[2]).agg((n("removed") == 0).alias("coherent"), n("axiom").alias("disjoint_axioms"), n("removed").alias("removed_count"), n("kept").alias("kept_count"))
 
 
+def _mutual(left: DataFrame) -> DataFrame:
+    """Pairs that are the best of both their rows."""
+    best_a = left.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("k"))).alias("m")).select("a", (-F.col("m.k")).alias("b"))
+    best_b = left.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("k"))).alias("m")).select("b", (-F.col("m.k")).alias("a"))
+    return left.join(best_a.join(best_b, ["a", "b"]), ["a", "b"])
+
+
+def _along_chains(left: DataFrame) -> DataFrame:
+    """Pairs that are the best of both their rows, and those that follow from them along chains.
+
+    A pair with only one better pair in its rows is taken if and only if that one is not.  Such pairs point at their better
+    one; pointers are doubled until they stand still, so a chain of n pairs is decided in log n steps.  What points at a pair
+    with several better ones stays open.
+    """
+    top = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy(F.col("score").desc(), other))
+    ranked = left.withColumn("ra", top("a", "b")).withColumn("rb", top("b", "a"))
+    ranked = cut(ranked.select("a", "b", "score", "ra", "rb"))
+    of_a, of_b = (ranked.where(f"{r} = 1").select(F.col(k).alias("row"), F.struct("a", "b").alias("better")) for r, k in (("ra", "a"), ("rb", "b")))
+    one = ranked.where("ra + rb = 3").withColumn("row", F.when(F.col("ra") == 2, F.col("a")).otherwise(F.col("b")))
+    after = one.where("ra = 2").join(of_a, "row").unionByName(one.where("rb = 2").join(of_b, "row"))
+    pair = F.struct("a", "b").alias("pair")
+    ends = ranked.where("ra + rb <> 3").select(pair, F.struct("a", "b").alias("to"), F.lit(0).alias("odd"), F.when(F.col("ra") + F.col("rb") == 2, True).alias("taken"))
+    known = cut(after.select(pair, F.col("better").alias("to"), F.lit(1).alias("odd"), F.lit(None).cast("boolean").alias("taken")).unionByName(ends))
+    while True:
+        on = known.select(F.col("pair").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        moved = known.join(on, "to").select("pair", F.col("next").alias("to"), F.when(F.col("next") == F.col("to"), F.col("odd")).otherwise((F.col("odd") + F.col("more")) % 2).alias("odd"), "taken", (F.col("next") != F.col("to")).alias("moved"))
+        moved = cut(moved)
+        known = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
+    last = known.where("pair = to AND taken").select("to")
+    return known.join(last, "to").where("odd = 0").select("pair.a", "pair.b").join(left, ["a", "b"])
+
+
+#: Rounds of best pairs only, before chains are followed.
+PLAIN_ROUNDS = 3
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs (a, b, score): the best pair of both its rows is taken, its rows leave, and so on.
 
-    A pair is taken in a round if it is the best of a and the best of b (ties by smaller b, then a), which is what the
-    greedy order over all pairs takes too; the rounds end when nothing is left.
+    A pair is taken in a round if it is the best of a and the best of b (ties by smaller a, then b), which is what the greedy
+    order over all pairs takes too; of repeated pairs the best score counts.  Where that goes on for more than a few rounds, every round also takes what follows along
+    chains of rising scores, so a chain ends after as many steps as its length has bits.
     """
-    left, out = cut(pairs.select("a", "b", "score")), None
+    left, out, rounds = cut(pairs.groupBy("a", "b").agg(F.max("score").alias("score"))), None, 0
     while left.limit(1).count():
-        best_a = left.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("k"))).alias("m")).select("a", (-F.col("m.k")).alias("b"))
-        best_b = left.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("k"))).alias("m")).select("b", (-F.col("m.k")).alias("a"))
-        taken = cut(left.join(best_a.join(best_b, ["a", "b"]), ["a", "b"]))
-        if not taken.limit(1).count():
-            top = left.orderBy(F.col("score").desc(), "a", "b").limit(1)
-            taken = cut(top)
+        taken = cut(_mutual(left) if rounds < PLAIN_ROUNDS else _along_chains(left))
+        rounds += 1
         out = taken if out is None else out.unionByName(taken)
         left = cut(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
-    return pairs.select("a", "b", "score").limit(0) if out is None else out
+    return pairs.select("a", "b", "score").limit(0) if out is None else out.select("a", "b", "score")
