@@ -122,7 +122,8 @@ def etag(rows: DataFrame, *order: str, columns: list[str] | None = None) -> str:
     holds the table.
     """
     names = columns or rows.columns
-    digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = F.conv(F.substring(F.sha2(F.concat(*map(text, names)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     placed = running(rows.withColumn("_digest", digest), [F.col(c) for c in (order or names)], {})
     total = placed.agg(F.count("*").alias("n"), F.sum("_digest").alias("s"), F.sum(F.pmod(F.col("_digest") * F.pmod("step", F.lit(1_000_003)), F.lit((1 << 61) - 1).cast("decimal(38,0)"))).alias("w")).head()
     return hashlib.sha256(f"{total.n}:{total.s}:{total.w}".encode()).hexdigest()[:32]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import extract as E
+from ..operators import migrations as M
 from ..operators import rules as R
 from ..operators import view as EV
 from ..operators.core import new_folder
@@ -129,3 +131,32 @@ def cached_snapshot(t):
     make = lambda: t.entity_versions.where(f"created <= {_SPLIT} AND (expired IS NULL OR expired > {_SPLIT})")
     cache.get("all", 1_705_276_800.0, make)
     return cache.get("all", 1_705_276_800.0, make).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH m AS (SELECT ontology_id::VARCHAR AS ontology, key AS doc_id, description AS text, unnest(list_distinct(regexp_extract_all(description, '\b([A-Z][a-zA-Z][a-zA-Z0-9_-]+)\b', 1))) AS label FROM classes),
+f AS (SELECT *, row_number() OVER (PARTITION BY ontology, lower(label) ORDER BY doc_id) AS rn FROM m) SELECT ontology, label, doc_id, strpos(lower(text), lower(label)) - 1 AS start FROM f WHERE rn = 1""")
+def individuals_of_descriptions(t):
+    """Individuals that the extractor by rule finds in descriptions, one for each ontology and label."""
+    chunks = t.classes.select(F.col("ontology_id").cast("string").alias("ontology"), F.col("key").alias("doc_id"), F.lit(0).alias("chunk_id"), F.col("description").alias("text"))
+    mentions, relations = E.words()(chunks)
+    none = t.spark.createDataFrame([], "ontology string, key long, label string")
+    made = E.individuals(chunks, mentions, relations, none, guided=False)[0]
+    return made.select("ontology", "label", "doc_id", F.col("start").cast("long").alias("start"))
+
+
+@query("SELECT key, label, coalesce(status, 'tier ' || tier) AS state FROM classes")
+def migrated_classes(t):
+    """Classes after three migrations: a column that is filled from another one, renamed, and two that are dropped."""
+    own = M.Migrator(t.spark, new_folder(t.spark, "migrated"))
+    make = M.Step(1, "create", lambda read: {"classes": t.classes.select("key", "label", "status", "tier")})
+    narrow = M.Step(4, "narrow", lambda read: {"classes": read("classes").select("key", "label", "state")}, "without tier")
+    own.apply([make, M.backfill(2, "classes", "status", "concat('tier ', tier)")])
+    own.apply([make, M.backfill(2, "classes", "status", "concat('tier ', tier)"), M.rename_column(3, "classes", "status", "state"), narrow])
+    return own.read("classes")
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY key) AS step, ('0x' || substr(sha256(concat(CASE WHEN label IS NULL THEN '-' ELSE length(label) || ':' || label END, length(key::VARCHAR) || ':' || key::VARCHAR)), 1, 15))::BIGINT::HUGEINT AS d FROM classes)
+SELECT left(sha256(count(*)::VARCHAR || ':' || sum(d)::VARCHAR || ':' || sum((d * (step % 1000003)) % 2305843009213693951)::VARCHAR), 32) AS etag FROM e""")
+def etag_of_table(t):
+    """A tag of a whole table, summed by ranges."""
+    return t.spark.createDataFrame([(EV.etag(t.classes.select("label", "key"), "key"),)], "etag string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import registered
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import text_index as TI
@@ -46,6 +47,14 @@ def prose_chunker(t):
     return C.chunk_documents(t.documents, 512, 0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("words"))
 
 
+@query("SELECT doc_id, lang, k::INTEGER AS chunk_index, least(128, n - 128 * k)::INTEGER AS token_count FROM (SELECT doc_id, lang, n, unnest(range(0, ceil(n / 128.0)::BIGINT)) AS k FROM (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM documents))")
+def chunk_texts_function(t):
+    """The chunker as a table function of SQL."""
+    registered.register(t.spark)
+    t.documents.createOrReplaceTempView("chunked_documents")
+    return t.spark.sql("SELECT doc_id, lang, chunk_index, token_count FROM chunk_texts(TABLE(SELECT doc_id, lang, text FROM chunked_documents), max_tokens => 128, overlap => 32)")
+
+
 def _sections(t):
     """Conversations as documents: a turn is a section or slide with a title, and every third one has notes."""
     deck = F.col("conv_id") % 2 == 0
