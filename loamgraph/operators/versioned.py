@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import hinted
+
 METADATA = ("key", "version", "created", "expired", "created_by", "change_type", "change_summary")
 RETENTION_SECONDS = 7_776_000
 
@@ -32,14 +34,14 @@ def current(df: DataFrame, key, key_col: str = "key") -> DataFrame:
 def history(df: DataFrame, key, identity: str = "uri") -> DataFrame:
     """All versions of the key's identity, newest first."""
     own = df.where(F.col("key") == key).select(identity).distinct()
-    return df.join(F.broadcast(own.limit(1)), identity, "left_semi").orderBy(F.col("created").desc(), F.col("version").desc())
+    return df.join(hinted(own.limit(1)), identity, "left_semi").orderBy(F.col("created").desc(), F.col("version").desc())
 
 
 def edge_history(edges: DataFrame, key) -> DataFrame:
     """All versions of the key's edge, by end points and ontology, newest first, with their number."""
     ends = ["src", "dst", "ontology_id"]
     own = edges.where(F.col("key") == key).select(*ends).limit(1)
-    found = edges.join(F.broadcast(own), ends, "left_semi")
+    found = edges.join(hinted(own), ends, "left_semi")
     return found.withColumn("nth", F.row_number().over(Window.partitionBy(*ends).orderBy("created", "key")))
 
 

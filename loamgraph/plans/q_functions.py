@@ -31,14 +31,14 @@ def jaccard_sets(t):
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(greatest(0, least(1, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))))), 6) AS cosine FROM embeddings, q")
 def cosine_clamped(t):
     q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return t.embeddings.join(F.broadcast(q)).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    return t.embeddings.join(hinted(q)).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))), 6) END AS cosine FROM embeddings, q")
 def cosine_nullable(t):
     q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
     v = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
-    return t.embeddings.join(F.broadcast(q)).select("vec_id", F.round(X.cosine_or_null(v, F.col("q")), 6).alias("cosine"))
+    return t.embeddings.join(hinted(q)).select("vec_id", F.round(X.cosine_or_null(v, F.col("q")), 6).alias("cosine"))
 
 
 @query("SELECT p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN (0.0 + p_size / 50.0::DOUBLE * 0.4 + p_partkey % 10 / 10.0::DOUBLE * 0.4) / 0.8 ELSE (0.0 + p_size / 50.0::DOUBLE * 0.4 + 0.5 * 0.2 + p_partkey % 10 / 10.0::DOUBLE * 0.4) / 1.0 END AS score FROM part".replace("(0.0", "round((0.0").replace("/ 0.8", "/ 0.8, 6)").replace("/ 1.0 END", "/ 1.0, 6) END"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import quality as Q
 from ..operators import versioned as V
 from ..operators.core import hinted, new_folder
 from ..sources import rdf, schemas, turtle
+from ..sources.derived import BASE
 from .registry import query
 
 RDFT, LABEL, COMMENT = rdf.RDF + "type", rdf.RDFS + "label", rdf.RDFS + "comment"
@@ -124,10 +127,10 @@ def csv_export(t):
     return schemas.csv_lines(t.part, ["p_partkey", "p_name", "p_brand"])
 
 
-@query("SELECT count(*) FILTER (WHERE d.class_key IS NULL)::BIGINT AS no_property, count(*) FILTER (WHERE e.src IS NULL)::BIGINT AS no_parent FROM supplier s LEFT JOIN (SELECT DISTINCT class_key FROM property_domain WHERE class_key % 3 = 0) d ON d.class_key = s_suppkey LEFT JOIN (SELECT DISTINCT src FROM imports_edges) e ON e.src = s_suppkey")
+@query("SELECT count(*) FILTER (WHERE d.class_key IS NULL)::BIGINT AS no_property, count(*) FILTER (WHERE e.src IS NULL)::BIGINT AS no_parent FROM supplier s LEFT JOIN (SELECT DISTINCT class_key FROM property_domain) d ON d.class_key = s_suppkey LEFT JOIN (SELECT DISTINCT src FROM imports_edges) e ON e.src = s_suppkey")
 def structural_health(t):
     own = t.supplier.select(F.col("s_suppkey").alias("k"))
-    d = t.property_domain.where("class_key % 3 = 0").select(F.col("class_key").alias("k"), F.lit(1).alias("d")).distinct()
+    d = t.property_domain.select(F.col("class_key").alias("k"), F.lit(1).alias("d")).distinct()
     e = t.imports_edges.select(F.col("src").alias("k"), F.lit(1).alias("e")).distinct()
     return own.join(d, "k", "left").join(e, "k", "left").agg(F.sum(F.col("d").isNull().cast("int")).cast("long").alias("no_property"), F.sum(F.col("e").isNull().cast("int")).cast("long").alias("no_parent"))
 
@@ -400,10 +403,11 @@ def supersede_chain(t):
     return t.entity_versions.join(b, ["uri", "version"]).select("key", "next_version")
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT 'part' AS name FROM part UNION ALL SELECT 'orders' FROM orders UNION ALL SELECT 'nation' FROM nation) GROUP BY 1")
+@query("SELECT name, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name FROM {name}" for name in BASE) + ") GROUP BY 1")
 def collection_inventory(t):
-    rows = [getattr(t, n).select(F.lit(n).alias("name")) for n in ("part", "orders", "nation")]
-    return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("name").agg(F.count("*").alias("n"))
+    """Rows of every table."""
+    rows = reduce(lambda a, b: a.unionAll(b), [getattr(t, name).select(F.lit(name).alias("name")) for name in BASE])
+    return rows.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id AS doc_id, turn AS section, CASE WHEN turn % 3 = 0 AND length(trim(text)) = 0 THEN 'visual' WHEN turn % 3 = 0 THEN 'mixed' ELSE 'text' END AS chunk_kind,

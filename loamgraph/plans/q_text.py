@@ -9,16 +9,13 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import text_index as TI
 from ..operators import vector_index as VI
-from ..operators.core import new_folder
+from ..operators.core import hinted, new_folder
 from ..streaming import limits as L
 from ..streaming import timed
 from .registry import query
 
-_DOCS = "SELECT doc_id, '# Title' || chr(10) || left(text, 40) || chr(10) || '## Part ' || doc_id::VARCHAR || chr(10) || lang AS text FROM documents"
-
-
 def _headed(t):
-    return t.documents.select("doc_id", F.concat(F.lit("# Title\n"), F.regexp_replace(F.left("text", F.lit(40)), "\n", " "), F.lit("\n## Part "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("lang")).alias("text"))
+    return t.documents.select("doc_id", F.concat(F.lit("# Title\n"), F.lit("Text: "), F.regexp_replace("text", "\n", " "), F.lit("\n## Part "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("lang")).alias("text"))
 
 
 @query("SELECT doc_id, 1 AS section, 'Title' AS heading, 1 AS level FROM documents UNION ALL SELECT doc_id, 2, 'Part ' || doc_id::VARCHAR, 2 FROM documents")
@@ -135,7 +132,7 @@ _COS = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt
 @query(f"SELECT vec_id, round(cosine, 6) AS cosine FROM (SELECT e.vec_id, {_COS} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY cosine DESC, e.vec_id LIMIT 10)")
 def vector_top_k(t):
     q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    own = t.embeddings.join(F.broadcast(q)).withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q")))
+    own = t.embeddings.join(hinted(q)).withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q")))
     return own.orderBy(F.col("cosine").desc(), "vec_id").limit(10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -154,14 +151,14 @@ def same_document_top_k(t):
     from ..operators.resolve import best_per
 
     q = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    own = t.embeddings.join(F.broadcast(q), "label").withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q"))).where("cosine > 0.05")
+    own = t.embeddings.join(hinted(q), "label").withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q"))).where("cosine > 0.05")
     return best_per(own, "label", 10, F.col("cosine").desc(), F.col("vec_id")).select("label", "vec_id", "rank")
 
 
 @query(f"SELECT vec_id FROM (SELECT e.vec_id, {_COS} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE e.label = 4 ORDER BY cosine DESC, e.vec_id LIMIT 5)")
 def schema_slice(t):
     q = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    own = t.embeddings.where("label = 4").join(F.broadcast(q)).withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q")))
+    own = t.embeddings.where("label = 4").join(hinted(q)).withColumn("cosine", X.cosine_or_null(F.col("embedding"), F.col("q")))
     return own.orderBy(F.col("cosine").desc(), "vec_id").limit(5).select("vec_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import versioned as V
+from ..operators.core import hinted
 from .registry import query
 
 T1, T2 = "TIMESTAMP_NTZ '2024-01-05 00:00:00'", "TIMESTAMP_NTZ '2024-01-20 00:00:00'"
@@ -201,7 +202,7 @@ def ontology_diff_summary(t):
 def revert_to_version(t):
     rows = t.entity_versions.withColumn("created", F.expr("CAST(CAST(created AS TIMESTAMP) AS DOUBLE)")).withColumn("expired", F.lit(None).cast("double"))
     at = rows.where("key = 5").select(F.col("key").alias("k"), F.col("created").alias("at"))
-    own = rows.join(F.broadcast(at), F.col("key") == F.col("k"))
+    own = rows.join(hinted(at), F.col("key") == F.col("k"))
     return V.revert(own, 5, F.col("at"), NOW, 1_000_000).select("key", "event_type", "value", "version", "created")
 
 
