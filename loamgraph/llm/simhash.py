@@ -149,7 +149,10 @@ def _by_flips(x: np.ndarray, free: list[int]) -> np.ndarray:
 
 
 def links_in_groups(groups: DataFrame, flips: bool = False) -> DataFrame:
-    """x, y: links that join what is linked within groups, fewer than a group has members.  groups: group, fp, without repeats."""
+    """x, y: links that join what is linked within groups, fewer than a group has members.  groups: group, fp, without repeats.
+
+    Members are sorted, so a task that runs again after a lost executor chooses the same links.
+    """
 
     def run(batches):
         for table in _whole_groups(batches):
@@ -175,7 +178,7 @@ def links_in_groups(groups: DataFrame, flips: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[rows].view(np.int64)), pa.array(x[root[rows]].view(np.int64))], ["x", "y"])
 
     rows = groups.select("group", F.col("fp").alias("rep"))
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "x long, y long")
+    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, "x long, y long")
 
 
 def linked(fps: DataFrame) -> DataFrame:
