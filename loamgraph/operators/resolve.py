@@ -140,46 +140,61 @@ def priority(kind: Column) -> Column:
 
 
 def connecting_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """x, y and edges (array of structs confidence, a, b) of one shortest path between each x and y: the smallest of equals by its nodes.
+    """x, y and nodes of one shortest path between each x and y: the smallest of equals by its nodes.  edges: a, b, undirected.
 
-    edges: a, b, confidence, undirected.  All searches go on together, level by level; one that has met its end stops.
+    All searches go on together, from both ends in turn, until the two frontiers of a pair meet; so a hub that lies between
+    is entered, but not gone through.  Pairs without a path have no row.
     """
-    edge, none = F.struct("confidence", "a", "b").alias("edge"), F.filter(F.array(F.struct("confidence", "a", "b")), lambda _: F.lit(False))
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next"), edge).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), edge)))
-    empty = edges.select(none.alias("edges")).schema["edges"].dataType
-    walk = cut(ends.select("x", "y", F.col("x").alias("node"), F.array("x").alias("nodes"), F.array().cast(empty).alias("edges")))
-    known, out = walk.select("x", "y", "node"), walk.select("x", "y", "edges").limit(0)
-    while walk.limit(1).count():
-        step = walk.join(both, "node").select("x", "y", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"))
-        new = step.join(known, ["x", "y", "node"], "left_anti").groupBy("x", "y", "node").agg(F.min(F.struct("nodes", "edges")).alias("m"))
-        new = cut(new.select("x", "y", "node", "m.nodes", "m.edges"))
-        ended = new.where("node = y").select("x", "y", "edges")
-        out = out.unionByName(ended)
-        walk = new.join(ended.select("x", "y"), ["x", "y"], "left_anti")
-        known = known.unionByName(new.select("x", "y", "node"))
-    return out
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"))).distinct())
+    start = {"x": cut(ends.select("x", "y", F.col("x").alias("node"), F.array("x").alias("nodes"))), "y": cut(ends.select("x", "y", F.col("y").alias("node"), F.array("y").alias("nodes")))}
+    walk, known, out, turn = dict(start), {k: v.select("x", "y", "node") for k, v in start.items()}, None, "x"
+    while True:
+        met = walk["x"].join(walk["y"].withColumnRenamed("nodes", "rest"), ["x", "y", "node"])
+        whole = F.concat("nodes", F.slice("rest", F.lit(2), F.size("rest")))
+        ended = cut(met.groupBy("x", "y").agg(F.min(whole).alias("nodes")))
+        out = ended if out is None else out.unionByName(ended)
+        open_ = walk[turn].join(ended.select("x", "y"), ["x", "y"], "left_anti")
+        step = open_.join(both, "node").select("x", "y", F.col("next").alias("node"), (F.concat("nodes", F.array("next")) if turn == "x" else F.concat(F.array("next"), "nodes")).alias("nodes"))
+        new = cut(step.join(known[turn], ["x", "y", "node"], "left_anti").groupBy("x", "y", "node").agg(F.min("nodes").alias("nodes")))
+        if not new.limit(1).count():
+            return out
+        walk[turn], known[turn] = new, known[turn].unionByName(new.select("x", "y", "node"))
+        turn = "y" if turn == "x" else "x"
+        walk[turn] = walk[turn].join(ended.select("x", "y"), ["x", "y"], "left_anti")
+
+
+#: Conflicts of a component in a round times its edges, at most: what all their searches may reach together.
+REACH = 5_000_000
 
 
 def repair(correspondences: DataFrame, disjoint: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept correspondences (a, b, confidence), and removals (a, b, confidence, and the conflict x, y that each resolves).
 
     As long as a disjoint pair (x, y) shares a component, the edge of a shortest path between the two with the lowest
-    confidence (null: 0), of equals the smallest (a, b), is removed.  A round takes the smallest conflict of each component,
-    so components are repaired side by side; every round removes an edge of each, so the rounds end.
+    confidence (null: 0), of equals the smallest (a, b), is removed.  A round takes the smallest conflicts of each component,
+    one in the first round and twice as many in each further one, within REACH; of those whose paths share an edge the
+    smallest goes first, and the others wait.  Paths without a common edge don't change each other, so it is as if one
+    conflict after the other had been resolved.  Every round removes an edge, so the rounds end.
     """
-    left, gone = cut(correspondences.select("a", "b", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))), None
+    left, gone, most = cut(correspondences.select("a", "b", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))), None, 1
     pairs = cut(disjoint.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     while True:
         comps = cut(connected_components(left, "a", "b"))
         x = pairs.join(comps.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x")
-        shared = x.join(comps.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y").where("cx = cy")
-        bad = cut(shared.groupBy("cx").agg(F.min(F.struct("x", "y")).alias("m")).select("m.x", "m.y", F.col("cx").alias("component")))
-        if not bad.limit(1).count():
+        shared = cut(x.join(comps.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y").where("cx = cy").select("x", "y", F.col("cx").alias("component")))
+        if not shared.limit(1).count():
             break
-        inside = left.join(comps.select(F.col("node").alias("a"), "component"), "a").join(bad.select("component"), "component", "left_semi")
-        weakest = connecting_paths(inside, bad).select("x", "y", F.array_min("edges").alias("e"))
-        now = cut(weakest.select("e.a", "e.b", "e.confidence", "x", "y"))
-        gone = now if gone is None else gone.unionByName(now)
+        inside = cut(left.join(comps.select(F.col("node").alias("a"), "component"), "a").join(shared.select("component").distinct(), "component", "left_semi"))
+        sizes = inside.groupBy("component").agg(F.greatest(F.lit(1), F.least(F.lit(most), F.floor(REACH / F.count("*")))).alias("turns"))
+        first = shared.withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy("x", "y"))).join(sizes, "component").where("nth <= turns")
+        found = connecting_paths(inside, cut(first.select("x", "y")))
+        steps = found.select("x", "y", F.explode(F.transform(F.slice("nodes", F.lit(1), F.size("nodes") - 1), lambda n, i: F.struct(F.least(n, F.element_at("nodes", i + 2)).alias("u"), F.greatest(n, F.element_at("nodes", i + 2)).alias("v")))).alias("e"))
+        edge = inside.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min(F.struct("confidence", "a", "b")).alias("edge"))
+        used = cut(steps.select("x", "y", "e.u", "e.v").join(edge, ["u", "v"]))
+        owner = used.groupBy("u", "v").agg(F.min(F.struct("x", "y")).alias("owner"))
+        free = used.join(owner, ["u", "v"]).groupBy("x", "y").agg(F.min("edge").alias("e"), F.min((F.struct("x", "y") == F.col("owner")).cast("int")).alias("own")).where("own = 1")
+        now = cut(free.select("e.a", "e.b", "e.confidence", "x", "y"))
+        gone, most = now if gone is None else gone.unionByName(now), 2 * most
         left = cut(left.join(now.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "confidence"))
     return left, left.select("a", "b", "confidence", F.col("a").alias("x"), F.col("b").alias("y")).limit(0) if gone is None else gone
 
