@@ -96,9 +96,12 @@ def find_runs(word: np.ndarray, first: np.ndarray, least: int = 6, times: int =
     stretch = np.maximum(least, times * period) - period
     level = np.floor(np.log2((stretch + 1) / 2) + 1e-9).astype(np.int64)
     step = stretch + 1 - (1 << level)
-    most = np.minimum(size // times, np.searchsorted(level, top, side="right"))  # periods that a text may have
+    rising = np.minimum.accumulate(level[::-1])[::-1]
+    most = np.minimum(size // times, np.searchsorted(rising, top, side="right"))  # periods that a text may have
     most[size < least] = 0
     owner, q = np.repeat(np.arange(len(size)), most), ragged(np.ones(len(size), np.int64), most)
+    fits = level[q - 1] <= top[owner]
+    owner, q = owner[fits], q[fits]
     s, k = step[q - 1], level[q - 1]
     count = np.maximum((size[owner] - q - (1 << k)) // s + 1, 0)
     done, found = np.cumsum(count), []
