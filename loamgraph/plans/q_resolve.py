@@ -152,6 +152,18 @@ def greedy_one_to_one(t):
     return R.greedy_match(R.scored_join(t.entities.where("ontology_id = 0"), t.entities.where("ontology_id = 1"), 0.5))
 
 
+_RAW = "0.6 * " + _J.format("x.lt", "y.lt") + " + 0.4 * " + _J.format("x.dt", "y.dt")
+
+
+@query(f"""WITH RECURSIVE {_E}, p AS (SELECT x.key AS a, y.key AS b, round({_RAW}, 6) AS s FROM e x JOIN e y ON x.ontology_id = 0 AND y.ontology_id = 1), o AS (SELECT *, row_number() OVER (ORDER BY s DESC, a, b) AS rn FROM p WHERE s >= 0.5),
+w(rn, ua, ub, a, b) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL SELECT o.rn, CASE WHEN fits THEN list_append(ua, o.a) ELSE ua END, CASE WHEN fits THEN list_append(ub, o.b) ELSE ub END, CASE WHEN fits THEN o.a END, CASE WHEN fits THEN o.b END
+  FROM (SELECT o.*, w.ua, w.ub, NOT list_contains(w.ua, o.a) AND NOT list_contains(w.ub, o.b) AS fits FROM w JOIN o ON o.rn = w.rn + 1) o) SELECT a, b FROM w WHERE a IS NOT NULL""")
+def greedy_pairs(t):
+    """The one-to-one pairs that the greedy order over all scored pairs takes."""
+    own = R.scored_join(t.entities.where("ontology_id = 0"), t.entities.where("ontology_id = 1"), 0.4999999).withColumn("score", R6("score")).where("score >= 0.5")
+    return R.greedy_match(own).select("a", "b")
+
+
 @query(f"WITH RECURSIVE {_E}, p AS (SELECT x.key AS a, y.key AS b FROM e x JOIN e y ON x.ontology_id < y.ontology_id WHERE {_SCORE} >= 0.92), {_CC}, c AS (SELECT u AS key, min(v) AS component FROM r GROUP BY u) SELECT component, min(label) AS label, count(*) AS n FROM c JOIN e USING (key) GROUP BY 1")
 def master_materialise(t):
     """One class for each component of accepted correspondences, with its smallest label."""
