@@ -7,6 +7,8 @@ no pairs.  Pairs are unordered (a < b).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,21 +148,23 @@ def connecting_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     is entered, but not gone through.  Pairs without a path have no row.
     """
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"))).distinct())
-    start = {"x": cut(ends.select("x", "y", F.col("x").alias("node"), F.array("x").alias("nodes"))), "y": cut(ends.select("x", "y", F.col("y").alias("node"), F.array("y").alias("nodes")))}
-    walk, known, out, turn = dict(start), {k: v.select("x", "y", "node") for k, v in start.items()}, None, "x"
+    ends = ends.where("x <> y")
+    walk = {side: ends.select("x", "y", F.col(side).alias("node"), F.array(side).alias("nodes")) for side in ("x", "y")}
+    known, out, side, other = {k: v.select("x", "y", "node") for k, v in walk.items()}, [], "x", "y"
     while True:
-        met = walk["x"].join(walk["y"].withColumnRenamed("nodes", "rest"), ["x", "y", "node"])
-        whole = F.concat("nodes", F.slice("rest", F.lit(2), F.size("rest")))
-        ended = cut(met.groupBy("x", "y").agg(F.min(whole).alias("nodes")))
-        out = ended if out is None else out.unionByName(ended)
-        open_ = walk[turn].join(ended.select("x", "y"), ["x", "y"], "left_anti")
-        step = open_.join(both, "node").select("x", "y", F.col("next").alias("node"), (F.concat("nodes", F.array("next")) if turn == "x" else F.concat(F.array("next"), "nodes")).alias("nodes"))
-        new = cut(step.join(known[turn], ["x", "y", "node"], "left_anti").groupBy("x", "y", "node").agg(F.min("nodes").alias("nodes")))
+        way = F.concat("nodes", F.array("next")) if side == "x" else F.concat(F.array("next"), "nodes")
+        step = walk[side].join(both, "node").select("x", "y", F.col("next").alias("node"), way.alias("nodes"))
+        new = step.join(known[side], ["x", "y", "node"], "left_anti").groupBy("x", "y", "node").agg(F.min("nodes").alias("nodes"))
+        new = cut(new.join(walk[other].withColumnRenamed("nodes", "rest"), ["x", "y", "node"], "left"))
         if not new.limit(1).count():
-            return out
-        walk[turn], known[turn] = new, known[turn].unionByName(new.select("x", "y", "node"))
-        turn = "y" if turn == "x" else "x"
-        walk[turn] = walk[turn].join(ended.select("x", "y"), ["x", "y"], "left_anti")
+            return reduce(DataFrame.unionByName, out) if out else new.select("x", "y", "nodes")
+        first, last = ("nodes", "rest") if side == "x" else ("rest", "nodes")
+        ended = new.where("rest IS NOT NULL").groupBy("x", "y").agg(F.min(F.concat(first, F.slice(last, F.lit(2), F.size(last)))).alias("nodes"))
+        out.append(ended)
+        walk[side] = new.drop("rest").join(ended.select("x", "y"), ["x", "y"], "left_anti")
+        walk[other] = walk[other].join(ended.select("x", "y"), ["x", "y"], "left_anti")
+        known[side] = known[side].unionByName(new.select("x", "y", "node"))
+        side, other = other, side
 
 
 #: Conflicts of a component in a round times its edges, at most: what all their searches may reach together.
