@@ -103,7 +103,7 @@ def variants(fps: DataFrame) -> DataFrame:
 def finer(rows: DataFrame) -> DataFrame:
     """The 32 variants of each variant's other half by quarters: fp and group (key, number of the second deleted bit, the quarter without it)."""
     cross = rows.select("fp", "key", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("p2"))
-    quarter = F.expr("shiftrightunsigned(fp, (32 - CAST(shiftright(key, 32) AS INT) & 32) + (p2 & 16)) & 65535L")
+    quarter = F.expr("shiftrightunsigned(fp, (32 - (CAST(shiftright(key, 32) AS INT) & 32)) + (p2 & 16)) & 65535L")
     cross = cross.select("fp", "key", "p2", quarter.alias("quarter"))
     return cross.select("fp", F.expr("shiftleft(key, 21) | shiftleft(CAST(p2 AS BIGINT), 16) | (quarter & ~shiftleft(1L, p2 & 15))").alias("group"))
 
