@@ -35,101 +35,108 @@ MIN_COUNT = 4
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 4 << 20
 
-
-def _buckets(a: np.ndarray, b: np.ndarray, turn: int, bits: int) -> np.ndarray:
-    """A hash of so many bits of each pair, another one for each turn."""
-    x = a.astype(np.uint32) * np.uint32(0x9E3779B1 + 2 * turn) + b.astype(np.uint32) * np.uint32(0x85EBCA77 + 4 * turn)
-    return (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - bits)
-
-
-def _frequent(seq: np.ndarray, at: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs at the given positions those that come at least so often: positions, index among the distinct ones, and those by falling count.
-
-    Each hash bucket counts for the pair that stands in it last; the few pairs that lose their bucket have it to themselves in another turn.
-    """
-    left, right = seq[at], seq[at + 1]
-    bits = min(20, max(10, len(at).bit_length()))
-    bucket = _buckets(left, right, turn, bits)
-    count = np.bincount(bucket, minlength=1 << bits)
-    enough = np.flatnonzero((count >= least)[bucket])
-    at, left, right, bucket = at[enough], left[enough], right[enough], bucket[enough]
-    code = left.astype(np.int64) << 32 | right
-    owner = np.full(1 << bits, -1, np.int64)
-    owner[bucket] = code
-    own = owner[bucket] == code
-    count = np.bincount(bucket[own], minlength=1 << bits)
+#: Pieces that a worker remembers, about, at some 120 bytes each; with the encoder's own number twice as many are encoded again.
+CACHE = 1_600_000
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (left, right) those that come at least so often: which, their ranks by falling count, and the distinct ones in that order."""
+    width, bits = int(max(left.max(), right.max())).bit_length(), len(left).bit_length()
+    pair = left.astype(np.int64)
+    pair <<= width
+    pair |= right
+    if 2 * width + bits < 64:  # pair and place in one number, which sorts much faster than an order of the pairs
+        pair <<= bits
+        pair |= np.arange(len(left))
+        pair.sort()
+        order = pair & ((1 << bits) - 1)
+        pair >>= bits
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
+    count = np.diff(begin)
     good = np.flatnonzero(count >= least)
     good = good[np.argsort(-count[good], kind="stable")]
-    rank = np.full(1 << bits, -1, np.int32)
-    rank[good] = np.arange(len(good), dtype=np.int32)
-    own &= rank[bucket] >= 0
-    return at[own], rank[bucket[own]], owner[good]
-
-
-def _every(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _frequent, with none overlooked: all pairs of the hash buckets that count so often are sorted."""
-    left, right = seq[at], seq[at + 1]
-    bits = min(22, max(10, len(at).bit_length() + 1))
-    bucket = _buckets(left, right, 0, bits)
-    enough = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
-    at = at[enough]
-    pairs, back, count = np.unique(left[enough].astype(np.int64) << 32 | right[enough], return_inverse=True, return_counts=True)
-    good = np.flatnonzero(count >= least)
-    good = good[np.argsort(-count[good], kind="stable")]
-    rank = np.full(len(pairs), -1, np.int32)
-    rank[good] = np.arange(len(good), dtype=np.int32)
-    own = rank[back] >= 0
-    return at[own], rank[back[own]], pairs[good]
+    by_pair = np.full(len(count), -1, np.int32)
+    by_pair[good] = np.arange(len(good), dtype=np.int32)
+    rank = np.empty(len(left), np.int32)
+    rank[order] = np.repeat(by_pair, count)
+    own, one = np.flatnonzero(rank >= 0), order[begin[good]]
+    return own, rank[own], np.stack([left[one], right[one]], 1)
 
 
 def compress(ids: np.ndarray, doc: np.ndarray, first_symbol: int, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ids (doc: each id's document number): the reduced sequence, its document numbers, the rules and their expansion lengths.
 
     A round replaces all frequent pairs at once; where two overlap, the more frequent one wins, in runs of one pair every
-    other.  The first two rounds look at all pairs, the later ones at those that hold a nonterminal of the last round; where
-    these have nothing left, all pairs are sorted, and it ends when none of them comes so often.
+    other.  A pair's symbol stands in its first place, and links lead past the second.  The first round counts all pairs,
+    the later ones those that hold a nonterminal of the last round and the frequent ones that lost to an overlap: no other
+    pair can come so often, as its count has not risen since it was too low.
     """
-    seq, doc, rules, top, turn = ids.astype(np.int32), doc.astype(np.int32), [], first_symbol, 0
-    fresh = np.ones(len(seq), bool)
-    while len(seq) > 1:
-        near = doc[:-1] == doc[1:]
-        at, rank, pairs = _frequent(seq, np.flatnonzero(near & (fresh[:-1] | fresh[1:])), least, turn)
-        turn += 1
-        if not len(at):
-            at, rank, pairs = _every(seq, np.flatnonzero(near), least)
-            if not len(at):
-                break
-        score = np.full(len(seq) + 2, len(pairs), np.int32)  # by the position's left id, one later
-        score[at + 1] = rank
-        left, right = score[at], score[at + 2]
+    n = len(ids)
+    seq, rules, top, pays = ids.astype(np.int32), [], first_symbol, min(least, MIN_COUNT)
+    mark, alive = np.append(doc[:-1] == doc[1:], [False, False])[: n + 1], np.ones(n, bool)
+    at, last = np.flatnonzero(mark), np.flatnonzero(~mark[:n])
+    mark[at] = False
+    # place n stands for both ends of every document
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[last], before[last + 1], before[:1] = n, n, n
+    while len(at):
+        follow = after[at]
+        own, rank, pairs = _frequent(seq[at], seq[follow], least)
+        if not len(own):
+            break
+        at, follow = at[own], follow[own]
+        beside = follow[:-1] == at[1:]  # the pair overlaps with the next one
+        left, right = np.full(len(at), len(pairs), np.int32), np.full(len(at), len(pairs), np.int32)
+        np.copyto(left[1:], rank[:-1], where=beside)
+        np.copyto(right[:-1], rank[1:], where=beside)
         take = (rank < left) & (rank < right)
         tie = np.flatnonzero((left == rank) | (right == rank))
         if len(tie):
-            new = np.ones(len(tie), bool)
-            new[1:] = (at[tie][1:] != at[tie][:-1] + 1) | (rank[tie][1:] != rank[tie][:-1])
+            new = left[tie] != rank[tie]
             begin = np.maximum.accumulate(np.where(new, np.arange(len(tie)), 0))
             even = (np.arange(len(tie)) - begin) % 2 == 0
             take[tie] = even & (rank[tie] <= left[tie]) & (rank[tie] <= right[tie])
-        chosen, kind = at[take], rank[take]
-        used = np.flatnonzero(np.bincount(kind, minlength=len(pairs)))
+        some = np.flatnonzero(take)
+        kind = rank[some]
+        uses = np.bincount(kind, minlength=len(pairs))
+        if uses.max() >= pays:  # pairs that lose too many uses to others wait for a round without them
+            uses[uses < pays] = 0
+            enough = np.flatnonzero(uses[kind])
+            some, kind = some[enough], kind[enough]
+        used = np.flatnonzero(uses)
         number = np.zeros(len(pairs), np.int32)
         number[used] = top + np.arange(len(used), dtype=np.int32)
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
-        seq[chosen] = number[kind]
-        keep = np.ones(len(seq), bool)
-        keep[chosen + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        fresh = np.ones(len(seq), bool) if turn == 1 else seq >= top
+        rules.append(pairs[used].astype(np.int64))
         top += len(used)
-    rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, doc, rules, lengths_of(rules, first_symbol)
-
-
-def lengths_of(rules: np.ndarray, first_symbol: int) -> np.ndarray:
-    """Ids that each nonterminal stands for; a rule refers to earlier ones only."""
-    out = np.zeros(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - first_symbol] if a >= first_symbol else 1) + (out[b - first_symbol] if b >= first_symbol else 1)
+        chosen, gone = at[some], follow[some]
+        seq[chosen] = number[kind]
+        alive[gone] = False
+        follow = after[gone]
+        after[chosen], before[follow] = follow, chosen
+        last = np.where(alive[last], last, before[last])
+        some = np.concatenate([at, before[chosen]])
+        mark[some] = True
+        mark[gone] = mark[last] = mark[n] = False
+        if 32 * len(some) > n:
+            at = np.flatnonzero(mark)
+        else:
+            some = np.sort(some[mark[some]])
+            at = some[np.flatnonzero(np.diff(some, prepend=-1))]
+        mark[at] = False
+    alive = np.flatnonzero(alive)
+    return seq[alive], doc[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths_of(rules, first_symbol)
+
+
+def lengths_of(rules: list[np.ndarray], first_symbol: int) -> np.ndarray:
+    """Ids that each nonterminal stands for, from the rules of every round; they refer to those of earlier rounds only."""
+    out, done = np.ones(sum(map(len, rules)), np.int64), 0
+    for some in rules:
+        inner = some - first_symbol
+        out[done : done + len(some)] = np.where(inner >= 0, out[np.maximum(inner, 0)], 1).sum(axis=1)
+        done += len(some)
     return out
 
 
@@ -138,7 +145,14 @@ def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol
     big = np.flatnonzero(seq >= first_symbol)
     if not len(big):
         return seq
-    used, back = np.unique(seq[big], return_inverse=True)
+    if len(big) < len(rules) >> 4:
+        used, back = np.unique(seq[big], return_inverse=True)
+    else:
+        back = seq[big] - first_symbol
+        used = np.flatnonzero(np.bincount(back, minlength=len(rules)))
+        place = np.zeros(len(rules), np.int64)
+        place[used] = np.arange(len(used))
+        used, back = used + first_symbol, place[back]
     flat = used
     while (open_ := flat >= first_symbol).any():
         width = np.where(open_, 2, 1)
@@ -214,7 +228,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, first_sy
     """
 
     def run(batches):
-        own, part, seq = library(path), TaskContext.get().partitionId(), 0
+        own, part, seq = library(path, CACHE), TaskContext.get().partitionId(), 0
         held, size = [], 0
 
         def shard():

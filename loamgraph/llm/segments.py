@@ -93,8 +93,11 @@ class Table:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, -1 for unknown keys."""
-        out = np.full(len(keys), -1, np.int64)
-        rest, slot = np.arange(len(keys)), keys & self.mask
+        slot = (keys & self.mask).astype(np.int64)
+        out = self.values[slot]
+        rest = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))  # few stand elsewhere than in their first slot
+        out[rest] = -1
+        slot = (slot[rest].astype(np.uint64) + np.uint64(1)) & self.mask
         while len(rest):
             value = self.values[slot]
             hit = (self.keys[slot] == keys[rest]) & (value >= 0)

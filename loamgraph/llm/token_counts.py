@@ -93,9 +93,9 @@ class Library:
 
 
 @lru_cache(maxsize=2)
-def library(path: str) -> Library:
+def library(path: str, cache: int = CACHE) -> Library:
     """One for each Python worker."""
-    return Library(path)
+    return Library(path, cache)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

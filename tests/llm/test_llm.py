@@ -210,6 +210,33 @@ def test_no_frequent_pair_is_left():
         assert np.unique(np.stack([seq[:-1], seq[1:]])[:, near], axis=1, return_counts=True)[1].max() < repair.MIN_COUNT
 
 
+def zipf_ids(seed):
+    r = np.random.default_rng(seed)
+    base = [r.integers(0, 3000, n) for n in r.integers(2, 40, 3000)]
+    docs = [np.concatenate([base[k] for k in r.zipf(1.2, 60) % 3000]) for _ in range(300)]
+    return np.concatenate(docs), np.repeat(np.arange(300), [len(x) for x in docs])
+
+
+def test_repair_rounds_look_at_what_has_changed(monkeypatch):
+    ids, doc = zipf_ids(5)
+    looked, own = [], repair._frequent
+    monkeypatch.setattr(repair, "_frequent", lambda *x: looked.append(len(x[0])) or own(*x))
+    seq, of, rules, lengths = repair.compress(ids, doc, 1 << 17)
+    assert (repair.expand(seq.astype(np.int64), rules, lengths, 1 << 17) == ids).all() and np.bincount(doc).sum() == lengths[seq[seq >= 1 << 17] - (1 << 17)].sum() + (seq < 1 << 17).sum()
+    assert len(looked) > 5 and sum(looked) < 4 * len(ids)
+
+
+def test_repair_grammar_is_the_same_for_wide_symbols():
+    ids, doc = zipf_ids(6)
+    seq, of, rules, lengths = repair.compress(ids, doc, 1 << 17)
+    wide = repair.compress(ids, doc, 1 << 29)
+    back = [np.where(x >= 1 << 29, x - (1 << 29) + (1 << 17), x) for x in (wide[0], wide[2])]
+    assert (back[0] == seq).all() and (wide[1] == of).all() and (back[1] == rules).all() and (wide[3] == lengths).all()
+    place = np.searchsorted(of, np.arange(301))
+    for i in (0, 150, 299):
+        assert (repair.expand(seq[place[i] : place[i + 1]].astype(np.int64), rules, lengths, 1 << 17) == ids[doc == i]).all()
+
+
 def test_repair_grammar_pays(spark):
     text = prose(21, 30_000)
     ids = np.array(token_counts.library(BYTE_BPE).own.encode(text).ids)
