@@ -136,8 +136,8 @@ def depth_for(n: int) -> int:
     return max(1, math.ceil(math.log(max(n, 1) / LIMIT) / math.log(1 / BACKGROUND)))
 
 
-def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes (group, rep), and the large ones of the last level (node, blocks, rep, least: its smallest class).
+def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes (group, rep), and the large ones of the last level (node, blocks, rep, least: its smallest class), or None.
 
     Only the paths that stand in large nodes go on to the next level; these are checkpointed rows of a class and its node.
     """
@@ -150,7 +150,9 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         part = got.where(F.col("n") <= LIMIT).select("group", "rep")
         small = part if small is None else small.unionByName(part)
         large = got.where(F.col("n") > LIMIT)
-        if level == levels or not large.limit(1).count():
+        if not large.limit(1).count():
+            return small, None
+        if level == levels:
             return small, large.select(F.col("group").alias("node"), F.ceil(F.col("n") / LIMIT).alias("blocks"), "rep", "least")
         paths = large.select("rep", F.col("group").alias("key")).join(reps.select("rep", "sig"), "rep")
 
@@ -182,7 +184,7 @@ def in_tiles(held: DataFrame) -> DataFrame:
     both = within.select(F.xxhash64("node", F.lit("out"), F.least("tile", "other"), F.greatest("tile", "other")).alias("group"), "rep")
     sides = rows.select("main", "rep", "out").distinct()
     sizes = sides.groupBy("main").agg(F.ceil(F.sum(F.col("out").cast("int")) / (5 * LIMIT)).alias("outside"), F.ceil(F.sum((~F.col("out")).cast("int")) / LIMIT).alias("inside"))
-    tiled = sides.join(sizes, "main").withColumn("tile", F.pmod(F.xxhash64("main", "rep"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("inside"))))
+    tiled = cut(sides.join(sizes, "main").withColumn("tile", F.pmod(F.xxhash64("main", "rep"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("inside")))))
     visits = tiled.where("out").select("main", "rep", "tile", upto("inside")).select(F.xxhash64("main", F.lit("in"), "tile", "other").alias("group"), "rep")
     hosts = tiled.where("NOT out").select("main", "rep", "tile", upto("outside")).select(F.xxhash64("main", F.lit("in"), "other", "tile").alias("group"), "rep")
     return both.unionByName(visits).unionByName(hosts)
@@ -359,14 +361,13 @@ def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     def confirm(pairs: DataFrame) -> DataFrame:
         return cut(confirmed(pairs, texts_of(pairs.select(F.explode(F.array("x", "y")).alias("rep"))), width).distinct())
 
-    found = small.unionByName(in_blocks(dense))
+    found = small.unionByName(cut(in_blocks(dense))) if dense is not None else small
     first = cut(proposals(found.join(sketched, "rep").withColumn("comp", F.col("rep"))).groupBy("x", "y").agg(F.max("agree").alias("agree")))
     tried = cut(_few_per_class(first))
     links = confirm(tried)
     alive = cut(first.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
 
-    def named_now() -> DataFrame:
-        comps = connected_components(links, "x", "y")
+    def named_by(comps: DataFrame) -> DataFrame:
         named = alive.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
         return hinted(cut(named), 300_000)
 
@@ -376,15 +377,25 @@ def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         several = rows.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
         return rows.join(several, "group").join(sketched, "rep")
 
-    more = proposals(apart(found, named_now())).groupBy("x", "y").agg(F.max("agree").alias("agree"))
-    links = cut(links.unionByName(confirm(cut(_few_per_class(more).join(tried, ["x", "y"], "left_anti")))))
-    named = named_now()
-    held = cut(dense.join(named, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp")))
-    every = held.select("rep", "comp").distinct().unionByName(named).distinct()  # with classes of large nodes that have no candidate yet
-    rest = cut(undecided(apart(small, named)).unionByName(undecided(apart(in_tiles(held), every))).distinct())
-    full = rest.join(every, "rep").join(texts_of(rest.select("rep")), "rep")
-    links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
+    # a round without pairs or groups changes nothing: what would follow it is not planned, since the driver holds every plan
     comps = cut(connected_components(links, "x", "y"))
+    named = named_by(comps)
+    more = proposals(apart(found, named)).groupBy("x", "y").agg(F.max("agree").alias("agree"))
+    more = cut(_few_per_class(more).join(tried, ["x", "y"], "left_anti"))
+    if more.limit(1).count():
+        links = cut(links.unionByName(confirm(more)))
+        comps = cut(connected_components(links, "x", "y"))
+        named = named_by(comps)
+    rest, every = undecided(apart(small, named)), named
+    if dense is not None:
+        held = cut(dense.join(named, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp")))
+        every = hinted(cut(held.select("rep", "comp").unionByName(named).distinct()), 300_000)  # with classes of large nodes that have no candidate yet
+        rest = rest.unionByName(undecided(apart(in_tiles(held), every)))
+    rest = cut(rest.distinct())
+    if rest.limit(1).count():
+        full = rest.join(every, "rep").join(texts_of(rest.select("rep")), "rep")
+        links = cut(links.unionByName(linked_in_groups(full, width)).distinct())
+        comps = cut(connected_components(links, "x", "y"))
     named = classes.select("a", "b", "rep", "own").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = base.select("doc_id", "h", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.coalesce("component", "doc_id")

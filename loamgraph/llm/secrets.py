@@ -97,8 +97,9 @@ def features(found: DataFrame, bits: str) -> DataFrame:
     known = F.split(F.lit(bits), ",").cast("array<long>")
     steps = F.when(F.length(low) > 1, F.sequence(F.lit(1), F.length(low) - 1)).otherwise(F.array().cast("array<int>"))
     likely = F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.get(F.split(table, ",").cast("array<double>"), code(i) * 28 + code(i + 1)))
-    begins = lambda i, n: (F.length(low) - i + 1 >= n) & (F.call_function("shiftright", F.get(known, F.floor(_slot(F.substring(low, i, F.lit(n))) / 32)), (_slot(F.substring(low, i, F.lit(n))) % 32).cast("int")) % 2 == 1)
-    covered = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: begins(i, 4) | begins(i, 5) | begins(i, 6)))
+    begins = lambda i, n: (F.length(low) - i + 1 >= n) & (F.call_function("shiftright", F.get(known, F.floor(_slot(F.substring(low, i, n)) / 32)), (_slot(F.substring(low, i, n)) % 32).cast("int")) % 2 == 1)
+    # one place for all lengths: the plan holds the table once, and the driver keeps the texts of plans
+    covered = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.exists(F.array(*map(F.lit, _PIECES)), lambda n: begins(i, n))))
     value, near = F.col("value"), F.concat_ws(" ", "before", "word_prefix")
     collapsed = value
     for kind, mark in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[+/_\\-]+", "-")):
