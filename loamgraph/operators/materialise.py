@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -24,24 +24,33 @@ def property_key(owner: Column, label: Column) -> Column:
     return F.concat(owner, F.lit("_"), F.lower(F.replace(label, F.lit(" "), F.lit("_"))))
 
 
+def named_labels(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """text, n (minus the label's length) and keys (its two smallest) for every distinct label that a text names; texts: text, distinct and in lower case."""
+    edge = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    known = classes.select("key", F.lower(F.trim("label")).alias("name")).where("length(name) > 2 AND key IS NOT NULL").distinct()
+    least = known.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("key"))).where("_r <= 2").groupBy("name").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    labels = least.select((-F.length("name")).alias("n"), "keys", F.split("name", r"[^\p{L}\p{N}]+")[0].alias("first"), edge(F.col("name")).alias("_name"))
+    words = texts.select("text", edge(F.col("text")).alias("_text"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("first")).where("first <> ''")
+    return words.join(labels, "first").where(F.contains("_text", "_name")).select("text", "n", "keys")
+
+
 def resolve_targets(links: DataFrame, classes: DataFrame) -> DataFrame:
     """links (id, owner, target, text) with class_key and tier: uri, fragment, label, text or miss; the first tier that fits counts.
 
     classes: key, uri, label.  A target may be a class's URI, its last part, or a label in lower case.  Other links are
     recovered by the longest label that their text names, of equals the smallest key, other than the owner's: words of the
-    text are joined with the first words of labels, so no text meets every label.
+    text are joined with the first words of labels, so no text meets every label.  Equal texts and equal labels meet once:
+    an owner rules out one key, so a label's two smallest keys and a text's two best are enough.
     """
     best = lambda on, name: classes.select(on.alias("_t"), "key").where("_t <> ''").groupBy("_t").agg(F.min("key").alias(name))
     own = links.withColumns({"_u": F.col("target"), "_f": fragment(F.col("target")), "_l": F.lower(F.trim("target"))})
     for column, on, name in (("_u", F.col("uri"), "by_uri"), ("_f", fragment(F.col("uri")), "by_fragment"), ("_l", F.lower("label"), "by_label")):
         own = own.join(best(on, name).withColumnRenamed("_t", column), column, "left")
-    named = own.where("coalesce(by_uri, by_fragment, by_label) IS NULL AND text IS NOT NULL").select("id", "owner", F.lower("text").alias("text"))
-    labels = classes.select("key", F.lower(F.trim("label")).alias("name")).where("length(name) > 2").withColumn("first", F.split("name", r"[^\p{L}\p{N}]+")[0])
-    words = named.select("id", "owner", "text", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("first")).where("first <> ''")
-    edge = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    hits = words.join(labels, "first").where((F.col("key") != F.col("owner")) & F.contains(edge(F.col("text")), edge(F.col("name"))))
-    text = hits.groupBy("id").agg(F.min(F.struct((-F.length("name")).alias("n"), F.col("key"))).alias("m")).select("id", F.col("m.key").alias("by_text"))
-    out = own.join(text, "id", "left")
+    texts = own.where("coalesce(by_uri, by_fragment, by_label) IS NULL AND text IS NOT NULL").select(F.lower("text").alias("text")).distinct()
+    hits = named_labels(texts, classes).select("text", "n", F.explode("keys").alias("key")).groupBy("text", "key").agg(F.min("n").alias("n"))
+    two = hits.withColumn("_r", F.row_number().over(Window.partitionBy("text").orderBy("n", "key"))).where("_r <= 2")
+    named = two.groupBy(F.col("text").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("_m"))
+    out = own.join(named, F.lower("text") == F.col("_t"), "left").withColumn("by_text", F.get(F.filter("_m", lambda x: x["key"] != F.col("owner")), F.lit(0))["key"])
     tier = F.when(F.col("by_uri").isNotNull(), "uri").when(F.col("by_fragment").isNotNull(), "fragment").when(F.col("by_label").isNotNull(), "label").when(F.col("by_text").isNotNull(), "text").otherwise("miss")
     return out.select(*links.columns, F.coalesce("by_uri", "by_fragment", "by_label", "by_text").alias("class_key"), tier.alias("tier"))
 
