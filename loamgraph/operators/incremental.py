@@ -17,29 +17,40 @@ from .components import connected_components
 from .core import cut, hinted, new_folder
 
 class Update(NamedTuple):
-    pairs: DataFrame  # u < v
+    pairs: DataFrame  # u < v, and u = v with loops
     components: DataFrame  # node, component (its smallest node)
     changed: DataFrame  # node, before, after (null: the node has no pairs)
 
 
-def as_pairs(rows: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Distinct u < v; nulls and pairs of equal ends are left out."""
-    return rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+def as_pairs(rows: DataFrame, a: str = "a", b: str = "b", loops: bool = False) -> DataFrame:
+    """Distinct u < v; nulls are left out, and without loops pairs of equal ends, too."""
+    fit = F.col(a).isNotNull() & F.col(b).isNotNull() if loops else F.col(a) != F.col(b)
+    return rows.where(fit).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def update(pairs: DataFrame, components: DataFrame, added: DataFrame, removed: DataFrame) -> Update:
+def _components(pairs: DataFrame, loops: bool) -> DataFrame:
+    """node, component of pairs (u, v); with loops, also of nodes that are only in a pair with themselves."""
+    own = connected_components(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    if not loops:
+        return own
+    own = cut(own)
+    alone = pairs.where("u = v").select(F.col("u").alias("node")).join(own, "node", "left_anti")
+    return own.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def update(pairs: DataFrame, components: DataFrame, added: DataFrame, removed: DataFrame, loops: bool = False) -> Update:
     """The state after added and removed pairs (a, b); of a pair that is in both it stays or comes.
 
     pairs (u, v) and components (node, component) are a state that `connected_components` or an update gave.  Removing what
     is not there and adding what is there change nothing.  The component of a node is the smallest node it is joined with, as
-    for a new computation; nodes without pairs leave.
+    for a new computation; nodes without pairs leave.  With loops, a pair of equal ends keeps its node, alone if it has no other.
     """
-    come = cut(as_pairs(added))
-    gone = cut(as_pairs(removed).join(come, ["u", "v"], "left_anti").join(pairs, ["u", "v"], "left_semi"))
+    come = cut(as_pairs(added, loops=loops))
+    gone = cut(as_pairs(removed, loops=loops).join(come, ["u", "v"], "left_anti").join(pairs, ["u", "v"], "left_semi"))
     new = cut(come.join(pairs, ["u", "v"], "left_anti"))
     kept = pairs.join(hinted(gone), ["u", "v"], "left_anti")
 
@@ -47,7 +58,7 @@ def update(pairs: DataFrame, components: DataFrame, added: DataFrame, removed: D
     touched = cut(_ends(gone).join(components, "node").select("component").distinct())
     members = cut(components.join(hinted(touched), "component", "left_semi").select("node", F.col("component").alias("before")))
     inner = kept.join(hinted(members.select(F.col("node").alias("u"))), "u", "left_semi")
-    again = cut(connected_components(inner.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
+    again = cut(_components(inner, loops))
     # of the nodes that lost all pairs those that get a new one go on alone
     lone = members.join(again, "node", "left_anti").join(_ends(new), "node", "left_semi").select("node", F.col("node").alias("component"))
     redone = cut(again.unionByName(lone))
@@ -85,10 +96,10 @@ def cluster_changes(changed: DataFrame, components: DataFrame, least_size: int =
 
 
 class Components:
-    """Pairs and components in a folder, by hashes of nodes; an update writes the parts with a change, all others stay."""
+    """Pairs and components in a folder, by hashes of nodes; an update writes the parts with a change, all others stay.  loops: see `update`."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, loops: bool = False):
+        self.spark, self.path, self.loops = spark, path, loops
 
     @property
     def pairs(self) -> DataFrame:
@@ -99,14 +110,14 @@ class Components:
         return stored.read(self.spark, f"{self.path}/components")
 
     def create(self, pairs: DataFrame) -> None:
-        own = cut(as_pairs(pairs))
+        own = cut(as_pairs(pairs, loops=self.loops))
         stored.write(own, f"{self.path}/pairs", "u")
-        stored.write(connected_components(own.select(F.col("u").alias("src"), F.col("v").alias("dst"))), f"{self.path}/components", "node")
+        stored.write(_components(own, self.loops), f"{self.path}/components", "node")
 
     def apply(self, added: DataFrame, removed: DataFrame) -> DataFrame:
         """Takes the change into the folder; the changed nodes as `update` gives them.  Applying a change twice changes nothing more."""
-        now = update(self.pairs, self.components, added, removed)
-        nodes, ends = stored.parts_of(now.changed, "node"), stored.parts_of(as_pairs(added).unionByName(as_pairs(removed)), "u")
+        now = update(self.pairs, self.components, added, removed, self.loops)
+        nodes, ends = stored.parts_of(now.changed, "node"), stored.parts_of(as_pairs(added, loops=self.loops).unionByName(as_pairs(removed, loops=self.loops)), "u")
         if nodes:
             stored.write(now.components, f"{self.path}/components", "node", nodes)
         if ends:
@@ -114,8 +125,8 @@ class Components:
         return now.changed
 
 
-def kept_up(pairs: DataFrame) -> Components:
+def kept_up(pairs: DataFrame, loops: bool = False) -> Components:
     """A new store beside the checkpoints."""
-    own = Components(pairs.sparkSession, new_folder(pairs.sparkSession, "components"))
+    own = Components(pairs.sparkSession, new_folder(pairs.sparkSession, "components"), loops)
     own.create(pairs)
     return own

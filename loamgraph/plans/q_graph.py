@@ -138,10 +138,10 @@ def connected_components_er(t):
 def components_kept_up(t):
     """Components of edges of 0.98 and more, then those from 0.96 come, and all that have expired go."""
     edges = t.relation_edges.select(F.col("src").alias("a"), (F.col("dst") + 100000).alias("b"), "confidence", "expired")
-    state = I.kept_up(edges.where("confidence >= 0.98"))
+    state = I.kept_up(edges.where("confidence >= 0.98"), loops=True)
     state.apply(edges.where("confidence >= 0.96 AND confidence < 0.98"), edges.limit(0))
-    live = edges.where("confidence >= 0.96 AND expired IS NULL")
-    state.apply(edges.limit(0), edges.where("expired IS NOT NULL").join(live, ["a", "b"], "left_anti"))
+    live, gone = (I.as_pairs(edges.where(x), loops=True).select(F.col("u").alias("a"), F.col("v").alias("b")) for x in ("confidence >= 0.96 AND expired IS NULL", "expired IS NOT NULL"))
+    state.apply(edges.limit(0), gone.join(live, ["a", "b"], "left_anti"))
     return state.components
 
 
