@@ -49,11 +49,22 @@ def evidence_count_score(n: Column) -> Column:
     return F.coalesce(F.least(n / EVIDENCE_FULL, F.lit(1.0)), F.lit(1.0))
 
 
+@pandas_udf(DoubleType())
+def power_of_two(x: pd.Series) -> pd.Series:
+    """2 to the x to the last bit as C gives it, which Spark's pow misses for some x."""
+    return pd.Series([math.inf if v >= 1024 else math.pow(2.0, v) for v in x], dtype="float64")
+
+
 def evidence_age_score(seconds: Column, half_life_days: float = HALF_LIFE_DAYS) -> Column:
     """Halves every half life; 1 for null and negative ages."""
     return F.when(seconds >= 0, F.pow(F.lit(2.0), -seconds / (half_life_days * 86400))).otherwise(F.lit(1.0))
 
 
+def evidence_growth(seconds: Column, half_life_days: float = HALF_LIFE_DAYS) -> Column:
+    """As evidence_age_score, but negative ages, of evidence dated ahead, double it every half life."""
+    return F.when(seconds.isNotNull(), power_of_two(-seconds / (half_life_days * 86400))).otherwise(F.lit(1.0))
+
+
 def class_confidence(signals: dict[str, Column]) -> Column:
     """Weighted sum of the nine signals, clamped; missing ones count as 0."""
     total = sum((F.coalesce(clamp(signals[k]), F.lit(0.0)) * w for k, w in CONFIDENCE_WEIGHTS.items() if k in signals), F.lit(0.0))
