@@ -118,19 +118,34 @@ def chunk_sections(sections: DataFrame, max_tokens: int = 512, overlap: int = 0)
     return chunks.join(units, ["doc_id", "section"], "left").withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int")).drop("nth")
 
 
-def chunk_documents(docs: DataFrame, max_tokens: int = 512, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: White space of Python that ends no word where words end at ASCII white space.
+_WITHIN = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\f\r")
+
+
+def running(text: Column) -> Column:
+    """The text without spaces of any kind around it as one run of words, which end at ASCII white space: no blank lines part it, and other white space inside is part of a word (as _)."""
+    bare = F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.translate(F.regexp_replace(bare, "[ \t\n\f\r]+", " "), _WITHIN, "_" * len(_WITHIN))
+
+
+def chunk_documents(docs: DataFrame, max_tokens: int = 512, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
     """doc_id, chunk_index, text, token_count: paragraphs of whole texts packed up to max_tokens words; longer ones are split at words.
 
-    The overlap is held to half of max_tokens.  A document is packed by itself, so no shuffle is needed.
+    The overlap is held to half of max_tokens.  A document is packed by itself, so no shuffle is needed.  keep: columns without
+    nulls that go with each chunk.  empty: texts without words are one chunk of 0 words, null texts one with nulls.
     """
     overlap = min(overlap, max_tokens // 2)
 
     def run(frames):
         for frame in frames:
-            rows = [(doc, k, piece, len(piece.split())) for doc, text in zip(frame[id_col], frame[text_col]) for k, piece in enumerate(packed(text or "", max_tokens, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "token_count"])
+            rows = []
+            for doc, text, *more in zip(frame[id_col], frame[text_col], *(frame[c] for c in keep)):
+                pieces = packed(text or "", max_tokens, overlap) or (["" if text is not None else None] if empty else [])
+                rows += [(doc, k, piece, None if piece is None else len(piece.split()), *more) for k, piece in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "token_count", *keep]).astype({"token_count": "Int32"})
 
-    return docs.select(id_col, text_col).mapInPandas(run, "doc_id long, chunk_index int, text string, token_count int")
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(id_col, text_col, *keep).mapInPandas(run, f"doc_id long, chunk_index int, text string, token_count int{kept}")
 
 
 def batches_by_budget(df: DataFrame, group: str, order: list[str], size: Column, budget: int, most: int) -> DataFrame:
