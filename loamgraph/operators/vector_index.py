@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +28,8 @@ MAX_LISTS = 16_384
 PER_LIST = 64
 #: Folders of the index at most.
 PARTS = 512
+#: Rows of a group of lists, and queries of a block, that an exact search scores at once, about.
+GROUP, BLOCK = 50_000, 16_384
 ROUNDS = 25
 
 
@@ -135,6 +138,122 @@ def _scored(spark: SparkSession, path: str, visits: DataFrame, lists: int, k: in
     return met.select("query_id", "id", dot(F.col("vector"), F.col("query")).alias("cosine")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _groups(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """First group and number of groups of each list, by its rows: consecutive lists share a group, a list of more than GROUP rows has several."""
+    size = max(1, min(GROUP, -(-int(n.sum()) // 64)))  # small indexes have 64 groups, too, for as many tasks
+    parts = np.maximum(1, -(-n // GROUP))
+    first, at, held = np.zeros(len(n), np.int64), -1, size
+    for i, (rows, m) in enumerate(zip(n.tolist(), parts.tolist())):
+        if held >= size or m > 1:
+            at, held = at + 1, 0
+        first[i], held = at, held + rows
+        if m > 1:
+            at, held = at + m - 1, size
+    return first, parts, at + 1
+
+
+def _dealt(heads, first: np.ndarray, parts: np.ndarray, probes: int | None):
+    """The function of batches (query_id, query, floor) that gives a row for each group with a list to visit; lists: those of the probes, or null for all whose bound reaches the floor."""
+    _, centres, radius = heads
+
+    def run(batches):
+        for batch in batches:
+            query = batch.column("query").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            floor = batch.column("floor").to_numpy(zero_copy_only=False)
+            for at in range(0, len(query), 256):
+                some = query[at : at + 256]
+                near = some @ centres.T
+                if probes:
+                    m = min(probes, near.shape[1])
+                    pairs = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                    who, lists = np.repeat(np.arange(len(some)), m), pairs.ravel()
+                else:
+                    who, lists = np.nonzero(near + radius + 1e-9 >= floor[at : at + 256, None])
+                m = parts[lists]
+                turn = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                who, groups, lists = np.repeat(who, m), np.repeat(first[lists], m) + turn, np.repeat(lists, m)
+                order = np.lexsort((lists, groups, who))
+                who, groups, lists = who[order], groups[order], lists[order]
+                starts = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(groups, prepend=-1) != 0))
+                rows = pa.array(at + who[starts])
+                named = pa.ListArray.from_arrays(pa.array(np.append(starts, len(lists)), pa.int32()), pa.array(lists.astype(np.int32))) if probes else pa.nulls(len(starts), pa.list_(pa.int32()))
+                for a in range(0, len(starts), 10_000):
+                    z = slice(a, a + 10_000)
+                    own = rows[z]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("query_id", "query", "floor", "block")), pa.array(groups[starts[z]].astype(np.int32)), named[z]], ["query_id", "query", "floor", "block", "group", "lists"])
+
+    return run
+
+
+def _best_of(heads, k: int, other: bool):
+    """The function of a group's rows and a block's queries that gives each query's k best rows among the lists it visits there."""
+    number, centres, radius = heads
+
+    def best(found):
+        table = pa.concat_tables(found).sort_by([("who", "ascending"), ("cosine", "descending"), ("id", "ascending")])
+        who = table.column("who").to_numpy()
+        starts = np.flatnonzero(np.diff(who, prepend=-1))
+        rank = np.arange(len(who)) - np.repeat(starts, np.diff(np.append(starts, len(who))))
+        return table.filter(pa.array(rank < k))
+
+    def run(rows, queries):
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        rows = rows.sort_by("list")
+        at, ids, asked = rows.column("list").to_numpy(), rows.column("id"), queries.column("query_id")
+        width = centres.shape[1]
+        vectors, query = matrix(rows.column("vector")).reshape(-1, width), matrix(queries.column("query")).reshape(-1, width)
+        floor = queries.column("floor").to_numpy()
+        visits = queries.column("lists").combine_chunks()
+        by = {}
+        if len(query) and not visits.null_count:
+            who, lists = np.repeat(np.arange(len(query)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
+            order = np.argsort(lists, kind="stable")
+            who, lists = who[order], lists[order]
+            cuts = np.flatnonzero(np.diff(lists, prepend=-1))
+            by = {lists[a]: who[a:z] for a, z in zip(cuts, np.append(cuts[1:], len(lists)))}
+        found, n = [], 0
+        starts = np.flatnonzero(np.diff(at, prepend=-1)) if len(query) else []
+        for a, z in zip(starts, [*starts[1:], len(at)]):
+            i = int(np.searchsorted(number, at[a]))
+            active = by.get(i, ()) if by else np.flatnonzero(query @ centres[i] + radius[i] + 1e-9 >= floor)
+            step = max(1, 2_000_000 // (z - a))
+            for b in range(0, len(active), step):
+                some = active[b : b + step]
+                w, r = np.nonzero(query[some] @ vectors[a:z].T >= floor[some, None] - 1e-9)
+                w, r = some[w], r + a
+                # the same sum for equal vectors, wherever they are
+                cosine = np.concatenate([np.zeros(0), *((vectors[r[x : x + 50_000]] * query[w[x : x + 50_000]]).sum(axis=1) for x in range(0, len(w), 50_000))])
+                own = pa.table({"who": w, "query_id": asked.take(pa.array(w)), "id": ids.take(pa.array(r)), "cosine": cosine})
+                found, n = [*found, own.filter(pc.not_equal(own.column("id"), own.column("query_id"))) if other else own], n + len(w)
+                if n > 2_000_000:
+                    found = [best(found)]
+                    n = found[0].num_rows
+        none = pa.table({"query_id": asked[:0], "id": ids[:0], "cosine": np.zeros(0)})
+        return best(found).select(["query_id", "id", "cosine"]) if found else none
+
+    return run
+
+
+def _visited(spark: SparkSession, path: str, heads, queries: DataFrame, k: int, other: bool, probes: int | None) -> DataFrame:
+    """query_id, id, cosine and rank of the k best rows of each query: in its nearest lists, or in all whose bound reaches its floor.
+
+    queries: query_id, query (unit), floor.  Groups of lists meet blocks of queries, so a task holds GROUP rows and BLOCK
+    queries; a query goes to the groups that have a list for it.
+    """
+    own = queries.where(F.size("query") == heads[1].shape[1])
+    n = {r.list: r.n for r in spark.read.parquet(f"{path}/centroids").select("list", "n").collect()}  # MAX_LISTS rows at most
+    first, parts, _ = _groups(np.array([n[x] for x in heads[0].tolist()], np.int64))
+    blocks = max(1, -(-own.count() // BLOCK))
+    a, b = (queries.schema[c].dataType.simpleString() for c in ("query_id", "query"))
+    asked = own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).mapInArrow(_dealt(heads, first, parts, probes), f"query_id {a}, query {b}, floor double, block int, group int, lists array<int>")
+    where = spark.createDataFrame([(int(x), int(f), int(p)) for x, f, p in zip(heads[0], first, parts)], "list long, first long, parts long")
+    rows = spark.read.parquet(f"{path}/rows").join(F.broadcast(where), "list").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int"))
+    rows = rows.select("group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "list", "id", "vector")
+    met = rows.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(_best_of(heads, k, other), f"query_id {a}, id {rows.schema['id'].dataType.simpleString()}, cosine double")
+    best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int | None = None, exact: bool = False, id_col: str = "query_id", vector_col: str = "vector", other: bool = False) -> DataFrame:
     """query_id, rank (from 1), id and cosine of each query's k best vectors in its `probes` nearest lists; ties go to smaller ids.
 
@@ -145,13 +264,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, prob
     heads = centroids_of(spark, path)
     lists = int(heads[0].max()) + 1 if len(heads[0]) else 0
     own = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector_col)).alias("query")).where("query_id IS NOT NULL AND query IS NOT NULL").dropDuplicates(["query_id"])
-    near = cut(probed(own, heads, probes or n_probes(lists)).where(F.lit(exact) | (F.col("turn") < (probes or n_probes(lists)))))
+    if exact and lists:
+        own = cut(own)
+        look = _visited(spark, path, heads, own.withColumn("floor", F.lit(-2.0)), k, other, probes or n_probes(lists))
+        floor = cut(look.where(F.col("rank") == k).select("query_id", F.col("cosine").alias("floor")))
+        known = own.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        return _visited(spark, path, heads, known.select("query_id", "query", "floor"), k, other, None).select("query_id", "rank", "id", "cosine")
+    near = cut(probed(own, heads, probes or n_probes(lists)).where(F.col("turn") < (probes or n_probes(lists))))
     first = _scored(spark, path, near.where(F.col("turn") < (probes or n_probes(lists))).select("query_id", "query", "list"), lists, k, other)
-    if not exact:
-        return first.select("query_id", "rank", "id", "cosine")
-    first = cut(first)
-    floor = first.where(F.col("rank") == k).select("query_id", F.col("cosine").alias("floor"))
-    rest = near.where(F.col("turn") >= (probes or n_probes(lists))).join(hinted(floor), "query_id", "left").where("floor IS NULL OR bound >= floor")
-    more = _scored(spark, path, cut(rest.select("query_id", "query", "list")), lists, k, other)
-    best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
-    return first.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+    return first.select("query_id", "rank", "id", "cosine")
